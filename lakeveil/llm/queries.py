@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, quality_rules, sharding
+from . import exact_dedup, license_scan, lm_score, mixing, packing, passages, quality_model, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -15,10 +15,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("level", "name")
 
@@ -57,6 +69,14 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def _mix_sql() -> str:
     case = " ".join(f"when n between {lo} and {hi} then '{k}'" for k, (lo, hi) in DOMAINS.items())
     levels = ["domain", "lang", "source"]
@@ -107,10 +127,15 @@ select doc_id, min(doc_id) over (partition by t) keep_id, count(*) over (partiti
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash": op2_simhash,
     "op3_license_scan": op3_license_scan,
+    "op4_passages": op4_passages,
+    "op5_quality_model": op5_quality_model,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_shard": op7_shard,
     "op8_mix": op8_mix,
+    "op9_lm_score": op9_lm_score,
+    "op10_pack": op10_pack,
 }
 
 ORACLE: dict[str, str] = {"op6_exact_dedup": _OP6_SQL, "op8_mix": _mix_sql()}
