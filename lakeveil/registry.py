@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from lakeveil.plans import detection
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES}
+ORACLE: dict[str, str] = {**detection.ORACLE}
