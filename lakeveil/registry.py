@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeveil.plans import detection
+from lakeveil.plans import detection, relational, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES}
-ORACLE: dict[str, str] = {**detection.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **relational.QUERIES, **streams.QUERIES}
+ORACLE: dict[str, str] = {**detection.ORACLE, **relational.ORACLE, **streams.ORACLE}
