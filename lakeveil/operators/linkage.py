@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,34 +151,49 @@ def delete_document(nodes: DataFrame, occurrences: DataFrame, doc_id: int) -> tu
     return nodes.join(left, "hash", "left_semi"), left
 
 
-def similarity_pairs(prints: DataFrame, most: int = 5) -> DataFrame:
-    """doc_1 < doc_2, distance of fingerprints (bigint ``fp``) with at most ``most`` differing bits.
+def fingerprint_classes(prints: DataFrame) -> DataFrame:
+    """fp, rep (its smallest doc_id), n of each distinct fingerprint: equal fingerprints count once in a search."""
+    return prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
-    One of ``most + 1`` bands must agree, so the join on bands is exact; a pair
-    counts in its first common band only.
+
+def similarity_pairs(classes: DataFrame, most: int = 5, bands: int = 8) -> DataFrame:
+    """doc_1 < doc_2, distance of fingerprint classes (fp, rep) with at most ``most`` differing bits.
+
+    At most ``most`` of the bands differ, so ``bands - most`` agree: a class has
+    a key for each such choice (56 of 24 bits), and the join on keys is exact.
     """
-    n = most + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    band = lambda c, i: F.shiftrightunsigned(c, edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1)
-    rows = prints.select("doc_id", "fp", F.posexplode(F.array(*[band(F.col("fp"), i) for i in range(n)])).alias("band", "value"))
-    a = rows.select(F.col("doc_id").alias("doc_1"), F.col("fp").alias("fp_1"), "band", "value")
-    b = rows.select(F.col("doc_id").alias("doc_2"), F.col("fp").alias("fp_2"), "band", "value")
+    edges = [64 * i // bands for i in range(bands + 1)]
+    part = [F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(bands)]
+    keys = []
+    for nth, chosen in enumerate(combinations(range(bands), bands - most)):
+        key = F.lit(nth).cast("bigint")
+        for i in chosen:
+            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(part[i])
+        keys.append(key)
+    rows = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
+    a = rows.select(F.col("rep").alias("doc_1"), F.col("fp").alias("fp_1"), "key")
+    b = rows.select(F.col("rep").alias("doc_2"), F.col("fp").alias("fp_2"), F.col("key").alias("key_2"))
     distance = F.bit_count(F.col("fp_1").bitwiseXOR(F.col("fp_2")))
-    first = F.lit(n)
-    for i in range(n - 1, -1, -1):
-        first = F.when(band(F.col("fp_1"), i) == band(F.col("fp_2"), i), i).otherwise(first)
-    pairs = a.join(b, ["band", "value"]).where((F.col("doc_1") < F.col("doc_2")) & (distance <= most) & (F.col("band") == first))
-    return pairs.select("doc_1", "doc_2", distance.cast("int").alias("distance"))
-
-
-def text_simhash(text: Column) -> Column:
-    """64-bit SimHash of the lower-cased words by the low half of their MD5, as bigint."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
-    halves = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("bigint"))
-    zeros = F.array_repeat(F.lit(0), 64)
-    votes = F.aggregate(halves, zeros, lambda s, h: F.transform(s, lambda v, i: v + F.call_function("getbit", h, i).cast("int") * 2 - 1))
-    bits = F.transform(votes, lambda v, i: F.when(v > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    on = (F.col("key") == F.col("key_2")) & (F.col("doc_1") < F.col("doc_2")) & (distance <= most)
+    return a.join(b, on).select("doc_1", "doc_2", distance.cast("int").alias("distance")).distinct()
+
+
+def simhashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """doc_id, fp: 64-bit SimHash (bigint) of the lower-cased words by the low half of their MD5.
+
+    Votes are 64 sums, combined in the task that read the document, so that one
+    row for each document is shuffled. A text without words has fingerprint 0.
+    """
+    texts = docs.where(F.col(text_col).isNotNull())
+    words = texts.select("doc_id", F.explode_outer(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\w+"), F.lit(0))).alias("w"))
+    hashed = words.select("doc_id", F.conv(F.substring(F.md5("w"), 17, 16), 16, -10).cast("bigint").alias("h"))
+    ones = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(1)).alias(f"b{i}") for i in range(64)]
+    votes = hashed.groupBy("doc_id").agg(F.count("h").alias("n"), *ones)
+    fp = F.lit(0).cast("bigint")
+    for i in range(64):
+        value = (1 << i) if i < 63 else -(1 << 63)
+        fp = fp.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(value).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return votes.select("doc_id", fp.alias("fp"))
 
 
 def keep_latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

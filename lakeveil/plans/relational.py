@@ -284,7 +284,7 @@ prints as (select d.doc_id, coalesce(string_agg(case when bit then '1' else '0'
 
 
 def _prints(s, d):
-    return docs(s, d).where("text is not null").select("doc_id", L.text_simhash(F.col("text")).alias("fp"))
+    return L.simhashes(docs(s, d))
 
 
 @q("fingerprint_simhash", f"with {_SIM} select doc_id, simhash from prints")
@@ -292,9 +292,16 @@ def _(s, d):
     return _prints(s, d).select("doc_id", F.lpad(F.bin("fp"), 64, "0").alias("simhash"))
 
 
-@q("fingerprint_near", f"with {_SIM} select a.doc_id doc_1, b.doc_id doc_2, bit_count(xor(a.simhash::bit, b.simhash::bit))::int distance from prints a join prints b on a.doc_id < b.doc_id and bit_count(xor(a.simhash::bit, b.simhash::bit)) <= 5")
+@q("fingerprint_near", f"with {_SIM}, c as (select simhash::bit fp, min(doc_id) rep from prints group by 1) select a.rep doc_1, b.rep doc_2, bit_count(xor(a.fp, b.fp))::int distance from c a join c b on a.rep < b.rep and bit_count(xor(a.fp, b.fp)) <= 5")
 def _(s, d):
-    return L.similarity_pairs(_prints(s, d))
+    """Pairs of fingerprint classes; fingerprint_classes tells which documents each class holds."""
+    return L.similarity_pairs(L.fingerprint_classes(_prints(s, d)))
+
+
+@q("fingerprint_classes", f"with {_SIM} select doc_id, min(doc_id) over (partition by simhash) rep, count(*) over (partition by simhash) n from prints")
+def _(s, d):
+    prints = _prints(s, d)
+    return prints.join(L.fingerprint_classes(prints), "fp").select("doc_id", "rep", "n")
 
 
 @q("fingerprint_structure", r"""select doc_id, len(string_split(text, chr(10)))::int line_count, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '\S')))::int paragraph_count,
