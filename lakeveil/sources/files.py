@@ -91,3 +91,12 @@ def read_pdf(files: DataFrame) -> DataFrame:
             yield pd.DataFrame({"path": frame["path"], "text": texts})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def review_report(regions: DataFrame) -> DataFrame:
+    """One row: regions, handwritten, unsure (confidence below 0.5), signatures, and those to review (unsure or signed)."""
+    marked = handwriting_marks(regions)
+    unsure, signed = F.col("confidence") < 0.5, F.col("signature").isNotNull()
+    return marked.agg(
+        F.count(F.lit(1)).alias("regions"), F.count_if("handwritten").alias("handwritten"), F.count_if(unsure).alias("unsure"), F.count_if(signed).alias("signatures"), F.count_if(unsure | signed).alias("to_review")
+    )
