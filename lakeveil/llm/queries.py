@@ -20,7 +20,31 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumn("matches", F.to_json("matches"))
+    found = license_scan.license_scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat(m["line"].cast("string"), F.lit(":"), m["license"])), ";"))
+
+
+def _license_sql(least: float = 0.8) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rows, low = [], 1e9
+    for name, text in license_scan.TEMPLATES.items():
+        grams = sorted(license_scan.bigrams(text))
+        lo, hi = license_scan.size_bounds(len(grams), least)
+        low = min(low, lo)
+        rows.append(f"({quoted(name)}, [{', '.join(map(quoted, grams))}], {lo!r}, {hi!r})")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+with x as (select doc_id, coalesce(text, '') t from documents),
+passages as (select doc_id, (i - 1)::int line, l[i] t from (select doc_id, string_split(t, chr(10)) l from x), unnest(generate_series(1, len(l))) u(i)
+  union all select doc_id, coalesce(list_sum(list_transform(q[1:i-1], lambda y: len(string_split(y, chr(10))) + 1)), 0)::int, q[i]
+  from (select doc_id, string_split_regex(t, '\n[\x20\t\r]*\n') q from x where contains(t, chr(10) || chr(10))), unnest(generate_series(1, len(q))) u(i) where contains(q[i], chr(10))),
+words as (select doc_id, line, string_split(trim(regexp_replace(translate(t, '{upper}', '{upper.lower()}'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')), ' ') w from passages),
+grams as (select doc_id, line, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g from words where len(w) > {max(1, int(low))}),
+templates as (select * from (values {', '.join(rows)}) v(license, tg, lo, hi)),
+scored as (select doc_id, line, license, 2 * len(list_intersect(g, tg)) / (len(g) + len(tg)) score from grams join templates on len(g) between lo and hi),
+found as (select doc_id, count(*) n, string_agg(line || ':' || license, ';' order by line, license) matches, first(license order by score desc, license, line) license, max(score) score
+  from scored where score >= {least} group by doc_id)
+select doc_id, license, score, coalesce(n, 0)::bigint n_matches, coalesce(matches, '') matches from documents left join found using (doc_id)"""
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,4 +162,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pack": op10_pack,
 }
 
-ORACLE: dict[str, str] = {"op6_exact_dedup": _OP6_SQL, "op8_mix": _mix_sql()}
+ORACLE: dict[str, str] = {"op3_license_scan": _license_sql(), "op6_exact_dedup": _OP6_SQL, "op8_mix": _mix_sql()}

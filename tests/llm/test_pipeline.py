@@ -9,8 +9,8 @@ def test_stages(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixture", "packing"]
     exact = corpus_pipeline.exact(spark, docs, small)
     assert exact.columns == docs.columns
-    # of equal texts the smallest id, and of repeated rows one
-    assert sorted((r.doc_id for r in exact.collect())) == [1, 3, 6, 7, 8, 9, 10, 11, 12]
+    # of equal texts the smallest id, and of repeated rows one; a run of white space is a space, not nothing
+    assert sorted((r.doc_id for r in exact.collect())) == [1, 3, 5, 6, 7, 8, 9, 10, 11, 12]
     near = corpus_pipeline.near(spark, docs, small)
     assert near.columns == docs.columns and near.where("doc_id = 2").isEmpty() and near.where("doc_id is null").count() == 2
     mixed = corpus_pipeline.mixture(spark, docs, small)
