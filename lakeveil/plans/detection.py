@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeveil.functions import rules as R
 from lakeveil.operators import risk, spans
-from lakeveil.sources.tables import table
+from lakeveil.sources.tables import spread, table
 
 from . import sql as S
 
@@ -19,20 +19,24 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def spread_docs(spark: SparkSession, d: str) -> DataFrame:
+    return spread(docs(spark, d).select("doc_id", "text"))
+
+
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    return spans.detect(docs(spark, d))
+    return spans.detect(spread_docs(spark, d))
 
 
 def _watcher(spark: SparkSession, d: str) -> DataFrame:
-    return spans.explode_spans(docs(spark, d).where("text is not null"), spans.watcher_spans(F.col("text")))
+    return spans.explode_spans(spread_docs(spark, d).where("text is not null"), spans.watcher_spans(F.col("text")))
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
-    return spans.explode_spans(docs(spark, d).where("text is not null"), spans.all_spans(F.col("text"), R.CORE))
+    return spans.explode_spans(spread_docs(spark, d).where("text is not null"), spans.all_spans(F.col("text"), R.CORE))
 
 
 def _mode(mode: str):
-    return lambda spark, d: spans.explode_spans(docs(spark, d).where("text is not null"), spans.mode_spans(F.col("text"), mode))
+    return lambda spark, d: spans.explode_spans(spread_docs(spark, d).where("text is not null"), spans.mode_spans(F.col("text"), mode))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +50,7 @@ def _conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def quick(spark: SparkSession, d: str, found: str) -> DataFrame:
-    rows = docs(spark, d)
+    rows = spread_docs(spark, d)
     if found == "api":
         n, each, medium = F.size(spans.core_spans(F.col("text"))), 10, 30
     else:
@@ -62,11 +66,11 @@ select doc_id, score, case when score > 70 then 'HIGH' when score > {medium} the
 
 
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
-    return risk.risk_scores(docs(spark, d))
+    return risk.risk_scores(spread_docs(spark, d))
 
 
 def _actions(spark: SparkSession, d: str) -> DataFrame:
-    rows = spans.with_entities(docs(spark, d)).where("size(entities) > 0")
+    rows = spans.with_entities(spread_docs(spark, d)).where("size(entities) > 0")
     score, level = risk.quick_score(F.size("entities").cast("bigint"), 15, 40)
     return risk.suggest_actions(rows.select("doc_id", score.alias("score"), level.alias("level"), risk.types_of(F.col("entities")).alias("types")))
 
@@ -116,7 +120,7 @@ def _explain_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _redact(spark: SparkSession, d: str) -> DataFrame:
-    rows = spans.with_entities(docs(spark, d)).where("size(entities) > 0").withColumn("redacted", spans.redact(F.col("text"), F.col("entities")))
+    rows = spans.with_entities(spread_docs(spark, d)).where("size(entities) > 0").withColumn("redacted", spans.redact(F.col("text"), F.col("entities")))
     return rows.select("doc_id", "redacted", F.array_join(spans.leaked(F.col("redacted"), F.col("entities")), "|").alias("leaked"))
 
 
@@ -168,7 +172,7 @@ def _contexts_q(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "detect_core": entities,
-    "detect_strict": lambda s, d: spans.detect(docs(s, d), strict=True),
+    "detect_strict": lambda s, d: spans.detect(spread_docs(s, d), strict=True),
     "detect_raw": _raw,
     "detect_mode_strict": _mode("strict"),
     "detect_mode_balanced": _mode("balanced"),
@@ -182,8 +186,8 @@ QUERIES = {
     "risk_levels": lambda s, d: risk_scores(s, d).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top")),
     "risk_contexts": _contexts_q,
     "remediation_actions": _actions,
-    "vulnerabilities": lambda s, d: risk.vulnerabilities(docs(s, d)).groupBy("kind", "severity", "entity_type").agg(F.count(F.lit(1)).alias("n")),
-    "robustness": lambda s, d: risk.robustness(docs(s, d)),
+    "vulnerabilities": lambda s, d: risk.vulnerabilities(spread_docs(s, d)).groupBy("kind", "severity", "entity_type").agg(F.count(F.lit(1)).alias("n")),
+    "robustness": lambda s, d: risk.robustness(spread_docs(s, d)),
     "explain_entities": lambda s, d: risk.explain(docs(s, d), entities(s, d)),
     "explain_summary": _explain_summary,
     "redact_text": _redact,

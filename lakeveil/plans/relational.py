@@ -10,7 +10,7 @@ from lakeveil.operators import governance as G
 from lakeveil.operators import linkage as L
 from lakeveil.operators import privacy as P
 from lakeveil.operators import risk, spans
-from lakeveil.sources.tables import table
+from lakeveil.sources.tables import spread, table
 
 from . import sql as S
 from .detection import docs, entities
@@ -21,7 +21,7 @@ KEY = b"demonstration key"
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as an inventory of scanned files."""
-    rows = spans.with_entities(docs(spark, d))
+    rows = spans.with_entities(spread(docs(spark, d)))
     n = F.size("entities").cast("bigint")
     score, level = risk.quick_score(n, 15, 40)
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -284,7 +284,7 @@ prints as (select d.doc_id, coalesce(string_agg(case when bit then '1' else '0'
 
 
 def _prints(s, d):
-    return L.simhashes(docs(s, d))
+    return L.simhashes(spread(docs(s, d).select("doc_id", "text")))
 
 
 @q("fingerprint_simhash", f"with {_SIM} select doc_id, simhash from prints")

@@ -8,3 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder; only what a query uses is read."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
+    """A small table dealt evenly over the cores, for work that is heavy for each row.
+
+    Small tables are often one file that one task would read. Tables above the
+    bound have splits enough and are left as they are, without a shuffle.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) > most_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
