@@ -26,7 +26,7 @@ from .common import materialize
 BITS = 18
 SIZE = 1 << BITS
 #: Labelled rows used for the hinge-loss fit and for the curve; ratios are counted over all of them.
-FIT_ROWS, CURVE_ROWS = 8000, 2000
+FIT_ROWS, CURVE_ROWS = 6000, 1500
 
 
 class Words(dict):
@@ -76,16 +76,17 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, y: np.nd
     classes get the same total cost.
     """
     w, bias = np.zeros(len(values)), 0.0
-    scaled = [(v := values[r]) / max(1e-9, math.sqrt(float(v @ v))) for r in rows]
+    length = [max(1e-9, math.sqrt(float((v := values[r]) @ v))) for r in rows]
     top = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * cost * len(y) / 2
     alpha, rng = np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(y)):
-            gradient = y[i] * (float(w[rows[i]] @ scaled[i]) + bias) - 1
+            x = values[rows[i]] / length[i]
+            gradient = y[i] * (float(w[rows[i]] @ x) + bias) - 1
             new = min(max(alpha[i] - gradient / 2, 0.0), top[i])  # |x|^2 + 1 = 2
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * scaled[i]
+                w[rows[i]] += step * x
                 bias += step
                 alpha[i] = new
     return w, bias
@@ -136,7 +137,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, fl
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
     chosen = labelled.withColumn("order", order).orderBy("order", "doc_id").limit(FIT_ROWS + CURVE_ROWS).select("text", "label")
     sample = chosen.mapInArrow(describe, "slots binary, label int").collect()
-    rows = [np.frombuffer(r["slots"], np.int32).astype(np.int64) for r in sample]
+    rows = [np.frombuffer(r["slots"], np.int32) for r in sample]
     y = np.array([1.0 if r["label"] else -1.0 for r in sample])
     if not len(y) or len(set(y)) < 2:  # nothing to tell apart: the share of good labels, for all
         share = (n[1, SIZE] + 1) / (n.sum(axis=0)[SIZE] + 2)
