@@ -125,7 +125,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, fl
         cache = Words()
         for b in batches:
             raw = [indicators(t, cache).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), b.column("label")], ["slots", "label"])
+            yield pa.RecordBatch.from_arrays([b.column("order"), pa.array(raw, pa.binary()), b.column("label")], ["order", "slots", "label"])
 
     # at most SIZE + 1 rows
     counts = labelled.mapInArrow(count, "slot int, bad bigint, good bigint").groupBy("slot").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -134,9 +134,13 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, fl
         n[:, r["slot"]] = r["bad"], r["good"]
     good, bad = n[1, :SIZE] + 1, n[0, :SIZE] + 1
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
+    # the rows with the lowest hashes of their ids; only hashes are sorted, and texts stay where they are
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
-    chosen = labelled.withColumn("order", order).orderBy("order", "doc_id").limit(FIT_ROWS + CURVE_ROWS).select("text", "label")
-    sample = chosen.mapInArrow(describe, "slots binary, label int").collect()
+    last = labelled.select(order.alias("order")).orderBy("order").limit(FIT_ROWS + CURVE_ROWS).agg(F.max("order")).first()[0]
+    chosen = labelled.where(order <= F.lit(last)).withColumn("order", order)
+    sample = chosen.select("order", "text", "label").mapInArrow(describe, "order bigint, slots binary, label int").collect()
+    sample.sort(key=lambda r: (r["order"], bytes(r["slots"])))
+    del sample[FIT_ROWS + CURVE_ROWS :]  # repeated rows of the last id
     rows = [np.frombuffer(r["slots"], np.int32) for r in sample]
     y = np.array([1.0 if r["label"] else -1.0 for r in sample])
     if not len(y) or len(set(y)) < 2:  # nothing to tell apart: the share of good labels, for all
@@ -157,9 +161,12 @@ def _margin(slots: np.ndarray, weight: np.ndarray, square: np.ndarray, bias: flo
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held_fold: int = 2) -> DataFrame:
     """doc_id, text, label of the rows to learn from: labelled 0 or 1, and not in the held-out fold."""
+    learn = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % folds != held_fold, F.lit(False))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    marks = marks.where(F.crc32(F.col("id").cast("string").cast("binary")) % folds != held_fold).groupBy("id").agg(F.min("label").alias("label"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(marks, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
+    marks = marks.where(learn(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
+    # the fold is left out before texts are shuffled; one join strategy at every size
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(learn(F.col("doc_id")))
+    return rows.join(marks.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, keep_columns: bool = False) -> DataFrame:
