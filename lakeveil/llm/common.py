@@ -47,6 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, rows: int = 500):
+    """The same rows in batches of at most ``rows``, so that few texts are unpacked at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def word_array(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     parts = F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+")
