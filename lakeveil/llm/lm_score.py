@@ -1,16 +1,19 @@
 """Language-model scores: a pretrained byte model by partial matching, and a word base.
 
-The byte trie is counted over all training documents and shuffled by gram; the
-grams that occur most often, ``max_nodes`` at most, form the trie that is sent
-to the workers, and the rest counts as escape mass. Word counts have no such
-bound, so they are never sent whole: documents are grouped in chunks with a
-dictionary each, dictionaries meet the corpus counts in a join by word, and the
-answers go back to their chunk.
+Nothing that grows with the corpus is ever sent whole. Documents are grouped in
+chunks, each with a dictionary of its words and one of its byte grams, packed in
+parts. A part of the words adds up the counts of all chunks and answers each
+with the corpus counts of its words. A gram's code length depends on the gram alone; all contexts of two bytes or more that it can ask for
+end in the same two bytes, so the trie is cut in parts by these. A part merges
+the grams of all chunks, counts its own levels, is given the two lowest ones (at
+most 65,792 grams, whatever the input), and answers each chunk with the lengths
+of its grams, in the chunk's order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,61 +24,87 @@ from pyspark.sql import functions as F
 from . import ppm
 from .common import materialize, sliced
 
-CHUNK_BYTES, CHUNK_WORDS = 16_000_000, 300_000
+CHUNK_BYTES, CHUNK_WORDS, PARTS = 16_000_000, 800_000, 1024
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit_trie(texts: DataFrame, order: int = ppm.ORDER, max_nodes: int = 1 << 20) -> ppm.Model:
-    """From all rows of ``texts`` (text)."""
+def pack(x: np.ndarray) -> bytes:
+    """64-bit values, byte by byte of their weight."""
+    return zlib.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            key, n = ppm.count_levels(*ppm.merge(parts), order)
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["gram", "n"])
+def unpack(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
-        for b in sliced(batches):
-            docs = [(t or "").encode("utf-8", "replace") for t in b.column("text").to_pylist()]
-            at = 0
-            while at < len(docs):
-                size, end = 0, at
-                while end < len(docs) and (end == at or size + len(docs[end]) < 2_000_000):
-                    size += len(docs[end])
-                    end += 1
-                code, n = np.unique(ppm.codes(docs[at:end], order)[0], return_counts=True)
-                parts.append((code, n.astype(np.int64)))
-                at = end
-                if sum(len(k) for k, _ in parts) > 2_000_000:
-                    parts[:] = [ppm.merge(parts)]
-                    if len(parts[0][0]) > 1_500_000:
-                        yield flush()
-        if parts:
-            yield flush()
-
-    counted = texts.mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = materialize(counted, "grams")
-    # the least count that leaves max_nodes at most; counts above 1024 in powers of two
-    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2(F.col("n").cast("double")))).cast("bigint"))
-    nodes, least = 0, 1 << 62
-    for r in sorted(grams.groupBy(level.alias("n")).count().collect(), reverse=True):
-        if nodes + r["count"] > max_nodes:
-            break
-        nodes, least = nodes + r["count"], r["n"]
-    code = F.col("gram").bitwiseAND((1 << 56) - 1)
-    context = F.shiftright(code, 8).bitwiseOR(F.col("gram").bitwiseAND(127 << 56))
-    contexts = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.max("n").alias("most")).where(F.col("most") >= least)
-    kept = grams.where(F.col("n") >= least).toArrow()
-    known = contexts.select("context", "total").toArrow()
-    column = lambda t, c: t.column(c).to_numpy()
-    return ppm.Model(column(kept, "gram").view(np.uint64), column(kept, "n"), column(known, "context").view(np.uint64), column(known, "total"), order)
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ppm.ORDER, max_nodes: int = 1 << 20) -> DataFrame:
+
+def by_part(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From sorted grams: their order by part (sorted inside it), and where each part starts and the last ends."""
+    part = (((code >> np.uint64(8)) & np.uint64(0xFFFF)) * ppm.MULT >> np.uint64(54)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=PARTS))])
+
+
+def code_lengths(grams: DataFrame, tail: DataFrame, order: int = ppm.ORDER) -> DataFrame:
+    """of, part, lengths (log10, float32) for each row of ``grams`` (chunk, part, codes, counts: 0 where the training texts lack one).
+
+    ``tail``: gram, n, the last two bytes of all grams, repeated.
+    """
+    low = tail.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the alphabet
+    shared = ppm.count_levels(low.column("gram").to_numpy().view(np.uint64), low.column("n").to_numpy(), min(1, order))
+
+    def solve(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        merged: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, codes, counts in rows:
+            code = np.cumsum(unpack(codes), dtype=np.uint64)
+            merged.append((code, unpack(counts).view(np.int64)))
+            if sum(len(k) for k, _ in merged) > max(1_000_000, 2 * len(merged[0][0])):
+                merged[:] = [ppm.merge(merged)]
+        code, n = ppm.merge(merged)
+        key, count = ppm.count_levels(code[n > 0], n[n > 0], order)
+        own = key >= np.uint64(2 << 56)
+        lengths = ppm.Model.whole(np.concatenate([key[own], shared[0]]), np.concatenate([count[own], shared[1]]), order).code_lengths(code).astype(np.float32)
+        out = [lengths[np.searchsorted(code, np.cumsum(unpack(codes), dtype=np.uint64))].tobytes() for _, codes, _ in rows]
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(out, pa.binary())], ["of", "part", "lengths"])
+
+    return _by_parts(grams, "codes", solve, "of bigint, part int, lengths binary")
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """of, words, counts (in the whole corpus), tokens, distinct (training words and those with a count, once a part) for each row of ``words`` (chunk, part, words, counts)."""
+
+    def solve(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        total: dict[bytes, int] = {}
+        for _, words, counts in rows:
+            for w, n in zip(zlib.decompress(words).split(b" "), unpack(counts).tolist(), strict=True):
+                total[w] = total.get(w, 0) + n
+        out = [pack(np.fromiter(map(total.__getitem__, zlib.decompress(words).split(b" ")), np.int64)) for _, words, _ in rows]
+        tokens, distinct = np.zeros((2, len(rows)), np.int64)
+        tokens[0], distinct[0] = sum(total.values()), sum(n > 0 for n in total.values())
+        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows], pa.int64()), pa.array([w for _, w, _ in rows], pa.binary()), pa.array(out, pa.binary()), pa.array(tokens), pa.array(distinct)], ["of", "words", "counts", "tokens", "distinct"])
+
+    return _by_parts(words, "words", solve, "of bigint, words binary, counts binary, tokens bigint, distinct bigint")
+
+
+def _by_parts(rows: DataFrame, packed: str, solve: Callable[[int, list], pa.RecordBatch], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by part; holds the packed dictionaries of one."""
+        now, held = -1, []
+        for b in batches:
+            for part, *row in zip(*(b.column(c).to_pylist() for c in ("part", "chunk", packed, "counts")), strict=True):
+                if part != now and held:
+                    yield solve(now, held)
+                    held = []
+                now = part
+                held.append(row)
+        if held:
+            yield solve(now, held)
+
+    return rows.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ppm.ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row.
 
     A null text counts as empty: one token, the end. Rows whose crc32 of the id
@@ -85,94 +114,111 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the byte model knows nothing and all bytes are equally likely. An empty
     table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held", held_out(F.col("doc_id")))
-    model = fit_trie(rows.where(~F.col("held")).select("text"), order, max_nodes)
-    shared = spark.sparkContext.broadcast(model.arrays())  # bounded by max_nodes
-    schema = f"chunk bigint, word binary, wid int, n bigint, doc_id {kind}, held boolean, ids binary, times binary, score double"
+    names = ["chunk", "gram", "n", "part", "words", "codes", "counts", "doc_id", "held", "text"]
+    schema = f"chunk bigint, gram bigint, n bigint, part int, words binary, codes binary, counts binary, doc_id {kind}, held boolean, text binary"
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, part, seq = ppm.Model.of(shared.value), TaskContext.get().partitionId(), 0
-
-        class Ids(dict):
-            def __missing__(self, word: bytes) -> int:
-                self[word] = k = len(self)
-                return k
+        """Documents as they come, and after those of a chunk its words and grams with their counts in training rows."""
+        part, seq = TaskContext.get().partitionId(), 0
+        words: dict[bytes, int] = {}
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        size, docs_type = 0, None
 
-        ids, counts, out, size = Ids(), np.zeros(1024, np.int64), [], 0
+        def batch(k: int, **given) -> pa.RecordBatch:
+            kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), docs_type, pa.bool_(), pa.binary()), strict=True))
+            given["chunk"] = [(part << 24) + seq] * k
+            return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(k, t) for c, t in kinds.items()], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, counts, out, size, seq
-            chunk = (part << 24) + seq
-            seq += 1
-            n, words = len(ids), list(ids)
-            for at in range(0, n, 50_000):
-                some = words[at : at + 50_000]
-                k = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([chunk] * k, pa.int64()), pa.array(some, pa.binary()), pa.array(np.arange(at, at + k, dtype=np.int32)), pa.array(counts[at : at + k]),
-                     pa.nulls(k, docs_type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.float64())],
-                    names,
-                )
-            yield from (pa.RecordBatch.from_arrays([pa.array([chunk] * b.num_rows, pa.int64()), *[pa.nulls(b.num_rows, t) for t in (pa.binary(), pa.int32(), pa.int64())], *b.columns], names) for b in out)
-            ids, counts, out, size = Ids(), np.zeros(1024, np.int64), [], 0
-
-        names = ["chunk", "word", "wid", "n", "doc_id", "held", "ids", "times", "score"]
-        docs_type = None
+            nonlocal words, size, seq
+            found: dict[int, list[bytes]] = {}
+            for w in words:
+                found.setdefault(zlib.crc32(w) % PARTS, []).append(w)
+            of = found.values()
+            yield batch(len(of), part=list(found), words=[zlib.compress(b" ".join(ws), 1) for ws in of], counts=[pack(np.fromiter(map(words.__getitem__, ws), np.int64)) for ws in of])
+            key, n = ppm.merge(grams)
+            tail, m = ppm.merge([(key & np.uint64(0xFFFF), n)])
+            yield batch(len(tail), gram=tail.view(np.int64), n=m)
+            rank, edge = by_part(key)
+            key, n = key[rank], n[rank]
+            full = np.flatnonzero(np.diff(edge))
+            spans = [slice(edge[p], edge[p + 1]) for p in full]
+            yield batch(len(full), part=full.astype(np.int32), codes=[pack(np.diff(key[s], prepend=np.uint64(0))) for s in spans], counts=[pack(n[s]) for s in spans])
+            words, size, seq = {}, 0, seq + 1
+            grams.clear()
+
+        def count(texts: list[bytes], trained: bool) -> None:
+            at = 0
+            while at < len(texts):
+                mass, end = 0, at
+                while end < len(texts) and (end == at or mass + len(texts[end]) < 2_000_000):
+                    mass += len(texts[end])
+                    end += 1
+                code, n = np.unique(ppm.codes(texts[at:end], order)[0], return_counts=True)
+                grams.append((code, n.astype(np.int64) * trained))
+                at = end
+            if sum(len(k) for k, _ in grams) > 2_000_000:
+                grams[:] = [ppm.merge(grams)]
+
         for b in sliced(batches):
             docs_type = b.column("doc_id").type
             texts = [(t or "").encode("utf-8", "replace") for t in b.column("text").to_pylist()]
-            score, held = trie.score(texts), b.column("held").to_pylist()
-            at, start, lists, times = 0, 0, [], []
-
-            def close(start: int, end: int, b: pa.RecordBatch, score: np.ndarray, lists: list, times: list) -> None:
-                if end > start:
-                    s = b.slice(start, end - start)
-                    out.append(pa.RecordBatch.from_arrays([s.column("doc_id"), s.column("held"), pa.array(lists, pa.binary()), pa.array(times, pa.binary()), pa.array(score[start:end])], names[4:]))
-
+            held = b.column("held").to_pylist()
+            start = 0
             for at, text in enumerate(texts):
-                words = text.lower().split()
-                words.append(b"")
-                mine, n = np.unique(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)), return_counts=True)
-                if len(ids) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(ids), np.int64)])
-                if not held[at]:
-                    counts[mine] += n
-                lists.append(mine.tobytes())
-                times.append(n.astype(np.int32).tobytes())
+                n = 0 if held[at] else 1
+                for w in text.lower().split():
+                    words[w] = words.get(w, 0) + n
+                words[b""] = words.get(b"", 0) + n
                 size += len(text)
-                if size > CHUNK_BYTES or len(ids) > CHUNK_WORDS:
-                    close(start, at + 1, b, score, lists, times)
-                    yield from flush()
-                    start, lists, times = at + 1, [], []
-            close(start, len(texts), b, score, lists, times)
-        if out:
+                if size > CHUNK_BYTES or len(words) > CHUNK_WORDS or at + 1 == len(texts):
+                    some = slice(start, at + 1)
+                    for trained in (True, False):
+                        count([t for t, h in zip(texts[some], held[some], strict=True) if h != trained], trained)
+                    yield batch(at + 1 - start, doc_id=b.column("doc_id")[some], held=held[some], text=texts[some])
+                    start = at + 1
+                    if size > CHUNK_BYTES or len(words) > CHUNK_WORDS:
+                        yield from flush()
+        if words:
             yield from flush()
 
     both = materialize(rows.mapInArrow(chunks, schema), "chunks")
-    dictionary = both.where("word is not null").select("chunk", "word", "wid", "n")
-    totals = materialize(dictionary.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
-    train_tokens, distinct = (x or 0 for x in totals.agg(F.sum("c"), F.count(F.lit(1))).first())
-    answers = dictionary.join(totals, "word").select(F.col("chunk").alias("of"), "wid", "c")
-    members = both.where("ids is not null").select("chunk", "doc_id", "held", "ids", "times", "score")
+    counted = materialize(word_counts(both.where("words is not null").select("chunk", "part", "words", "counts")), "vocabulary")
+    train_tokens, distinct = (x or 0 for x in counted.agg(F.sum("tokens"), F.sum("distinct")).first())
+    lengths = code_lengths(both.where("codes is not null").select("chunk", "part", "codes", "counts"), both.where("gram is not null").select("gram", "n"), order)
+    answers = counted.select("of", "words", "counts").unionByName(lengths, allowMissingColumns=True)
+    members = both.where("text is not null").select("chunk", "doc_id", "held", "text")
     out_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def base(key, left, right):
-        """One chunk: its documents and the corpus counts of its words."""
-        wid = right.column("wid").to_numpy()
-        c = np.zeros(1 + max([int(np.frombuffer(x, np.int32)[-1]) for x in left.column("ids").to_pylist()] + wid.tolist()), np.int64)
-        c[wid] = right.column("c").to_numpy()
-        logs = np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1)))
-        n_tokens, n_known, score = [], [], []
-        for x, t in zip(left.column("ids").to_pylist(), left.column("times").to_pylist(), strict=True):
-            mine, n = np.frombuffer(x, np.int32), np.frombuffer(t, np.int32).astype(np.int64)
-            n_tokens.append(int(n.sum()))
-            n_known.append(int(n[c[mine] > 0].sum()))
-            score.append(float((n * logs[mine]).sum()))
+        """One chunk: its documents, the corpus counts of its words and the code lengths of its grams."""
+        of_words, of_parts = (right.filter(right.column(c).is_valid()) for c in ("words", "part"))
+        counts: dict[bytes, int] = {}
+        for words, n in zip(of_words.column("words").to_pylist(), of_words.column("counts").to_pylist(), strict=True):
+            counts.update(zip(zlib.decompress(words).split(b" "), unpack(n).tolist(), strict=True))
+        lengths = np.frombuffer(b"".join(of_parts.sort_by("part").column("lengths").to_pylist()), np.float32)
+        grams: list[np.ndarray] = []
+        for some in sliced(left.select(["text"]).to_batches(), 200):
+            grams.append(np.unique(ppm.codes(some.column("text").to_pylist(), order)[0]))
+            if sum(map(len, grams)) > 2_000_000:
+                grams = [np.unique(np.concatenate(grams))]
+        code = np.unique(np.concatenate(grams))
+        table = ppm.Table(code[by_part(code)[0]], lengths)
+        del of_words, of_parts, right, grams, code
+        n_tokens, n_known, score, bits = [], [], [], []
+        for some in sliced(left.select(["text"]).to_batches(), 200):
+            texts = some.column("text").to_pylist()
+            for text in texts:
+                c = np.fromiter(map(counts.__getitem__, [*text.lower().split(), b""]), np.int64)
+                n_tokens.append(len(c))
+                n_known.append(int((c > 0).sum()))
+                score.append(float(np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1))).sum()))
+            bits.append(ppm.sums(texts, lambda code: table.columns[0][table.find(code)], order))
         k = left.num_rows
         return pa.table(
-            [left.column("doc_id"), left.column("held"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * k, pa.int64()), pa.array(score, pa.float64()), left.column("score")],
+            [left.column("doc_id"), left.column("held"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * k, pa.int64()), pa.array(score, pa.float64()), pa.array(np.concatenate(bits))],
             names=out_names,
         )
 

@@ -11,6 +11,8 @@ each text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 ORDER = 5
@@ -120,6 +122,13 @@ class Model:
         roots = children[clevel == 0].sum()
         self.floor = -float(np.log10(max(1.0, 256 - roots)))
 
+    @classmethod
+    def whole(cls, key: np.ndarray, n: np.ndarray, order: int = ORDER) -> Model:
+        """From tagged grams of which none is left out."""
+        low = np.uint64((1 << 56) - 1)
+        context, at = np.unique(((key & low) >> np.uint64(8)) | (key & ~low), return_inverse=True)
+        return cls(key, n, context, np.bincount(at, n, len(context)), order)
+
     def arrays(self) -> dict:
         """All there is as plain values, to be sent without a second copy."""
         return {"order": self.order, "floor": self.floor, "contexts": vars(self.contexts), "grams": vars(self.grams)}
@@ -165,19 +174,24 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each text and its end."""
-        if not texts:
-            return np.empty(0)
-        out = []
-        at = 0
-        while at < len(texts):  # blocks of a MB
-            size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-                size += len(texts[end])
-                end += 1
-            code, sizes = codes(texts[at:end], self.order)
-            out.append(np.add.reduceat(self.code_lengths(code), np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-            at = end
-        return np.concatenate(out)
+        return sums(texts, self.code_lengths, self.order)
+
+
+def sums(texts: list[bytes], lengths: Callable[[np.ndarray], np.ndarray], order: int = ORDER) -> np.ndarray:
+    """The sum of ``lengths(codes)`` over each text and its end."""
+    if not texts:
+        return np.empty(0)
+    out = []
+    at = 0
+    while at < len(texts):  # blocks of a MB
+        size, end = 0, at
+        while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
+            size += len(texts[end])
+            end += 1
+        code, sizes = codes(texts[at:end], order)
+        out.append(np.add.reduceat(lengths(code).astype(np.float64), np.concatenate([[0], np.cumsum(sizes)[:-1]])))
+        at = end
+    return np.concatenate(out)
 
 
 def tag_each(code: np.ndarray, level: np.ndarray) -> np.ndarray:

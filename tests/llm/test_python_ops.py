@@ -176,6 +176,20 @@ def test_lm_scores(spark):
     assert lm_score.score_documents(empty(spark)).count() == 0
 
 
+def test_byte_model_keeps_every_gram(spark):
+    """The scores of one model over all grams, of which there are more than 2^20."""
+    rng = np.random.default_rng(3)
+    rows = [(i, bytes(rng.integers(97, 123, 20_000, np.uint8)).decode()) for i in range(40)]
+    rows += [(100 + i, rows[i][1][:50] + "é漢 x" + rows[i + 9][1][:9]) for i in range(20)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    code, n = np.unique(ppm.codes([t.encode() for i, t in rows if i not in held])[0], return_counts=True)
+    key, count = ppm.count_levels(code, n.astype(np.int64))
+    assert len(key) > 1 << 20 and held
+    want = ppm.Model.whole(key, count).score([t.encode() for _, t in rows])
+    got = {r.doc_id: r.score for r in lm_score.score_documents(odd(spark, rows)).collect()}
+    assert [got[i] for i, _ in rows] == pytest.approx(want.tolist(), rel=1e-5)
+
+
 def test_encoder_equals_the_tokenizer(spark, small):
     import public_tokenizers
     from tokenizers import Tokenizer
