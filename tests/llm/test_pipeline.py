@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 import corpus_pipeline
+from lakeveil.llm import minhash, passages, simhash
 from tests.llm.frames import ROWS, empty, odd
 
 
@@ -17,6 +20,31 @@ def test_stages(spark, small):
     assert mixed.columns == docs.columns and mixed.count() <= len(ROWS)
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_copies_by_jaccard(spark, block):
+    """Against brute force: documents with words changed at several places, many of them more than 4 bits apart."""
+    cache, rng = passages.Hashes(), random.Random(5)
+    rows = []
+    for family in range(12):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for _ in range(5):
+            text = list(words)
+            for at in rng.sample(range(120), rng.randrange(7)):
+                text[at] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(text)))
+    sets = [set(minhash.shingles(t, 5, cache).tolist()) for _, t in rows]
+    near = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [p for p in near if bin(simhash.fingerprint(rows[p[0]][1]) ^ simhash.fingerprint(rows[p[1]][1])).count("1") > 4]
+    assert len(far) > len(near) / 2
+    label = list(range(60))
+    for i, j in near * 5:
+        label[i] = label[j] = min(label[i], label[j])
+    later = minhash.later_copies(odd(spark, rows), block=block)
+    assert {r.doc_id for r in later.collect()} == {i for i in range(60) if label[i] != i}
+    kept = corpus_pipeline.near(spark, odd(spark, rows), "")
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(60) if label[i] == i}
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_empty_tables_pass(spark, small, stage):
     assert stage(spark, empty(spark), small).count() == 0
