@@ -107,6 +107,8 @@ def forest(fps: np.ndarray, ids: np.ndarray, most: int, other: np.ndarray | None
 
 def near_links(prints: DataFrame, most: int = 4, block: int = 2048) -> DataFrame:
     """a, b (representative ids) whose components are those of all links. ``prints``: fp, rep."""
+    if most > 4:
+        raise ValueError("the search keys find all pairs within 4 bits, not more")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

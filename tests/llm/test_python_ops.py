@@ -65,6 +65,11 @@ def test_near_links_find_every_component(spark, block):
     assert {i: found.get(i, i) for i in prints} == brute_components(prints)
 
 
+def test_more_bits_than_the_keys_cover_are_rejected(spark):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(odd(spark), most=5)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = simhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(ROWS)
