@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import ppm
 from .common import materialize, sliced
 
-CHUNK_BYTES, CHUNK_WORDS, PARTS = 16_000_000, 800_000, 1024
+CHUNK_BYTES, CHUNK_WORDS, PARTS = 16_000_000, 300_000, 1024
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
