@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -39,12 +40,62 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts lineage, keeps later passes from repeating the work, and fixes
-    values such as row numbers for every later reader.
+    values such as row numbers for every later reader. The tables of a session
+    are deleted when it ends, and by ``release`` before.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lakeveil/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    home = f"{scratch_root(spark)}/lakeveil/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_delete, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}-{name}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+_HOMES: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None and spark.sparkContext._jsc is not None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            _delete(t.sparkSession, path)
+
+
+def sift(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: str, least: int = 12, most: int = 24) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``; none that is there gets lost.
+
+    A bitmap of the wanted keys' hashes, of at most ``2**most`` bits and so of at
+    most ``2**most / 64`` rows however large the tables are, is broadcast. What
+    it lets through by chance, a join afterwards takes out. Null keys go.
+    """
+    n = wanted.count()
+    bits = min(most, max(least, n.bit_length() + 4))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    maps = wanted.where(F.col(wanted_key).isNotNull()).select(bit(F.col(wanted_key)).alias("bit"))
+    maps = maps.groupBy(F.expr("bit div 64").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("_bits"))
+    inside = F.col("_bits").bitwiseAND(F.expr("shiftleft(1L, cast(_bit % 64 as int))")) != 0
+    marked = rows.where(key.isNotNull()).withColumn("_bit", bit(key)).withColumn("_word", F.expr("_bit div 64"))
+    return marked.join(F.broadcast(maps), "_word").where(inside).select(*rows.columns)
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """All columns of a table in one, ``row``, so that columns beside it can't clash with them."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def sliced(batches, rows: int = 500):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -31,6 +31,10 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             "node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"
         )
         new = materialize(jumped, "labels")
-        if new.where("component <> old").isEmpty():
+        ended = new.where("component <> old").isEmpty()
+        release(labels)
+        if ended:
+            release(both)
             return new.drop("old")
         labels = new.drop("old")
+        labels._scratch = new._scratch

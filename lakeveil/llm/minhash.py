@@ -5,13 +5,14 @@
 2. In each bucket (documents with one band value) all are compared with the
    smallest id, on their exact sets. What agrees is linked.
 3. In buckets that still hold several components, all pairs of different
-   components are compared; a bucket of more than ``block`` documents is cut
-   into blocks, and pairs of blocks are tasks of their own.
+   components are compared: what is outside the largest component with it and
+   with itself, in pairs of blocks that are tasks of their own, so a large
+   group of copies is never compared within itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,31 +20,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import materialize, release, sift, sliced
 from .components import components
-from .passages import Hashes, _mix, tune_bands
+from .hashes import Words, mix, shingled, tune_bands
 
 ROWS = 4
 
 
-def shingles(text: str | None, size: int, cache: Hashes) -> np.ndarray:
+def shingles(text: str | None, size: int, cache: Words) -> np.ndarray:
     """Distinct, sorted; words are as in ``simhash``, and a text of fewer words than a shingle is one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words) - size + 1
     if n < 1:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
-    h = _mix(np.fromiter(map(cache.__getitem__, words), np.int64, len(words)).astype(np.uint64))
-    out = h[:n].copy()
-    for k in range(1, size):
-        out = _mix(out * np.uint64(3) + h[k : n + k])
-    return np.unique(out)
+    return np.unique(shingled(cache.of(words), size))
 
 
 def _buckets(docs: DataFrame, size: int, bands: int) -> DataFrame:
     """doc_id, key: a row for each document and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
+        cache = Words()
         for b in sliced(batches, 200):
             if not b.num_rows:
                 continue
@@ -53,8 +50,8 @@ def _buckets(docs: DataFrame, size: int, bands: int) -> DataFrame:
             for band in range(bands):
                 key = np.full(b.num_rows, band, np.uint64)
                 for k in range(ROWS):
-                    low = np.minimum.reduceat(_mix(both ^ np.uint64(0x1000193 * (2 * (band * ROWS + k) + 1))), starts)
-                    key = _mix(key * np.uint64(31) + low)
+                    low = np.minimum.reduceat(mix(both ^ np.uint64(0x1000193 * (2 * (band * ROWS + k) + 1))), starts)
+                    key = mix(key * np.uint64(31) + low)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(key.view(np.int64))], ["doc_id", "key"])
 
     return docs.mapInArrow(run, "doc_id bigint, key bigint")
@@ -62,7 +59,7 @@ def _buckets(docs: DataFrame, size: int, bands: int) -> DataFrame:
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
+        cache = Words()
         for b in sliced(batches, 200):
             sets = [shingles(t, size, cache).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
@@ -74,32 +71,47 @@ def near_links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995,
     """a, b: ids of links whose components are those of all pairs that are found and reach the similarity."""
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialize(_buckets(texts, shingle, tune_bands(similarity, recall, ROWS)), "bands")
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select("key", "pivot")
-    members = materialize(rows.join(shared, "key").select("key", "pivot", "doc_id").distinct(), "buckets")
-    sets = materialize(_sets(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), shingle), "sets")
+    return linked(rows, lambda ids: _sets(sift(texts, F.col("doc_id"), ids, "doc_id").join(ids, "doc_id", "left_semi"), shingle), similarity, block)
+
+
+def linked(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
+    """a, b: links of ids that meet in a bucket. ``rows``: doc_id, key. ``sets_of`` gives doc_id, shingles for a table of ids."""
+    shared = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select("key", "pivot"), "shared")
+    members = materialize(sift(rows, F.col("key"), shared, "key").join(shared, "key").select("key", "pivot", "doc_id").distinct(), "buckets")
+    release(rows)
+    sets = materialize(sets_of(materialize(members.select("doc_id").distinct(), "ids")), "sets")
     pairs = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     links = materialize(pairs.join(x, "a").join(y, "b").where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "pivots")
     placed = members.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    # a bucket of two has had its comparison
-    open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2")
-    dealt = placed.join(open_.select("key", F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    dealt = materialize(dealt, "open")
-    if dealt.isEmpty():
+    # a bucket of two has had its comparison; of the others the members of the largest component need none among themselves
+    parts = materialize(placed.groupBy("key", "component").agg(F.count("*").alias("n")), "parts")
+    open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("big")).where("parts > 1 and n > 2")
+    open_ = materialize(open_.select("key", F.col("big.component").alias("big"), F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"), F.expr(f"cast(ceil((n - big.n) / {block}) as int)").alias("rest_blocks")), "open")
+    if open_.isEmpty():
         return links
-    tasks = dealt.select("key", "own", "doc_id", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(
-        "key", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("two"), "own", "doc_id", "component"
-    )
+    at = placed.join(open_, "key").withColumn("hash", F.xxhash64("doc_id")).withColumn("rest", F.col("component") != F.col("big"))
+    own = F.pmod("hash", F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("blocks"))).cast("int")
+    dealt = materialize(at.withColumn("own", own).select("key", "doc_id", "component", "rest", "own", "blocks", "rest_blocks"), "dealt")
+    # the rest against the largest component, and the rest against itself, as pairs of blocks
+    columns = ["key", "one", "two", "doc_id", "component", "side"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest, big = dealt.where("rest"), dealt.where("not rest")
+    tasks = (
+        rest.withColumn("two", every("blocks")).select("key", F.col("own").alias("one"), "two", "doc_id", "component", F.lit(0).alias("side"))
+        .unionByName(big.withColumn("one", every("rest_blocks")).select("key", "one", F.col("own").alias("two"), "doc_id", "component", F.lit(1).alias("side")))
+        .unionByName(rest.withColumn("with", every("rest_blocks")).select("key", (-1 - F.least("own", "with")).alias("one"), (-1 - F.greatest("own", "with")).alias("two"), "doc_id", "component", F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side")))
+    ).select(*columns)
 
     def compare(table: pa.Table) -> pa.Table:
         ids, label = table.column("doc_id").to_numpy(), table.column("component").to_numpy().copy()
-        own, cross = table.column("own").to_numpy(), table.column("one")[0].as_py() != table.column("two")[0].as_py()
+        side, cross = table.column("side").to_numpy(), table.column("one")[0].as_py() != table.column("two")[0].as_py() or table.column("one")[0].as_py() >= 0
         held, out = [np.asarray(s.values) for s in table.column("shingles")], []
         for i in range(len(ids)):
             for j in np.flatnonzero(label[i + 1 :] != label[i]) + i + 1:
-                if label[j] != label[i] and not (cross and own[i] == own[j]):
+                if label[j] != label[i] and not (cross and side[i] == side[j]):
                     n = len(np.intersect1d(held[i], held[j], assume_unique=True)) if similarity * len(held[i]) <= len(held[j]) <= len(held[i]) / similarity else 0
                     if n >= similarity * (len(held[i]) + len(held[j]) - n):
                         out.append((ids[i], ids[j]))

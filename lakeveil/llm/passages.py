@@ -1,211 +1,322 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Texts are cut into paragraphs at places that depend on the words alone: after a
-word whose hash is the least among its neighbours up to ``radius`` words away.
-A passage that many documents share is then cut alike in all of them, wherever
-it stands. Each paragraph has MinHash values over its 5-word shingles, in bands
-tuned for recall at the wanted Jaccard similarity. Paragraphs that collide in a
-band and have one content are repeats; those with other contents are verified
-by the exact Jaccard coefficient of their shingles, and links become groups by
-connected components. Neighbouring repeated paragraphs are one passage.
+Paragraphs are of two kinds. The lines of a text that have ``LINE`` words or more
+are compared as near copies: MinHash values of their 5-word shingles lie in
+bands of ``ROWS``, as many as the wanted recall needs; lines that meet in a band
+are verified by the exact Jaccard coefficient and clustered by connected
+components (see ``minhash``). Passages that begin and end anywhere are found by
+pieces: a text is cut after each word whose hash is the least among its
+neighbours up to ``RADIUS`` words away, so a passage that many documents share is
+cut alike in all of them; a piece has one band, over all its words.
+
+A paragraph's first occurrence (smallest doc_id, then place) stays, later ones
+are removed. Later paragraphs that touch, or that a short edited stretch parts
+in both texts alike, are one passage. Its edges are then moved outward word by
+word as long as it agrees with the first occurrence, so what counts is the
+length of the shared passage, not where it happened to be cut.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from . import minhash
+from .common import materialize, release, sift, unwrapped, word_array, wrapped
 from .components import components
+from .hashes import Words, mix, shingled, tune_bands
 
-SHINGLE, RADIUS = 5, 5
-MIX = np.uint64(0x9E3779B97F4A7C15)
+SHINGLE, RADIUS, LINE, ROWS = 5, 5, 20, 3
+#: Words by which a passage's edge may be moved, and words of an edited stretch inside one.
+REACH, GAP = 64, 16
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def tune_bands(similarity: float, recall: float, rows: int = 1) -> int:
-    """The fewest bands of ``rows`` values that find pairs of the similarity with at least this chance."""
-    bands = 1
-    while 1 - (1 - similarity**rows) ** bands < recall:
-        bands += 1
-    return bands
+class Powers:
+    """Powers of an odd number and of its inverse, modulo 2**64, as far as they were asked for."""
 
+    def __init__(self, base: int):
+        self.bases = (base, pow(base, -1, 1 << 64))
+        self.made = [np.ones(1, np.uint64)] * 2
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        x = self[word] = (zlib.crc32(word) << 31 | zlib.adler32(word) >> 1) & 0x7FFFFFFFFFFFFFFF
-        return x
+    def __call__(self, n: int) -> list[np.ndarray]:
+        if len(self.made[0]) < n:
+            self.made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b, np.uint64)]), dtype=np.uint64) for b in self.bases]
+        return self.made
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))) * MIX
+def contents(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """Hashes of the words from start to end, alike wherever they stand."""
+    up, down = powers(len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+    return mix((total[end] - total[start]) * down[start] + mix((end - start).astype(np.uint64)))
 
 
-def paragraphs(text: str | None, cache: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(edges in words, word hashes, shingle hashes); a shingle starts at each word but the last four."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    n = len(words)
-    if n < SHINGLE:
-        return np.array([0]), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = _mix(np.fromiter(map(cache.__getitem__, words), np.int64, n).astype(np.uint64))
+def split_words(text: str) -> tuple[list[bytes], np.ndarray]:
+    """Words of the text and the number of words before each line and at the end."""
+    words, edges = [], [0]
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        words += line.split()
+        edges.append(len(words))
+    return words, np.array(edges)
+
+
+def cut(h: np.ndarray) -> np.ndarray:
+    """Edges of pieces, in words; they depend on the words near them alone."""
+    n = len(h)
     pair = h.copy()
-    pair[1:] = _mix(h[1:] + h[:-1] * np.uint64(31))
+    pair[1:] = mix(h[1:] + h[:-1] * np.uint64(31))
     least = np.ones(n, bool)
     for d in range(1, RADIUS + 1):
         least[d:] &= pair[d:] < pair[:-d]
         least[:-d] &= pair[:-d] < pair[d:]
-    cuts = np.flatnonzero(least) + 1
-    edges = np.unique(np.concatenate([[0], cuts[cuts <= n], [n]]))
-    shingle = h[: n - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        shingle = _mix(shingle * np.uint64(3) + h[k : n - SHINGLE + 1 + k])
-    return edges, h, shingle
+    return np.unique(np.concatenate([[0], np.flatnonzero(least) + 1, [n]]))
 
 
-def _occurrences(docs: DataFrame, bands: int) -> DataFrame:
-    """doc_id, seq, start, words, content, key: a row for each paragraph of at least five words and band."""
+_LISTS = {"p_start": "int", "p_words": "int", "p_key": "bigint", "p_content": "bigint", "l_start": "int", "l_words": "int", "l_content": "bigint", "l_keys": "bigint"}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
-        salts = [np.uint64(0x1000193 * (2 * k + 1)) for k in range(bands)]
-        for b in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                edges, h, shingle = paragraphs(text, cache)
-                if len(edges) < 2:
-                    continue
-                start, size = edges[:-1], np.diff(edges)
-                seq = np.flatnonzero(size >= SHINGLE)
-                if not len(seq):
-                    continue
-                start, size = start[seq], size[seq]
-                total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h * np.uint64(5) + _mix(np.arange(len(h), dtype=np.uint64) * 0 + h)))])
-                order = np.concatenate([[np.uint64(0)], np.cumsum(shingle)])
-                last = np.minimum(start + size - SHINGLE + 1, len(shingle))
-                content = _mix((total[start + size] - total[start]) ^ _mix(order[last] - order[start]) ^ size.astype(np.uint64))
-                inside = np.stack([start, last], axis=1).ravel()
-                inside = inside[:-1] if inside[-1] >= len(shingle) else inside
-                for k, salt in enumerate(salts):
-                    low = np.minimum.reduceat(_mix(shingle ^ salt), inside)[::2]
-                    for c, x in zip(cols, (np.full(len(seq), doc, np.int64), seq, start, size, content.view(np.int64), (_mix(low + np.uint64(k))).view(np.int64)), strict=True):
-                        c.append(x)
-            if cols[0]:
-                kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c).astype(t)) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "seq", "start", "words", "content", "key"]
-                )
-
-    return docs.mapInArrow(run, "doc_id bigint, seq int, start int, words int, content bigint, key bigint")
-
-
-def _collisions(rows: DataFrame) -> DataFrame:
-    """Rows whose key occurs more than once; a stream over sorted partitions that holds one batch."""
+
+def _paragraphs(texts: DataFrame, bands: int) -> DataFrame:
+    """doc_id, text_hash, total (words), and the pieces and long lines of each text as lists; ``l_keys`` has ``bands`` keys a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, before = None, None
+        cache, powers = Words(), [Powers(b) for b in BASES]
+        kinds = {"int": pa.int32(), "bigint": pa.int64()}
         for b in batches:
-            if not b.num_rows:
-                continue
-            b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            key = b.column("key").to_numpy(zero_copy_only=False)
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            same[:-1] |= key[1:] == key[:-1]
-            same[0] |= before is not None and key[0] == before
-            before = key[-2] if len(key) > 1 else before
-            if len(key) > 1 and same[:-1].any():
-                yield b.slice(0, len(key) - 1).filter(pa.array(same[:-1]))
-            held = b.slice(len(key) - 1)
-        if held is not None and before is not None and held.column("key")[0].as_py() == before:
-            yield held
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, rows.schema)
-
-
-def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """content, shingles (distinct, as 64-bit hashes) of the wanted (doc_id, seq, content)."""
+            totals, rows = [], {c: [] for c in _LISTS}
+            for text in b.column("text").to_pylist():
+                words, line = split_words(text)
+                n = len(words)
+                totals.append(n)
+                none = np.empty(0, np.int64)
+                out = dict.fromkeys(_LISTS, none)
+                if n >= SHINGLE:
+                    h = cache.of(words)
+                    edge = cut(h)
+                    keep = np.diff(edge) >= SHINGLE
+                    s, e = edge[:-1][keep], edge[1:][keep]
+                    out |= {"p_start": s, "p_words": e - s, "p_key": contents(h, s, e, powers[0]).view(np.int64), "p_content": contents(h, s, e, powers[1]).view(np.int64)}
+                    keep = np.diff(line) >= LINE
+                    s, e = line[:-1][keep], line[1:][keep]
+                    if len(s):
+                        grams = shingled(h, SHINGLE)
+                        inside = np.stack([s, np.minimum(e - SHINGLE + 1, len(grams))], axis=1).ravel()
+                        inside = inside[:-1] if inside[-1] >= len(grams) else inside
+                        keys = np.empty((len(s), bands), np.uint64)
+                        for band in range(bands):
+                            key = np.full(len(s), band + 1, np.uint64)
+                            for k in range(ROWS):
+                                low = np.minimum.reduceat(mix(grams ^ np.uint64(0x1000193 * (2 * (band * ROWS + k) + 1))), inside)[::2]
+                                key = mix(key * np.uint64(31) + low)
+                            keys[:, band] = key
+                        out |= {"l_start": s, "l_words": e - s, "l_content": contents(h, s, e, powers[1]).view(np.int64), "l_keys": keys.ravel().view(np.int64)}
+                for c, x in out.items():
+                    rows[c].append(x)
+            lists = []
+            for c, kind in _LISTS.items():
+                edges = np.concatenate([[0], np.cumsum([len(x) for x in rows[c]])]).astype(np.int32)
+                values = np.concatenate([np.empty(0, np.int64), *rows[c]])
+                lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(kinds[kind].to_pandas_dtype()))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(totals, pa.int32()), *lists], ["doc_id", "text_hash", "total", *_LISTS])
+
+    return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, total int, " + ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items()))
+
+
+def _line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id (a line's content), shingles (distinct, sorted) of the wanted (doc_id, text_hash, start, words, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Hashes()
+        cache = Words()
         for b in batches:
             out, sets = [], []
-            for text, list_ in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                edges, _, shingle = paragraphs(text, cache)
-                for w in list_:
-                    a, z = edges[w["seq"]], edges[w["seq"] + 1]
+            for text, lines in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+                words, _ = split_words(text)
+                for w in lines:
                     out.append(w["content"])
-                    sets.append(np.unique(shingle[a : z - SHINGLE + 1]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
+                    sets.append(np.unique(shingled(cache.of(words[w["start"] : w["start"] + w["words"]]), SHINGLE)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("seq", "content")).alias("wanted"))
-    return docs.join(lists, "doc_id").select("text", "wanted").mapInArrow(run, "content bigint, shingles array<bigint>")
+    return _asked(texts, wanted, "start", "words", "content").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+
+
+def _asked(texts: DataFrame, wanted: DataFrame, *what: str) -> DataFrame:
+    """doc_id, text_hash, text, wanted: the texts that something is asked of, with the list of what."""
+    lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*what)).alias("wanted"))
+    lists = materialize(lists, "asked")
+    some = sift(texts, F.col("text_hash"), lists, "text_hash").dropDuplicates(["doc_id", "text_hash"])
+    return some.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "wanted")
+
+
+def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text_hash, place, left, right: hashes of up to ``REACH`` words before and after a place, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Words()
+        for b in batches:
+            rows, place, left, right = [], [], [], []
+            for i, (text, places) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
+                h = cache.of(split_words(text)[0]).view(np.int64)
+                for at in (w["place"] for w in places):
+                    rows.append(i)
+                    place.append(at)
+                    left.append(h[max(0, at - REACH) : at][::-1])
+                    right.append(h[at : at + REACH])
+            pick = pa.array(rows, pa.int64())
+            both = [pa.array(x, pa.list_(pa.int64())) for x in (left, right)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pick), b.column("text_hash").take(pick), pa.array(place, pa.int32()), *both], ["doc_id", "text_hash", "place", "left", "right"])
+
+    return _asked(texts, wanted, "place").mapInArrow(run, "doc_id bigint, text_hash bigint, place int, left array<bigint>, right array<bigint>")
+
+
+def _agreeing(mine: Column, other: Column) -> Column:
+    """Length of the common beginning of two lists."""
+    n = F.least(F.size(mine), F.size(other))
+    differs = F.transform(F.arrays_zip(mine.alias("a"), other.alias("b")), lambda x: F.coalesce(x["a"] != x["b"], F.lit(True)))
+    at = F.array_position(differs, True)
+    return F.coalesce(F.when(at > 0, (at - 1).cast("int")).otherwise(n), F.lit(0))
+
+
+def _merged(spans: DataFrame, gap: int, *same: Column) -> DataFrame:
+    """Adds ``run``: spans (doc_id, text_hash, start, end) of a text that touch, or lie ``gap`` words apart where all of ``same`` hold for a span and the one before."""
+    by = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    apart = F.col("start") - F.max("end").over(before)
+    near = F.lit(gap > 0)
+    for s in same:
+        near = near & s
+    joined = (apart <= 0) | ((apart <= gap) & near)
+    return spans.withColumn("fresh", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(by)).drop("fresh")
 
 
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.95, min_words: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.97, min_words: int = 30, block: int = 256
 ) -> DataFrame:
-    """A row for each passage that other documents have too: doc_id, start_word, n_words, first_doc_id, n_removed.
-
-    ``start_word`` counts words (runs of anything but ASCII white space) from 0.
-    ``first_doc_id`` is the smallest doc_id that holds a paragraph of the passage;
-    the first occurrence of a paragraph (smallest doc_id, then place) stays, and
-    ``n_removed`` of the passage's words are later occurrences. Passages of fewer
-    than ``min_words`` words are left alone, as are repeats inside one doc_id, so
-    rows that repeat an id don't count against each other. Rows with a null id
-    or text and texts of fewer than five words take no part. An empty table gives
-    no rows; other columns are ignored.
+    """A row for each passage that other documents have too: doc_id, start_word, n_words, first_doc_id, n_removed, text_hash.
+
+    ``start_word`` counts words (runs of anything but ASCII white space) from 0;
+    ``text_hash`` is ``xxhash64`` of the text, which tells rows that share an id
+    apart. A later passage has ``n_removed = n_words``, and in ``first_doc_id`` the
+    smallest id with a first occurrence of one of its paragraphs; the passages of
+    first occurrences have ``n_removed = 0`` and their own id. Passages of fewer than
+    ``min_words`` words are left alone, as are first ones inside a later one. What is repeated only inside rows of one
+    id is no repeat, so repeated rows don't count against each other. Rows with
+    a null id or text and texts of fewer than five words take no part. Ties in
+    place can't occur. An empty table gives no rows; other columns are ignored.
+    Measured in the tests: passages of 50 words and lines at the similarity are
+    found with a recall of over 0.95 against all pairs.
     """
+    bands = tune_bands(similarity, recall, ROWS)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    found = materialize(_collisions(_occurrences(texts, tune_bands(similarity, recall))), "collisions")
-    members = found.select("doc_id", "seq", "start", "words", "content").distinct()
-    # distinct contents that meet in a key
-    met = found.groupBy("key", "content").agg(F.min(F.struct("doc_id", "seq")).alias("at"))
-    mixed = met.groupBy("key").count().where("count > 1").select("key")
-    near = materialize(met.join(mixed, "key", "left_semi").select("key", "content", "at.doc_id", "at.seq"), "candidates")
-    if near.isEmpty():
-        grouped = members.withColumn("group", F.col("content"))
-    else:
-        sets = materialize(_contents(texts, near.groupBy("content").agg(F.min(F.struct("doc_id", "seq")).alias("at")).select("at.doc_id", "at.seq", "content")), "contents")
-        held = near.select("key", "content").join(sets, "content")
-        a, b = held.select("key", F.col("content").alias("a"), F.col("shingles").alias("x")), held.select("key", F.col("content").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        links = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (both >= similarity * (F.size("x") + F.size("y") - both))).select("a", "b")
-        joined = components(materialize(links.distinct(), "near")).withColumnsRenamed({"node": "content", "component": "group"})
-        grouped = members.join(joined, "content", "left").withColumn("group", F.coalesce("group", "content"))
-    grouped = materialize(grouped, "members")
-    first = F.min(F.struct("doc_id", "seq"))
-    groups = grouped.groupBy("group").agg(first.alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").select("group", "first")
-    at = grouped.join(groups, "group").select(
-        "doc_id", "seq", "start", "words", F.col("first.doc_id").alias("first_doc"), (F.struct("doc_id", "seq") != F.col("first")).alias("later")
+    texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    units = materialize(_paragraphs(texts.select("doc_id", "text_hash", "text"), bands), "paragraphs")
+    keys = units.select("doc_id", F.explode(F.concat("p_key", "l_keys")).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key")
+    shared = materialize(shared, "shared")
+
+    # pieces: all words agree, in two independent hashes
+    pieces = units.select("doc_id", "text_hash", "total", F.inline(F.arrays_zip("p_start", "p_words", "p_key", "p_content"))).withColumnsRenamed(
+        {"p_start": "start", "p_words": "words", "p_key": "key", "p_content": "content"}
+    )
+    pieces = materialize(sift(pieces, F.col("key"), shared, "key").join(shared, "key", "left_semi").distinct(), "pieces")
+    place = F.struct("doc_id", "text_hash", "start", "words")
+    firsts = pieces.groupBy("key", "content").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").drop("last")
+    members = pieces.join(materialize(firsts, "firsts"), ["key", "content"]).select("doc_id", "text_hash", "total", "start", "words", "first")
+
+    # lines: those that meet in a band, by their content
+    n_line = F.sequence(F.lit(0), F.size("l_start") - 1)
+    line = lambda c: F.get(F.col(c), F.col("i"))
+    lines = units.where("size(l_start) > 0").select("*", F.explode(n_line).alias("i")).select(
+        "doc_id", "text_hash", "total", line("l_start").alias("start"), line("l_words").alias("words"), line("l_content").alias("content"),
+        F.slice("l_keys", F.col("i") * bands + 1, F.lit(bands)).alias("keys"),
+    )
+    met = sift(lines.withColumn("key", F.explode("keys")).drop("keys"), F.col("key"), shared, "key").join(shared, "key", "left_semi")
+    met = materialize(met.distinct(), "lines")
+    held = materialize(met.select("doc_id", "text_hash", "total", "start", "words", "content").distinct(), "held")
+    one = held.groupBy("content").agg(F.min(F.struct("doc_id", "text_hash", "start", "words")).alias("at"))
+    rows = materialize(met.select(F.col("content").alias("doc_id"), "key").distinct(), "bands")
+    links = minhash.linked(rows, lambda ids: _line_sets(texts, one.join(ids.withColumnRenamed("doc_id", "content"), "content", "left_semi").select("at.*", "content")), similarity, block)
+    groups = components(links).withColumnsRenamed({"node": "content", "component": "group"})
+    held = materialize(held.join(groups, "content", "left").withColumn("group", F.coalesce("group", "content")), "grouped")
+    firsts = held.groupBy("group").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").drop("last")
+    near = held.join(materialize(firsts, "firsts"), "group").select("doc_id", "text_hash", "total", "start", "words", "first")
+
+    later = materialize(members.unionByName(near).where(place != F.col("first")).withColumn("end", F.col("start") + F.col("words")), "later")
+    by = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    same_first = F.lag("first.doc_id").over(by) == F.col("first.doc_id")
+    shift = lambda f, at: f.getField("start") - at
+    alike = F.abs(shift(F.lag("first").over(by), F.lag("start").over(by)) - shift(F.col("first"), F.col("start"))) <= 3
+    marked = materialize(_merged(later, GAP, same_first, alike), "marked")
+    runs = marked.groupBy("doc_id", "text_hash", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.first("total").alias("total"),
+        F.min("first.doc_id").alias("first_doc_id"), F.min_by("first", F.struct("start", "end")).alias("l"), F.max_by("first", F.struct("end", "start")).alias("r"),
+    )
+    runs = runs.select("doc_id", "text_hash", "run", "start", "end", "total", "first_doc_id", F.col("l.doc_id").alias("l_doc"), F.col("l.text_hash").alias("l_hash"), F.col("l.start").alias("l_at"),
+                       F.col("r.doc_id").alias("r_doc"), F.col("r.text_hash").alias("r_hash"), (F.col("r.start") + F.col("r.words")).alias("r_at"))
+    runs = materialize(runs, "runs")
+    ask = lambda d, h, at: F.struct(F.col(d).alias("doc_id"), F.col(h).alias("text_hash"), F.col(at).cast("int").alias("place"))
+    to_left, to_right = F.col("start") > 0, F.col("end") < F.col("total")
+    places = F.filter(
+        F.array(
+            F.when(to_left, ask("doc_id", "text_hash", "start")), F.when(to_left, ask("l_doc", "l_hash", "l_at")),
+            F.when(to_right, ask("doc_id", "text_hash", "end")), F.when(to_right, ask("r_doc", "r_hash", "r_at")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    around = materialize(_surroundings(texts, runs.select(F.explode(places).alias("x")).select("x.*").distinct()), "around")
+
+    def beside(rows: DataFrame, d: str, h: str, at: str, side: str, name: str) -> DataFrame:
+        words = around.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("place").alias("_p"), F.col(side).alias(name))
+        return rows.join(words, (F.col(d) == F.col("_d")) & (F.col(h) == F.col("_h")) & (F.col(at) == F.col("_p")), "left").drop("_d", "_h", "_p")
+
+    wide = beside(beside(runs, "doc_id", "text_hash", "start", "left", "my_left"), "l_doc", "l_hash", "l_at", "left", "its_left")
+    wide = beside(beside(wide, "doc_id", "text_hash", "end", "right", "my_right"), "r_doc", "r_hash", "r_at", "right", "its_right")
+    wide = wide.withColumn("before", F.when(to_left, _agreeing(F.col("my_left"), F.col("its_left"))).otherwise(0)).withColumn("after", F.when(to_right, _agreeing(F.col("my_right"), F.col("its_right"))).otherwise(0))
+    wide = materialize(wide.drop("my_left", "its_left", "my_right", "its_right").withColumn("n", F.col("end") + F.col("after") - F.col("start") + F.col("before")).where(F.col("n") >= min_words), "wide")
+
+    moved = _merged(wide.select("doc_id", "text_hash", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("after")).alias("end"), "first_doc_id"), 0)
+    later_rows = materialize(_passages(moved, F.min("first_doc_id"), F.lit(1)), "removed")
+    # where the first occurrences stand: the paragraphs of the passages kept, and what their edges were moved by
+    inner = marked.join(wide.select("doc_id", "text_hash", "run"), ["doc_id", "text_hash", "run"], "left_semi").select(
+        F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), F.col("first.start").alias("start"), (F.col("first.start") + F.col("first.words")).alias("end")
     )
-    by = Window.partitionBy("doc_id").orderBy("start")
-    fresh = (F.col("start") > F.coalesce(F.lag(F.col("start") + F.col("words")).over(by), F.lit(-1))).cast("int")
-    runs = at.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by))
+    edges = wide.select(F.col("l_doc").alias("doc_id"), F.col("l_hash").alias("text_hash"), (F.col("l_at") - F.col("before")).alias("start"), F.col("l_at").alias("end")).unionByName(
+        wide.select(F.col("r_doc").alias("doc_id"), F.col("r_hash").alias("text_hash"), F.col("r_at").alias("start"), (F.col("r_at") + F.col("after")).alias("end"))
+    )
+    first_rows = _passages(_merged(inner.unionByName(edges).distinct(), GAP), F.first("doc_id"), F.lit(0)).where(F.col("n_words") >= min_words)
+    inside = later_rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("start_word").alias("lo"), (F.col("start_word") + F.col("n_words")).alias("hi"))
+    held_by = (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("start_word") >= F.col("lo")) & (F.col("start_word") + F.col("n_words") <= F.col("hi"))
+    first_rows = first_rows.join(inside, held_by, "left_anti")  # a first line may hold a later passage
+    out = materialize(later_rows.unionByName(first_rows), "passages")
+    release(units, shared, pieces, met, held, later, marked, runs, around, wide, later_rows)
+    return out
+
+
+def _passages(runs: DataFrame, first: Column, removed: Column) -> DataFrame:
+    n = (F.max("end") - F.min("start")).cast("bigint")
     return (
-        runs.groupBy("doc_id", "run")
-        .agg(
-            F.min("start").alias("start_word"),
-            F.sum("words").cast("bigint").alias("n_words"),
-            F.min("first_doc").alias("first_doc_id"),
-            F.sum(F.when(F.col("later"), F.col("words")).otherwise(0)).cast("bigint").alias("n_removed"),
-        )
-        .where(F.col("n_words") >= min_words)
-        .drop("run")
+        runs.groupBy("doc_id", "text_hash", "run")
+        .agg(F.min("start").cast("int").alias("start_word"), n.alias("n_words"), first.alias("first_doc_id"), (n * F.max(removed)).alias("n_removed"))
+        .select("doc_id", "start_word", "n_words", "first_doc_id", "n_removed", "text_hash")
     )
 
 
 def remove_passages(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the wholly later passages cut out of their texts; words are joined by single spaces there."""
-    from .common import word_array
+    """``docs`` with later passages cut out of their texts; words are joined by single spaces there.
 
-    spans = passages.where("n_removed = n_words").groupBy(F.col("doc_id").alias("p")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans"))
-    words = F.filter(word_array(F.col(text_col)), lambda w, i: ~F.exists("spans", lambda s: (i >= s["start_word"]) & (i < s["start_word"] + s["n_words"])))
-    cut = F.when(F.col("spans").isNotNull(), F.array_join(words, " ")).otherwise(F.col(text_col))
-    return docs.join(spans, F.col(id_col) == F.col("p"), "left").withColumn(text_col, cut).select(*docs.columns)
+    Rows without a later passage, null texts and ids among them, are left as
+    they are; rows that share an id are told apart by their text, and repeated
+    rows are cut alike. Every column of ``docs`` is kept, whatever its name; an
+    empty table gives no rows.
+    """
+    spans = passages.where("n_removed > 0").groupBy(F.col("doc_id").alias("p_doc"), F.col("text_hash").alias("p_hash"))
+    spans = spans.agg(F.collect_list(F.struct("start_word", "n_words")).alias("p_spans"))
+    rows = wrapped(docs)
+    text = F.col("row").getField(text_col)
+    words = F.filter(word_array(text), lambda w, i: ~F.exists("p_spans", lambda s: (i >= s["start_word"]) & (i < s["start_word"] + s["n_words"])))
+    cut_text = F.when(F.col("p_spans").isNotNull(), F.array_join(words, " ")).otherwise(text)
+    joined = rows.join(spans, (F.col("row").getField(id_col).cast("bigint") == F.col("p_doc")) & (F.xxhash64(text) == F.col("p_hash")), "left")
+    return unwrapped(joined.withColumn("row", F.col("row").withField(text_col, cut_text)), docs)

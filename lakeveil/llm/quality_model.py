@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common  # noqa: F401  functions travel by value
-from .common import materialize
+from .common import materialize, release, wrapped
 
 BITS = 18
 SIZE = 1 << BITS
 #: Labelled rows used for the hinge-loss fit and for the curve; ratios are counted over all of them.
-FIT_ROWS, CURVE_ROWS = 6000, 1500
+FIT_ROWS, CURVE_ROWS = 8000, 2000
+#: Bytes of their indicators (4 each) that the driver takes at most; rows beyond, by the order of their hashes, are left out of the fit.
+FIT_BYTES = 96_000_000
 
 
 class Words(dict):
@@ -138,9 +140,13 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, fl
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
     last = labelled.select(order.alias("order")).orderBy("order").limit(FIT_ROWS + CURVE_ROWS).agg(F.max("order")).first()[0]
     chosen = labelled.where(order <= F.lit(last)).withColumn("order", order)
-    sample = chosen.select("order", "text", "label").mapInArrow(describe, "order bigint, slots binary, label int").collect()
+    described = materialize(chosen.select("order", "text", "label").mapInArrow(describe, "order bigint, slots binary, label int"), "fit")
+    # as many bytes a row as leave the whole within the bound; the table has FIT_ROWS + CURVE_ROWS rows, and repeats of the last id
+    sizes = sorted((r["order"], r["n"]) for r in described.groupBy("order").agg(F.sum(F.octet_length("slots")).alias("n")).collect())
+    upto = np.searchsorted(np.cumsum([n for _, n in sizes]), FIT_BYTES, "right")
+    sample = described.where(F.col("order") <= sizes[max(0, upto - 1)][0]).limit(FIT_ROWS + CURVE_ROWS).collect() if sizes else []
+    release(described)
     sample.sort(key=lambda r: (r["order"], bytes(r["slots"])))
-    del sample[FIT_ROWS + CURVE_ROWS :]  # repeated rows of the last id
     rows = [np.frombuffer(r["slots"], np.int32) for r in sample]
     y = np.array([1.0 if r["label"] else -1.0 for r in sample])
     if not len(y) or len(set(y)) < 2:  # nothing to tell apart: the share of good labels, for all
@@ -170,7 +176,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, keep_columns: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; or with ``keep_columns`` all of ``docs`` and ``_score``.
+    """doc_id, held_out, score, predicted for every row; or with ``keep_columns`` row (all of ``docs``) and score.
 
     Only the text is an input of a score. Rows whose crc32 of the id as text is
     2 modulo 4 are held out of all learning; a null id is not held out. A text
@@ -182,21 +188,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     learn = materialize(labelled_rows(docs, labels, id_col, text_col, label_col), "labelled")
     weight, square, bias, a, b = train(learn)
     weight, square = weight.astype(np.float32), square.astype(np.float32)
-    text_at, keep = (text_col, docs.columns) if keep_columns else ("text", ["doc_id"])
+    source = wrapped(docs).select("row", F.col("row").getField(text_col).alias("text")) if keep_columns else docs.select(F.col(id_col).alias("row"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in batches:
-            m = np.array([_margin(indicators(t, cache), weight, square, bias) for t in batch.column(text_at).to_pylist()], float)
+            m = np.array([_margin(indicators(t, cache), weight, square, bias) for t in batch.column("text").to_pylist()], float)
             score = 1 / (1 + np.exp(-np.clip(a * m + b, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score)], [*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], ["row", "score"])
 
     from pyspark.sql.types import DoubleType, StructType
 
-    source = docs if keep_columns else docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = StructType([source.schema[c] for c in keep]).add("_score", DoubleType())
-    scored = source.mapInArrow(run, schema)
+    scored = source.mapInArrow(run, StructType([source.schema["row"]]).add("score", DoubleType()))
     if keep_columns:
         return scored
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    held = F.coalesce(F.crc32(F.col("row").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    return scored.select(F.col("row").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -8,7 +8,7 @@ ROWS = [
     (1, PROSE), (2, PROSE.replace(" ", "\n\t ")), (3, None), (4, ""), (5, " \n\t "), (6, LONG), (7, "short text"), (7, "short text"), (None, PROSE), (None, None),
     (8, "The The The The " * 40), (9, "NOW!! BUY!! " * 60), (10, "é ß 漢字 \U0001f600 \x1c end"), (11, "a"), (12, LONG + " tail"),
 ]
-CLASHES = ["kept", "score", "fp", "rid", "size", "level", "name", "key", "label", "component_id", "text_sha256", "place", "shard", "block", "ids", "n_words", "held", "seq"]
+CLASHES = ["kept", "score", "fp", "rid", "size", "level", "name", "key", "label", "component_id", "text_sha256", "place", "shard", "block", "ids", "n_words", "held", "seq", "p", "spans", "row", "_id", "_sha", "_score", "_text_sha", "_at_domain", "_d", "_h", "_word", "_bit", "text_hash", "pid", "bin"]
 
 
 def odd(spark, rows=None):

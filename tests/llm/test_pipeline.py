@@ -3,12 +3,17 @@ import random
 import pytest
 
 import corpus_pipeline
-from lakeveil.llm import minhash, passages, simhash
+from lakeveil.llm import hashes, minhash, simhash
 from tests.llm.frames import ROWS, empty, odd
 
 
 def test_stages(spark, small):
     docs = odd(spark)
+    good = corpus_pipeline.quality(spark, docs, small)
+    assert good.columns == docs.columns and {(r.doc_id, r.text) for r in good.collect()} <= set(ROWS)
+    assert all(r[c] == "clash" for r in good.collect() for c in docs.columns[4:])
+    packed = corpus_pipeline.pack(spark, docs, small)
+    assert packed.select("doc_id").distinct().count() == len({i for i, _ in ROWS})
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixture", "packing"]
     exact = corpus_pipeline.exact(spark, docs, small)
     assert exact.columns == docs.columns
@@ -23,7 +28,7 @@ def test_stages(spark, small):
 @pytest.mark.parametrize("block", [256, 2])
 def test_near_copies_by_jaccard(spark, block):
     """Against brute force: documents with words changed at several places, many of them more than 4 bits apart."""
-    cache, rng = passages.Hashes(), random.Random(5)
+    cache, rng = hashes.Words(), random.Random(5)
     rows = []
     for family in range(12):
         words = [f"f{family}w{i}" for i in range(120)]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lakeveil.llm import golay, lm_score, packing, passages, ppm, quality_model, sharding, simhash
+from lakeveil.llm import golay, lm_score, packing, ppm, quality_model, sharding, simhash
 from tests.llm.frames import LONG, ROWS, empty, no_labels, odd
 
 
@@ -79,32 +79,6 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_bands_are_tuned():
-    assert passages.tune_bands(0.8, 0.95) == 2 and passages.tune_bands(0.8, 0.99) == 3
-    assert passages.tune_bands(0.8, 0.95, rows=4) == 6
-
-
-def test_repeated_passages(spark):
-    shared = " ".join(f"shared{i * 7 % 61}q{i}" for i in range(70))
-    text = lambda k: " ".join(f"own{k}n{i}" for i in range(80))
-    rows = [(1, text(1) + " " + shared + " " + text(2)), (2, shared + " tail"), (3, text(3)), (4, text(4) + "\n" + shared), (5, None), (6, ""), (7, text(7)), (7, text(7)), (None, shared)]
-    found = passages.repeated_passages(odd(spark, rows)).collect()
-    assert {r.doc_id for r in found} == {1, 2, 4}
-    assert {r.doc_id: r.n_removed == r.n_words for r in found} == {1: False, 2: True, 4: True}
-    # a paragraph at the edge may hold a neighbouring word and still be near enough
-    assert all(r.first_doc_id == 1 and 40 <= r.n_words <= 75 for r in found)
-    cut = {r.doc_id: r.text for r in passages.remove_passages(odd(spark, rows), passages.repeated_passages(odd(spark, rows))).collect() if r.doc_id}
-    assert cut[3] == text(3) and len(cut[4].split()) < 150 - 35
-    assert passages.repeated_passages(empty(spark)).count() == 0
-
-
-def test_near_paragraphs_are_verified_by_jaccard(spark):
-    """Long paragraphs (no cut in a rising sequence is sure, so the radius' own cuts are used) that differ at an edge."""
-    words = [f"p{i}" for i in range(400)]
-    rows = [(1, " ".join(words)), (2, " ".join(words[3:])), (3, " ".join(f"z{i}" for i in range(400)))]
-    assert {r.doc_id for r in passages.repeated_passages(odd(spark, rows)).collect()} == {1, 2}
-
-
 def test_classifier(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     scored = quality_model.score_documents(docs, labels)
