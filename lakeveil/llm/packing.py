@@ -3,12 +3,15 @@
 Documents are tokenised, ended with id 0, and cut into pieces of the sequence
 length. Pieces are dealt into blocks of a bounded number, by hash. A block is
 evolved on several islands at once. A chromosome is a grouping of the block's
-pieces into bins. Crossover injects well-filled bins of one parent into another
-as a whole, removes the bins that hold the same pieces, and best-fits what is
-displaced; mutation breaks up the emptiest bins. After the first epoch each
-island's elite migrates to the next island of its block, which evolves on; the
-best grouping of a block's islands is its packing. At the end the emptiest
-bins of all blocks are broken up and best-fitted once more in groups of blocks.
+pieces into bins; islands start from best-fit decreasing and from best fits of
+shuffled parts. Crossover injects well-filled bins of one parent into another
+as a whole, removes the bins that hold the same pieces, lets what is displaced
+take the places of smaller pieces where that fills a bin better, and best-fits
+the rest; mutation breaks up the emptiest bins. After each epoch an island's
+elite migrates to the next island of its block. A block is done when it has as
+few bins as a lower bound says it must; the best grouping of its islands is its
+packing. At the end the emptiest bins of all blocks are broken up and
+best-fitted once more, in groups of a bounded number of pieces.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common  # noqa: F401  functions travel by value
-from .common import materialize
+from .common import materialize, release
 
 LENGTH = 2048
 
@@ -135,15 +138,71 @@ def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], room: li
             bisect.insort(open_bins, (room[k], k))
 
 
+def least_bins(sizes: list[int], most: int) -> int:
+    """A lower bound: for each size a up to half a bin, pieces over ``most - a`` are alone with any of a or more,
+    others over half a bin need one each, and what pieces from a to half a bin don't find there needs more."""
+    if not sizes:
+        return 0
+    s = np.sort(np.array(sizes, np.int64))
+    upto, half = np.concatenate([[0], np.cumsum(s)]), int(np.searchsorted(s, most // 2, "right"))
+    small = np.unique(s[:half])
+    big = len(s) - np.searchsorted(s, most - small, "right")
+    wide = len(s) - big
+    free = (wide - half) * most - (upto[wide] - upto[half])
+    rest = upto[half] - upto[np.searchsorted(s, small, "left")]
+    found = big + wide - half + np.maximum(0, -(-(rest - free) // most))
+    return max(-(-int(s.sum()) // most), len(s) - half, int(found.max(initial=0)))
+
+
+def filled(sizes: list[int], piece_ids: list[int]) -> int:
+    return sum([sizes[i] for i in piece_ids])
+
+
 def fitness(sizes: list[int], bins: list[list[int]], most: int) -> tuple[int, float]:
     """Fewer bins first; among equals, fuller bins (a sum of squared fill) are better to build on."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / most) ** 2 for b in bins)
+    return -len(bins), sum([(filled(sizes, b) / most) ** 2 for b in bins])
 
 
-def crossover(sizes: list[int], one: list[list[int]], two: list[list[int]], most: int, rng: random.Random) -> list[list[int]]:
+def swap_in(sizes: list[int], loose: list[int], bins: list[list[int]], room: list[int], rng: random.Random) -> list[int]:
+    """Put a loose piece in the place of one or two smaller ones of a bin, where that fills it best; what is loose afterwards."""
+    order = sorted(loose, key=lambda i: (sizes[i], i))
+    values = [sizes[i] for i in order]
+    open_bins = [k for k, r in enumerate(room) if r]
+    rng.shuffle(open_bins)
+    for k in open_bins:
+        if not order:
+            break
+        held, gain, swap = bins[k], 0, None
+        for x in range(len(held)):
+            for y in range(-1, x):
+                out = (held[x],) if y < 0 else (held[x], held[y])
+                freed = filled(sizes, out)
+                at = bisect.bisect_right(values, freed + room[k]) - 1
+                if at >= 0 and values[at] - freed > gain:
+                    gain, swap = values[at] - freed, (out, at)
+        if swap:
+            out, at = swap
+            bins[k] = [i for i in held if i not in out] + [order.pop(at)]
+            values.pop(at)
+            room[k] -= gain
+            for i in out:
+                at = bisect.bisect_left(values, sizes[i])
+                values.insert(at, sizes[i])
+                order.insert(at, i)
+    return order
+
+
+def settle(sizes: list[int], bins: list[list[int]], loose: list[int], most: int, rng: random.Random, swaps: bool = True) -> list[list[int]]:
+    bins = [list(b) for b in bins]
+    room = [most - filled(sizes, b) for b in bins]
+    best_fit(sizes, swap_in(sizes, loose, bins, room, rng) if swaps else loose, bins, room, most)
+    return bins
+
+
+def crossover(sizes: list[int], one: list[list[int]], two: list[list[int]], most: int, rng: random.Random, swaps: bool = True) -> list[list[int]]:
     """``one`` with some of the best-filled bins of ``two`` injected."""
-    full = sorted(two, key=lambda b: -sum(sizes[i] for i in b))
-    take = rng.sample(full[: max(1, len(full) // 2)], max(1, len(full) // 8))
+    full = sorted(two, key=lambda b: -filled(sizes, b))[: max(1, len(two) // 2)]
+    take = rng.sample(full, max(1, len(full) // 3))
     injected = {i for b in take for i in b}
     kept, loose = [], []
     for b in one:
@@ -151,18 +210,15 @@ def crossover(sizes: list[int], one: list[list[int]], two: list[list[int]], most
             kept.append(b)
         else:
             loose += [i for i in b if i not in injected]
-    bins = [list(b) for b in take] + [list(b) for b in kept]
-    best_fit(sizes, loose, bins, [most - sum(sizes[i] for i in b) for b in bins], most)
-    return bins
+    return settle(sizes, take + kept, loose, most, rng, swaps)
 
 
 def mutate(sizes: list[int], bins: list[list[int]], most: int, rng: random.Random) -> list[list[int]]:
-    """Break up the emptiest bins and a few others, and best-fit what they held."""
-    order = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
-    gone = set(order[: max(1, len(bins) // 50)]) | set(rng.sample(order, min(len(order), 2)))
-    left = [list(b) for k, b in enumerate(bins) if k not in gone]
-    best_fit(sizes, [i for k in gone for i in bins[k]], left, [most - sum(sizes[i] for i in b) for b in left], most)
-    return left
+    """Break up the emptiest bins and as many others, and place what they held anew."""
+    order = sorted(range(len(bins)), key=lambda k: filled(sizes, bins[k]))
+    few = max(1, len(bins) // 20)
+    gone = set(order[:few]) | set(rng.sample(order, min(len(order), few)))
+    return settle(sizes, [b for k, b in enumerate(bins) if k not in gone], [i for k in sorted(gone) for i in bins[k]], most, rng)
 
 
 def start_population(sizes: list[int], most: int, seed: int, people: int) -> list[list[list[int]]]:
@@ -181,17 +237,19 @@ def start_population(sizes: list[int], most: int, seed: int, people: int) -> lis
     return out
 
 
-def evolve(sizes: list[int], population: list[list[list[int]]], most: int, seed: int, rounds: int) -> list[list[list[int]]]:
+def evolve(sizes: list[int], population: list[list[list[int]]], most: int, seed: int, rounds: int, mutation: bool = True, swaps: bool = True) -> list[list[list[int]]]:
     """Steady-state rounds, best first; ends early when the lower bound of bins is reached."""
-    rng, bound = random.Random(seed), math.ceil(sum(sizes) / most)
+    rng, bound = random.Random(seed), least_bins(sizes, most)
     ranked = sorted(((fitness(sizes, b, most), b) for b in population), key=lambda x: x[0], reverse=True)
-    for _ in range(rounds):
-        if -ranked[0][0][0] <= bound:
+    for n in range(rounds):
+        if not ranked or -ranked[0][0][0] <= bound:
             break
         a, b = rng.sample(range(len(ranked)), 2) if len(ranked) > 1 else (0, 0)
-        child = mutate(sizes, crossover(sizes, ranked[min(a, b)][1], ranked[max(a, b)][1], most, rng), most, rng)
+        child = crossover(sizes, ranked[min(a, b)][1], ranked[max(a, b)][1], most, rng, swaps)
+        if mutation and n % 2:
+            child = mutate(sizes, child, most, rng)
         score = fitness(sizes, child, most)
-        if score > ranked[-1][0]:
+        if score > ranked[-1][0] and all(score != x for x, _ in ranked):  # no twins
             ranked[-1] = (score, child)
             ranked.sort(key=lambda x: x[0], reverse=True)
     return [b for _, b in ranked]
@@ -213,12 +271,13 @@ def _bins(flat: list[int]) -> list[list[int]]:
     return [b for b in out if b]
 
 
-def pack_pieces(pieces: DataFrame, most: int = LENGTH, block: int = 4096, islands: int = 2, people: int = 3, rounds: int = 6, seed: int = 11) -> DataFrame:
+def pack_pieces(pieces: DataFrame, most: int = LENGTH, block: int = 1024, islands: int = 2, people: int = 8, rounds: int = 60, epochs: int = 3, merged: int = 8192, seed: int = 11) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece, length (0 < length <= most).
 
     Pieces of full length are sequences of their own. The rest is dealt into
     blocks of about ``block`` pieces, whatever the table's size. Repeated rows
-    are pieces of their own. An empty table gives no rows.
+    are pieces of their own. An empty table gives no rows. ``pid`` is added for
+    the work, and no column of ``pieces`` may have that name.
     """
     columns = pieces.columns
     kept = materialize(pieces.withColumn("pid", F.monotonically_increasing_id()), "pieces")
@@ -227,49 +286,64 @@ def pack_pieces(pieces: DataFrame, most: int = LENGTH, block: int = 4096, island
     short = kept.where(F.col("length") < most).select(
         F.pmod(F.xxhash64("pid", F.lit(seed)), F.lit(blocks)).cast("int").alias("block"), "pid", F.col("length").cast("int").alias("size")
     )
-    schema = "block int, island int, pids array<bigint>, sizes array<int>, bins array<int>, n_bins int"
-    spread = short.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    schema = "block int, island int, pids array<bigint>, sizes array<int>, people array<array<int>>, n_bins int, done boolean"
 
-    def row(block_id: int, island: int, pids: list[int], sizes: list[int], bins: list[list[int]]) -> pa.Table:
+    def row(key, epoch: int, pids: list[int], sizes: list[int], population: list[list[list[int]]]) -> pa.Table:
+        block_id, island = key[0].as_py(), key[1].as_py()
+        now = evolve(sizes, population, most, seed + 31 * block_id + island + 977 * epoch, rounds)
+        done = len(now[0]) <= least_bins(sizes, most)
+        flat = [_flat(x) for x in (now[:1] if done or epoch + 1 == epochs else now)]
         return pa.table(
             {
                 "block": pa.array([block_id], pa.int32()),
                 "island": pa.array([island], pa.int32()),
                 "pids": pa.array([pids], pa.list_(pa.int64())),
                 "sizes": pa.array([sizes], pa.list_(pa.int32())),
-                "bins": pa.array([_flat(bins)], pa.list_(pa.int32())),
-                "n_bins": pa.array([len(bins)], pa.int32()),
+                "people": pa.array([flat], pa.list_(pa.list_(pa.int32()))),
+                "n_bins": pa.array([len(now[0])], pa.int32()),
+                "done": pa.array([done], pa.bool_()),
             }
         )
 
     def first_epoch(key, rows):
-        block_id, island = key[0].as_py(), key[1].as_py()
         rows = rows.sort_by("pid")
         pids, sizes = rows.column("pid").to_pylist(), rows.column("size").to_pylist()
-        people_now = evolve(sizes, start_population(sizes, most, seed * 1000 + island, people), most, seed + 31 * block_id + island, rounds)
-        return row(block_id, island, pids, sizes, people_now[0])
-
-    def second_epoch(key, rows):
-        """An island with its own elite and the one that came from its neighbour."""
-        rows = rows.sort_by("from")
-        sizes, pids = rows.column("sizes")[0].as_py(), rows.column("pids")[0].as_py()
-        people_now = evolve(sizes, [_bins(x.as_py()) for x in rows.column("bins")], most, seed + 977 + 31 * key[0].as_py() + key[1].as_py(), rounds)
-        return row(key[0].as_py(), key[1].as_py(), pids, sizes, people_now[0])
-
-    elites = materialize(spread.groupBy("block", "island").applyInArrow(first_epoch, schema), "elites")
-    # each elite stays and migrates to the next island
-    moved = elites.withColumn("from", F.col("island")).withColumn("island", F.explode(F.array("island", (F.col("island") + 1) % islands)))
-    evolved = moved.groupBy("block", "island").applyInArrow(second_epoch, schema)
-    best = evolved.groupBy("block").agg(F.min_by(F.struct("pids", "sizes", "bins"), F.struct("n_bins", "island")).alias("best"))
+        return row(key, 0, pids, sizes, start_population(sizes, most, seed * 1000 + key[1].as_py(), people))
+
+    def next_epoch(epoch: int):
+        def run(key, rows):
+            """An island's people and, in place of the last of them, the elite that came from its neighbour."""
+            rows = rows.sort_by("came")
+            pids, sizes = rows.column("pids")[0].as_py(), rows.column("sizes")[0].as_py()
+            own, guests = rows.column("people")[0].as_py(), rows.column("people").to_pylist()[1:]
+            now = own[: max(1, people - len(guests))] + [g[0] for g in guests]
+            return row(key, epoch, pids, sizes, [_bins(x) for x in now])
+
+        return run
+
+    spread = short.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    state = materialize(spread.groupBy("block", "island").applyInArrow(first_epoch, schema), "epoch0")
+    for epoch in range(1, epochs):
+        open_blocks = state.groupBy("block").agg(F.max("done").alias("any")).where("not any").select("block")
+        if open_blocks.isEmpty():
+            break
+        unsettled = state.join(open_blocks, "block", "left_semi")
+        guests = unsettled.withColumn("island", (F.col("island") + 1) % islands).withColumn("people", F.slice("people", 1, 1))
+        both = unsettled.withColumn("came", F.lit(False)).unionByName(guests.withColumn("came", F.lit(True)))
+        evolved = both.groupBy("block", "island").applyInArrow(next_epoch(epoch), schema)
+        last, state = state, materialize(state.join(open_blocks, "block", "left_anti").unionByName(evolved), f"epoch{epoch}")
+        release(last)
+    best = state.groupBy("block").agg(F.min_by(F.struct("pids", "sizes", F.col("people")[0].alias("bins")), F.struct("n_bins", "island")).alias("best"))
     placed = materialize(
         best.select("block", F.explode(F.arrays_zip("best.pids", "best.sizes", "best.bins")).alias("x")).select(
             "block", F.col("x.pids").alias("pid"), F.col("x.sizes").alias("size"), F.col("x.bins").alias("bin")
         ),
         "placed",
     )
+    release(state)
 
     def merge(key, rows):
-        """The emptiest bins of some blocks, broken up and best-fitted together."""
+        """Some of the emptiest bins, broken up and best-fitted together."""
         rows = rows.sort_by("pid")
         sizes, bins, room = rows.column("size").to_pylist(), [], []
         best_fit(sizes, list(range(len(sizes))), bins, room, most)
@@ -279,8 +353,10 @@ def pack_pieces(pieces: DataFrame, most: int = LENGTH, block: int = 4096, island
         group = -1 - key[0].as_py()
         return pa.table({"pid": rows.column("pid"), "size": rows.column("size"), "block": pa.array([group] * len(sizes), pa.int32()), "bin": pa.array(_flat(bins), pa.int32())})
 
-    filled = placed.groupBy("block", "bin").agg(F.sum("size").alias("filled"))
-    loose = filled.where(F.col("filled") < most * 0.9).select("block", "bin", F.expr("cast(floor(block / 256) as int)").alias("group"))
+    each = placed.groupBy("block", "bin").agg(F.sum("size").alias("filled"), F.count("*").alias("n"))
+    loose = materialize(each.where(F.col("filled") < most * 0.9).select("block", "bin", "n"), "loose")
+    groups = max(1, math.ceil((loose.agg(F.sum("n")).first()[0] or 0) / merged))
+    loose = loose.select("block", "bin", F.pmod(F.xxhash64("block", "bin"), F.lit(groups)).cast("int").alias("group"))
     marked = placed.join(loose, ["block", "bin"], "left")
     again = marked.where("group is not null").groupBy("group").applyInArrow(merge, "pid bigint, size int, block int, bin int")
     at = marked.where("group is null").select("pid", "size", "block", "bin").unionByName(again)
@@ -296,7 +372,7 @@ def pack_pieces(pieces: DataFrame, most: int = LENGTH, block: int = 4096, island
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """sequence_id, ids: the packed sequences themselves, from rows with ids."""
+    """sequence_id, ids: the packed sequences themselves, from rows with ids. A sequence has one piece for each place; an empty table gives no rows."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(F.aggregate(F.transform(parts, lambda x: x["ids"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"))
 

@@ -1,5 +1,6 @@
 """SimHash, passages, classifier, sharding, scoring and packing: against brute force."""
 
+import random
 import struct
 import zlib
 from collections import Counter
@@ -208,8 +209,6 @@ def test_packing_round_trip(spark):
 
 
 def test_genetic_steps_keep_every_piece():
-    import random
-
     rng = random.Random(5)
     sizes = [rng.randint(1, 1400) for _ in range(300)]
     people = packing.start_population(sizes, 2048, 1, 3)
@@ -217,3 +216,50 @@ def test_genetic_steps_keep_every_piece():
     assert sorted(i for b in best for i in b) == list(range(300))
     assert all(sum(sizes[i] for i in b) <= 2048 for b in best)
     assert len(best) <= min(map(len, people)) and len(best) <= -(-sum(sizes) // 2048) * 1.03 + 1
+
+
+def test_lower_bound_of_bins():
+    assert packing.least_bins([1500] * 4 + [600] * 4, 2048) == 6  # no 600 beside a 1500, three in a bin
+    assert packing.least_bins([1100] * 5, 2048) == 5 and packing.least_bins([10, 20], 2048) == 1 and packing.least_bins([], 2048) == 0
+    rng = random.Random(3)
+    for _ in range(50):  # never above a packing that exists
+        bins = [[rng.randint(1, 700) for _ in range(3)] for _ in range(20)]
+        assert packing.least_bins([x for b in bins for x in b], max(map(sum, bins))) <= 20
+
+
+@pytest.mark.parametrize(("low", "high", "saved"), [(300, 900, 0.015), (500, 1400, 0.008)])
+def test_evolution_needs_fewer_bins_than_every_start(low, high, saved):
+    """Where best-fit decreasing is far from the bound; by crossover alone, too."""
+    rng = random.Random(7)
+    sizes = [rng.randint(low, high) for _ in range(1024)]
+    people = packing.start_population(sizes, 2048, 1, 8)
+    start = min(map(len, people))
+    assert start == len(people[0])  # the first is best-fit decreasing
+    assert len(packing.evolve(sizes, people, 2048, 2, 100)[0]) <= start * (1 - saved)
+    assert len(packing.evolve(sizes, people, 2048, 2, 300, mutation=False, swaps=False)[0]) < start
+
+
+def test_hard_sizes_through_spark(spark):
+    rng = random.Random(9)
+    rows = [(i, 0, rng.randint(300, 900)) for i in range(2000)]
+    packed = packing.pack_pieces(spark.createDataFrame(rows, "doc_id bigint, piece int, length bigint"), block=512, merged=300).collect()
+    used = {}
+    for r in packed:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    plain: list = []
+    packing.best_fit([n for _, _, n in rows], list(range(2000)), plain, [], 2048)
+    assert len(packed) == 2000 and max(used.values()) <= 2048
+    assert len(used) < 0.985 * len(plain) and len(used) <= 1.012 * sum(n for _, _, n in rows) / 2048
+
+
+def test_encoder_on_random_strings():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    encode, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    letters = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA0, 0x100)]] + list("abcdest '  \n") * 9
+    for _ in range(5000):
+        text = "".join(rng.choices(letters, k=rng.randrange(1, 60)))
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert encode(text) == struct.pack(f"<{len(ids)}I", *ids)
