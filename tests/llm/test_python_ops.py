@@ -227,16 +227,16 @@ def test_lower_bound_of_bins():
         assert packing.least_bins([x for b in bins for x in b], max(map(sum, bins))) <= 20
 
 
-@pytest.mark.parametrize(("low", "high", "saved"), [(300, 900, 0.015), (500, 1400, 0.008)])
-def test_evolution_needs_fewer_bins_than_every_start(low, high, saved):
-    """Where best-fit decreasing is far from the bound; by crossover alone, too."""
+@pytest.mark.parametrize(("low", "high", "saved", "swaps"), [(300, 900, 0.015, False), (500, 1400, 0.008, True)])
+def test_evolution_needs_fewer_bins_than_every_start(low, high, saved, swaps):
+    """Where best-fit decreasing is far from the bound; by crossover alone, too (of large pieces with the swaps of displaced ones)."""
     rng = random.Random(7)
     sizes = [rng.randint(low, high) for _ in range(1024)]
     people = packing.start_population(sizes, 2048, 1, 8)
     start = min(map(len, people))
     assert start == len(people[0])  # the first is best-fit decreasing
     assert len(packing.evolve(sizes, people, 2048, 2, 100)[0]) <= start * (1 - saved)
-    assert len(packing.evolve(sizes, people, 2048, 2, 300, mutation=False, swaps=False)[0]) < start
+    assert len(packing.evolve(sizes, people, 2048, 2, 300, mutation=False, swaps=swaps)[0]) < start
 
 
 def test_hard_sizes_through_spark(spark):
