@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common  # noqa: F401  functions travel by value
-from .common import materialize, release
+from .common import materialize, release, sliced
 
 LENGTH = 2048
 
@@ -48,7 +48,7 @@ class Encoder:
     follow other rules, go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -99,7 +99,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer)
-        for b in batches:
+        for b in sliced(batches):
             rows, piece, start, size, ids = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 raw = encode(text or "") + end
