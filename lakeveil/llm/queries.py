@@ -21,29 +21,31 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.license_scan(table(spark, sf_dir, "documents"))
-    return found.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat(m["line"].cast("string"), F.lit(":"), m["license"])), ";"))
+    return found.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat(m["start_word"].cast("string"), F.lit("+"), m["n_words"].cast("string"), F.lit(":"), m["license"])), ";"))
 
 
 def _license_sql(least: float = 0.8) -> str:
+    """Windows by joins of positions; no pruning but that a document shares enough with a template."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows, low = [], 1e9
-    for name, text in license_scan.TEMPLATES.items():
-        grams = sorted(license_scan.bigrams(text))
-        lo, hi = license_scan.size_bounds(len(grams), least)
-        low = min(low, lo)
-        rows.append(f"({quoted(name)}, [{', '.join(map(quoted, grams))}], {lo!r}, {hi!r})")
+    known = license_scan.openings(license_scan.TEMPLATES)
+    rows = ", ".join(f"({r}, {quoted(name)}, {len(g)}, {length}, [{', '.join(map(quoted, g))}])" for r, (name, g, length) in enumerate(known))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
-with x as (select doc_id, coalesce(text, '') t from documents),
-passages as (select doc_id, (i - 1)::int line, l[i] t from (select doc_id, string_split(t, chr(10)) l from x), unnest(generate_series(1, len(l))) u(i)
-  union all select doc_id, coalesce(list_sum(list_transform(q[1:i-1], lambda y: len(string_split(y, chr(10))) + 1)), 0)::int, q[i]
-  from (select doc_id, string_split_regex(t, '\n[\x20\t\r]*\n') q from x where contains(t, chr(10) || chr(10))), unnest(generate_series(1, len(q))) u(i) where contains(q[i], chr(10))),
-words as (select doc_id, line, string_split(trim(regexp_replace(translate(t, '{upper}', '{upper.lower()}'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')), ' ') w from passages),
-grams as (select doc_id, line, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g from words where len(w) > {max(1, int(low))}),
-templates as (select * from (values {', '.join(rows)}) v(license, tg, lo, hi)),
-scored as (select doc_id, line, license, 2 * len(list_intersect(g, tg)) / (len(g) + len(tg)) score from grams join templates on len(g) between lo and hi),
-found as (select doc_id, count(*) n, string_agg(line || ':' || license, ';' order by line, license) matches, first(license order by score desc, license, line) license, max(score) score
-  from scored where score >= {least} group by doc_id)
+with templates as (select * from (values {rows}) v(rank, license, b, length, gs)),
+tgrams as (select rank, b, length, unnest(gs) g from templates),
+x as (select doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')), ' ') w from documents),
+grams as (select doc_id, i - 1 pos, w[i] || ' ' || w[i + 1] g from (select doc_id, w, unnest(generate_series(1, len(w) - 1)) i from x)),
+hits as (select doc_id, rank, b, length, pos, g from grams join tgrams using (g)),
+enough as (select doc_id, rank from hits group by doc_id, rank, b having count(distinct g) * (2 - {least}) + 1e-6 >= {least} * b),
+near as (select * from hits semi join enough using (doc_id, rank)),
+wins as (select p.doc_id, p.rank, p.b, p.pos p, max(h.pos) q, count(distinct h.g) shared from near p join near h on h.doc_id = p.doc_id and h.rank = p.rank and h.pos between p.pos and p.pos + p.length - 1 group by all),
+sized as (select v.doc_id, v.rank, v.b, p, q, shared, count(distinct g.g) size from wins v join grams g on g.doc_id = v.doc_id and g.pos between p and q group by all),
+scored as (select doc_id, rank, p, q - p + 2 n, shared, 2 * shared / (size + b) score from sized),
+best as (select * from scored where score >= {least} qualify row_number() over (partition by doc_id, rank order by score desc, p) = 1),
+stay as (select * from best m where not exists (select 1 from best o where o.doc_id = m.doc_id and o.p < m.p + m.n and m.p < o.p + o.n
+  and (o.shared > m.shared or (o.shared = m.shared and (o.score > m.score or (o.score = m.score and o.rank < m.rank)))))),
+found as (select doc_id, count(*) n, string_agg(p || '+' || s.n || ':' || license, ';' order by shared desc, score desc, rank) matches,
+  first(license order by shared desc, score desc, rank) license, first(score order by shared desc, score desc, rank) score from stay s join templates using (rank) group by doc_id)
 select doc_id, license, score, coalesce(n, 0)::bigint n_matches, coalesce(matches, '') matches from documents left join found using (doc_id)"""
 
 

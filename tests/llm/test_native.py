@@ -63,22 +63,77 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
-def test_license_scan(spark):
-    rows = [
-        (1, "intro words\nReleased under the  MIT license\nmore"), (2, license_scan.TEMPLATES["MIT"] + " extra"), (3, None), (4, ""), (5, "All rights reserved."), (6, "nothing here at all"),
-        (7, "head\n\n" + license_scan.TEMPLATES["BSD"].replace(". ", ".\n") + "\n\nend"),
-    ]
+def wrapped_at(text, width, end="\n", indent=""):
+    import textwrap
+
+    return (end + indent + end).join(end.join(textwrap.wrap(p, width, initial_indent=indent, subsequent_indent=indent)) for p in text.split("\n\n"))
+
+
+def test_published_licences_are_named(spark):
+    """Whole, wrapped, indented, with either line end, inside other text, and without their last paragraph."""
+    rows, want = [], {}
+    for name, texts in license_scan.TEMPLATES.items():
+        t = texts[0]
+        forms = [t, t.replace("\n\n", " "), wrapped_at(t, 72), wrapped_at(t, 60, "\r\n", " * "), "Copyright (c) 2020 Some One\n" + wrapped_at(t, 70) + "\nint main(void) { return 0; }\n" * 30]
+        if t.count("\n\n") > 1 and not name.startswith("BSD"):
+            forms.append(t[: t.rindex("\n\n")])
+        for f in forms:
+            want[len(rows)] = name
+            rows.append((len(rows), f))
     out = {r.doc_id: r for r in license_scan.license_scan(odd(spark, rows)).collect()}
-    assert {i: r.license for i, r in out.items()} == {1: "MIT-notice", 2: "MIT", 3: None, 4: None, 5: "All-rights-reserved", 6: None, 7: "BSD"}
-    for i, t in rows:  # brute force over lines, without pruning
-        for line, x in enumerate((t or "").split("\n")):
-            for name, template in license_scan.TEMPLATES.items():
-                a, b = license_scan.bigrams(x), license_scan.bigrams(template)
-                dice = 2 * len(a & b) / (len(a) + len(b)) if a or b else 0
-                assert (dice >= 0.8) == any(m.license == name and m.line == line and abs(m.score - dice) < 1e-12 for m in out[i].matches) or i == 7
+    assert {i: r.license for i, r in out.items()} == want
+    assert all(r.n_matches == 1 and r.score > 0.9 for r in out.values())
+
+
+def brute_scan(text, least=0.8):
+    """All passages that begin at a word and are as long as a template, in plain Python."""
+    words = license_scan.normalise(text or "").split(" ")
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    best = []
+    for rank, (name, own, length) in enumerate(license_scan.openings(license_scan.TEMPLATES)):
+        own, found = set(own), None
+        for p in (i for i, g in enumerate(grams) if g in own):
+            w = grams[p : p + length]
+            while w[-1] not in own:
+                w.pop()
+            shared = len(own & set(w))
+            dice = 2 * shared / (len(own) + len(set(w)))
+            if dice >= least and (found is None or dice > found[0]):
+                found = (dice, p, len(w) + 1, shared, rank, name)
+        best += [found] if found else []
+    key = lambda m: (-m[3], -m[0], m[4])
+    stay = [m for m in best if not any(key(o) < key(m) and o[1] < m[1] + m[2] and m[1] < o[1] + o[2] for o in best)]
+    return [(m[5], m[1], m[2], m[0]) for m in sorted(stay, key=key)]
+
+
+def test_license_scan(spark, small):
+    whole = license_scan.TEMPLATES["BSD-3-Clause"][0]
+    rows = [
+        (1, "intro words\nReleased under the  MIT license\nmore"), (2, license_scan.TEMPLATES["MIT"][0] + " extra"), (3, None), (4, ""), (5, "All rights reserved."), (6, "nothing here at all"),
+        (7, "head\n\n" + whole.replace(". ", ".\n") + "\n\nend"), (8, whole[:300] + " " + whole[350:900]), (9, (license_scan.TEMPLATES["ISC"][0] + " and ") * 3), (10, whole + license_scan.TEMPLATES["GPL-3.0"][0]),
+    ] + [(100 + k, t) for k, (_, t) in enumerate(ROWS)]
+    docs = odd(spark, rows).select("doc_id", "text").unionByName(spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text"))
+    out = license_scan.license_scan(docs).collect()
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, r.text)
+    for r in out:
+        want = brute_scan(texts[r.doc_id])
+        assert [tuple(m) for m in r.matches] == want
+        assert r.n_matches == len(want) and (r.license, r.score) == ((want[0][0], want[0][3]) if want else (None, None))
+    assert sum(r.n_matches > 0 for r in out) > 8
     assert license_scan.license_scan(empty(spark)).count() == 0
 
 
+def test_license_scan_equals_its_sql(spark, small):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{small}/documents.parquet' union all by name select 100000 + i as doc_id, t as text from (values {', '.join(f'({k}, {chr(39)}{x[0].replace(chr(39), chr(39) * 2)}{chr(39)})' for k, x in enumerate(license_scan.TEMPLATES.values()))}) v(i, t)")
+    want = con.sql(f"select doc_id, license, score, n_matches, matches from ({queries.ORACLE['op3_license_scan']})").fetchall()
+    docs = spark.createDataFrame(con.sql("select doc_id, text from documents").fetchall(), "doc_id bigint, text string")
+    found = license_scan.license_scan(docs).withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat(m["start_word"].cast("string"), F.lit("+"), m["n_words"].cast("string"), F.lit(":"), m["license"])), ";"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("x", "a", 10), ("x", "b", 1000), ("y", "c", 1000)], "top string, leaf string, tokens bigint")
     budget = F.lit(400)
