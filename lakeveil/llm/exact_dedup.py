@@ -4,13 +4,17 @@ A normalised text is cut into fixed-size byte blocks. Distinct blocks are
 sorted and numbered, which gives each an integer name; then adjacent names are
 paired, distinct pairs are sorted and numbered, and so on until every document
 has one name. Two texts of one block count share a name exactly if they are
-equal: no step relies on a checksum being free of collisions.
+equal: no step relies on a 64-bit checksum being free of collisions. (Only where
+such checksums do clash, a row finds its blocks again by its id and the SHA-256
+of its text.)
 
 To keep block contents off the network, blocks are first sorted by a 64-bit
 checksum. A checksum that occurs once names its block by itself. Contents of
 repeated checksums are compared, and where one checksum has several contents
-they are told apart by their rank. So only repeated blocks travel, once for
-each distinct content and map task, however often they occur.
+they are told apart by their rank. A bitmap of the repeated checksums goes to
+every task, so what travels is repeated blocks, once for each distinct content
+and map task however often they occur, and of the others what the bitmap lets
+through by chance (one in sixteen, until its bound is reached: more beyond).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, materialize, sift
 
 
 def normalised(text: Column) -> Column:
@@ -40,7 +44,7 @@ def _numbered(occurrences: DataFrame, keys: list[str]) -> DataFrame:
         .sortWithinPartitions(*keys)
         .withColumn("name", F.monotonically_increasing_id())
     )
-    return occurrences.join(names, keys).drop(*keys)
+    return occurrences.join(materialize(names, "names"), keys).drop(*keys)
 
 
 def block_names(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, checksum_bits: int) -> tuple[DataFrame, DataFrame]:
@@ -63,14 +67,9 @@ def block_names(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, c
     )
     at = rows.select("rid", "doc_id", "text_sha256", F.size("sums").alias("n"), F.posexplode("sums").alias("pos", "h"))
 
-    repeated = at.groupBy("h").count().where("count > 1").select("h")
-    contents = materialize(
-        source.select(F.explode(blocks).alias("block"))
-        .select(checksum(F.col("block")).alias("h"), "block")
-        .join(repeated, "h", "left_semi")
-        .distinct(),
-        "contents",
-    )
+    repeated = materialize(at.groupBy("h").count().where("count > 1").select("h"), "repeated")
+    every = source.select(F.explode(blocks).alias("block")).select(checksum(F.col("block")).alias("h"), "block")
+    contents = materialize(sift(every, F.col("h"), repeated, "h").distinct().join(repeated, "h", "left_semi"), "contents")
     clashing = contents.groupBy("h").count().where("count > 1").select("h")
     if clashing.isEmpty():
         at = at.withColumn("variant", F.lit(0))
@@ -119,7 +118,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, done = block_names(docs, id_col, text_col, block_bytes, checksum_bits)
     named = materialize(rows.join(done, "rid"), "identities")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    groups = named.groupBy("level", "name").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(named.groupBy("level", "name").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    # written first, so that the join is one whose large partitions Spark can split
     return named.join(groups, ["level", "name"]).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
