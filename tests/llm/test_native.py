@@ -34,12 +34,55 @@ def test_base_counts(spark, small):
 
 def test_label_model_separates_good_from_bad(spark):
     rows = [(1, 1, 0, 0)] * 80 + [(1, 1, -1, -1)] * 20
-    votes = spark.createDataFrame(rows, "vote_length int, vote_variety int, vote_symbols int, vote_symbol_share int")
+    votes = spark.createDataFrame(rows, "vote_length int, vote_variety int, vote_symbols int, vote_lines int")
     model = quality_rules.fit_label_model(votes, votes.columns).first()[0]
     assert model[0] == pytest.approx(0.8, abs=0.02)
     assert model[1 + 4 * 2 + 1] < 0.05 < 0.8 < model[1 + 4 * 2 + 3]
 
 
+def plain_em(votes, start, rounds):
+    """Rows of votes one by one; the same priors as the plan: half a vote, half a document, 0.8 of one good."""
+    import numpy as np
+
+    v = np.array(votes)
+    least, share, rates = quality_rules.LEAST_RATE, 0.8, np.array(start, float)  # rules x (right and wrong on good, wrong and right on bad)
+    for _ in range(rounds + 1):
+        right, wrong = np.maximum(0, np.log(rates[:, 0] / rates[:, 2])), np.minimum(0, np.log(rates[:, 1] / rates[:, 3]))
+        silent = np.log(np.maximum(least, 1 - rates[:, 0] - rates[:, 1]) / np.maximum(least, 1 - rates[:, 2] - rates[:, 3]))
+        odds = np.log(share / (1 - share)) + np.where(v == 1, right, np.where(v == -1, wrong, silent)).sum(axis=1)
+        good = 1 / (1 + np.exp(-odds))
+        posterior, model = good, (share, rates.copy())
+        share = min(0.99, max(0.01, (good.sum() + 0.8) / (len(v) + 1)))
+        for j in range(v.shape[1]):
+            for k, (vote, mass) in enumerate(((1, good), (-1, good), (1, 1 - good), (-1, 1 - good))):
+                rates[j, k] = max(least, (mass[v[:, j] == vote].sum() + 0.5) / (mass.sum() + 2))
+    return model, posterior
+
+
+def test_label_model_equals_plain_em(spark, small):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    names = [f"vote_{k}" for k in quality_rules.rule_votes()]
+    rows = quality_rules.quality_rules(docs).orderBy("doc_id").collect()
+    votes = [[r[n] for n in names] for r in rows]
+    defect = [n.removeprefix("vote_") in quality_rules.DEFECTS for n in names]
+    model = quality_rules.fit_label_model(spark.createDataFrame(votes, names), names).first()[0]
+    start = [quality_rules.START_DEFECT if d else quality_rules.START_TWO_SIDED for d in defect]
+    (share, rates), posterior = plain_em(votes, start, 25)
+    assert model[0] == pytest.approx(share, abs=1e-9) and np.allclose(np.array(model[1:]).reshape(-1, 4), rates, atol=1e-9)
+    assert [r.posterior for r in rows] == pytest.approx(posterior.tolist(), abs=1e-9)
+    (share, _), later = plain_em(votes, start, 500)  # it has come to rest
+    assert model[0] == pytest.approx(share, abs=1e-3) and [r.posterior for r in rows] == pytest.approx(later.tolist(), abs=0.01)
+
+
+def test_no_two_rules_vote_alike(spark, small):
+    names = [f"vote_{k}" for k in quality_rules.rule_votes()]
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{small}/documents.parquet")).collect()
+    bad = {n: {r.doc_id for r in rows if r[n] == -1} for n in names}
+    assert all(bad[a] != bad[b] or not bad[a] for a in names for b in names if a < b)
+
+
 def test_quality_follows_the_labels(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     rows = quality_rules.quality_rules(docs).join(labels, "doc_id").where("not base_failed").select("kept", "quality").collect()
