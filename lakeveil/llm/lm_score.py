@@ -3,8 +3,9 @@
 Nothing that grows with the corpus is ever sent whole. Documents are grouped in
 chunks, each with a dictionary of its words and one of its byte grams, packed in
 parts. A part of the words adds up the counts of all chunks and answers each
-with the corpus counts of its words. A gram's code length depends on the gram alone; all contexts of two bytes or more that it can ask for
-end in the same two bytes, so the trie is cut in parts by these. A part merges
+with the corpus counts of its words. A gram's code length depends on the gram
+alone; all contexts of two bytes or more that it can ask for end in the same two
+bytes, so the trie is cut in parts by these. A part merges
 the grams of all chunks, counts its own levels, is given the two lowest ones (at
 most 65,792 grams, whatever the input), and answers each chunk with the lengths
 of its grams, in the chunk's order.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from . import ppm
 from .common import materialize, sliced
 
-CHUNK_BYTES, CHUNK_WORDS, PARTS = 16_000_000, 300_000, 1024
+#: A chunk ends when it has more bytes of text, distinct words or rows than these.
+CHUNK_BYTES, CHUNK_WORDS, CHUNK_ROWS, PARTS = 16_000_000, 300_000, 100_000, 1024
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -124,7 +126,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         part, seq = TaskContext.get().partitionId(), 0
         words: dict[bytes, int] = {}
         grams: list[tuple[np.ndarray, np.ndarray]] = []
-        size, docs_type = 0, None
+        size, n_rows, docs_type = 0, 0, None
 
         def batch(k: int, **given) -> pa.RecordBatch:
             kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), docs_type, pa.bool_(), pa.binary()), strict=True))
@@ -132,7 +134,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(k, t) for c, t in kinds.items()], names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal words, size, seq
+            nonlocal words, size, n_rows, seq
             found: dict[int, list[bytes]] = {}
             for w in words:
                 found.setdefault(zlib.crc32(w) % PARTS, []).append(w)
@@ -146,7 +148,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             full = np.flatnonzero(np.diff(edge))
             spans = [slice(edge[p], edge[p + 1]) for p in full]
             yield batch(len(full), part=full.astype(np.int32), codes=[pack(np.diff(key[s], prepend=np.uint64(0))) for s in spans], counts=[pack(n[s]) for s in spans])
-            words, size, seq = {}, 0, seq + 1
+            words, size, n_rows, seq = {}, 0, 0, seq + 1
             grams.clear()
 
         def count(texts: list[bytes], trained: bool) -> None:
@@ -172,14 +174,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for w in text.lower().split():
                     words[w] = words.get(w, 0) + n
                 words[b""] = words.get(b"", 0) + n
-                size += len(text)
-                if size > CHUNK_BYTES or len(words) > CHUNK_WORDS or at + 1 == len(texts):
+                size, n_rows = size + len(text), n_rows + 1
+                full = size > CHUNK_BYTES or len(words) > CHUNK_WORDS or n_rows >= CHUNK_ROWS
+                if full or at + 1 == len(texts):
                     some = slice(start, at + 1)
                     for trained in (True, False):
                         count([t for t, h in zip(texts[some], held[some], strict=True) if h != trained], trained)
                     yield batch(at + 1 - start, doc_id=b.column("doc_id")[some], held=held[some], text=texts[some])
                     start = at + 1
-                    if size > CHUNK_BYTES or len(words) > CHUNK_WORDS:
+                    if full:
                         yield from flush()
         if words:
             yield from flush()

@@ -187,6 +187,48 @@ def test_shortage_goes_to_siblings_first(spark):
     assert out == {"a": 10, "b": 20, "c": 370}
 
 
+def brute_budgets(tree, budget, weight):
+    """tree: {node: subtree or tokens}. Whoever can't use an even share gets all it has, the others share the rest, units left over go by name."""
+    total = lambda x: x if isinstance(x, int) else sum(map(total, x.values()))
+    if isinstance(tree, int):
+        return budget
+    left, open_, out = min(budget, total(tree)), dict(tree), {}
+    while True:
+        w = sum(weight(k) for k in open_)
+        short = {k for k in open_ if total(open_[k]) * w <= left * weight(k)}
+        # the poorest first, as one that is short may make another so
+        if not short:
+            break
+        k = min(short, key=lambda k: (total(open_[k]) / weight(k), k))
+        out[k] = total(open_.pop(k))
+        left -= out[k]
+        if not open_:
+            break
+    w = sum(weight(k) for k in open_)
+    for k in open_:
+        out[k] = left * weight(k) // w
+    spare = left - sum(out[k] for k in open_)
+    for k in sorted(open_):
+        if spare and out[k] < total(open_[k]):
+            out[k], spare = out[k] + 1, spare - 1
+    return {k: brute_budgets(tree[k], out[k], weight) for k in tree}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_budgets_equal_plain_python(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    tree = {f"d{i}": {f"l{j}": {f"s{k}": rng.choice([0, 5, 50, 1000, 7777]) for k in range(rng.randrange(1, 5))} for j in range(rng.randrange(1, 4))} for i in range(4)}
+    rows = [(d, lg, s, n) for d, x in tree.items() for lg, y in x.items() for s, n in y.items()]
+    total = sum(n for *_, n in rows)
+    weight = F.when(F.col("node") == "d1", 4).when(F.col("node") == "l0", 3).otherwise(1)
+    plain = lambda k: 4 if k == "d1" else 3 if k == "l0" else 1
+    got = mixing.leaf_budgets(spark.createDataFrame(rows, "d string, l string, s string, tokens bigint"), ["d", "l", "s"], weight, F.expr("parent_budget * 60 div 100"), 1).collect()
+    want = brute_budgets(tree, total * 60 // 100, plain)
+    assert {(r.d, r.l, r.s): r.budget for r in got} == {(d, lg, s): want[d][lg][s] for d, lg, s, _ in rows}
+
+
 def test_mixture_takes_prefixes_within_budgets(spark):
     rows = queries.mix(odd(spark)).collect()
     assert len(rows) == len(ROWS)
