@@ -57,13 +57,13 @@ def _split(children: DataFrame, parent: list[str]) -> DataFrame:
 
 
 def leaf_budgets(leaves: DataFrame, levels: list[str], weight: Column, budget: Column, epochs: int) -> DataFrame:
-    """Budget of each leaf. ``leaves``: levels..., tokens. One row a leaf goes through windows, never documents.
+    """Budget of each leaf. ``leaves``: levels..., tokens. One row a leaf goes through windows of siblings, never documents.
 
     ``weight`` is an expression over ``level`` and ``node`` giving a positive integer.
     """
     tree = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    total = Window.partitionBy(F.lit(0))
-    tree = tree.withColumn("parent_budget", F.sum("tokens").over(total)).withColumn("parent_budget", budget.cast("bigint"))
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    tree = tree.withColumn("parent_budget", F.lit(total).cast("bigint")).withColumn("parent_budget", budget.cast("bigint"))
     for depth, level in enumerate(levels):
         parent = levels[:depth]
         nodes = (
@@ -107,7 +107,7 @@ def mix_documents(
         ),
         "mix",
     )
-    leaves = rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = materialize(rows.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     plan = leaf_budgets(leaves, names, weight, budget, epochs).withColumnsRenamed({"tokens": "leaf_tokens", "budget": "leaf_budget"})
     plan = plan.withColumn("whole", F.expr("case when leaf_tokens > 0 then leaf_budget div leaf_tokens else 1 end"))
     plan = materialize(plan.withColumn("rest", F.expr("case when leaf_tokens > 0 then leaf_budget % leaf_tokens else 0 end")), "budgets")

@@ -4,7 +4,11 @@ Every shard owns ``vnodes`` points on a ring of ``2**bits`` cells. A row's key
 is hashed to a cell and belongs to the first point clockwise. Each shard has a
 capacity; rows that reach a full shard continue clockwise to the next shard
 with room. Capacities sum to the number of rows and differ by one at most, so
-the balance is exact, and rows move only where a cell or an overflow does.
+the balance is exact, and rows move only where a cell or an overflow does. The
+price of exact balance is that overflows pass on: from 24 shards to 25, about
+10 % of the rows change their shard where 4 % must, and about 14 % with a key that
+holds a third of all rows (measured in the tests); a dealing by hash modulo the
+number of shards would move 96 %.
 
 Rows of one cell are interchangeable to the ring, so loads are planned on counts
 by cell (a number fixed by the shard count, whatever the data), and each row
