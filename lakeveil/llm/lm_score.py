@@ -202,15 +202,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for words, n in zip(of_words.column("words").to_pylist(), of_words.column("counts").to_pylist(), strict=True):
             counts.update(zip(zlib.decompress(words).split(b" "), unpack(n).tolist(), strict=True))
         lengths = np.frombuffer(b"".join(of_parts.sort_by("part").column("lengths").to_pylist()), np.float32)
-        grams: list[np.ndarray] = []
-        for some in sliced(left.select(["text"]).to_batches(), 200):
-            grams.append(np.unique(ppm.codes(some.column("text").to_pylist(), order)[0]))
-            if sum(map(len, grams)) > 2_000_000:
-                grams = [np.unique(np.concatenate(grams))]
-        code = np.unique(np.concatenate(grams))
-        table = ppm.Table(code[by_part(code)[0]], lengths)
-        del of_words, of_parts, right, grams, code
-        n_tokens, n_known, score, bits = [], [], [], []
+        n_tokens, n_known, score = [], [], []
+        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of some texts: distinct grams, which of them each byte has, each text's size
         for some in sliced(left.select(["text"]).to_batches(), 200):
             texts = some.column("text").to_pylist()
             for text in texts:
@@ -218,7 +211,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_tokens.append(len(c))
                 n_known.append(int((c > 0).sum()))
                 score.append(float(np.log10((c + 0.5) / (train_tokens + 0.5 * (distinct + 1))).sum()))
-            bits.append(ppm.sums(texts, lambda code: table.columns[0][table.find(code)], order))
+            code, sizes = ppm.codes(texts, order)
+            code, at = np.unique(code, return_inverse=True)
+            seen.append((code, at.astype(np.int32), sizes))
+        code = np.unique(np.concatenate([c for c, _, _ in seen]))
+        found = np.empty(len(code), np.float32)
+        found[by_part(code)[0]] = lengths
+        bits = [np.add.reduceat(found[np.searchsorted(code, c)][at].astype(np.float64), np.concatenate([[0], np.cumsum(sizes)[:-1]])) for c, at, sizes in seen]
         k = left.num_rows
         return pa.table(
             [left.column("doc_id"), left.column("held"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * k, pa.int64()), pa.array(score, pa.float64()), pa.array(np.concatenate(bits))],
