@@ -62,6 +62,7 @@ NLP_TYPES = {"PERSON": "PERSON_NAME", "ORG": "ORGANIZATION", "GPE": "LOCATION",
 
 # Weights in hundredths.
 RISK_WEIGHT = {"AADHAAR": 100, "PAN": 95, "PASSPORT": 95, "EMAIL": 90, "PHONE": 85, "CREDIT_CARD": 95, "PERSON_NAME": 70, "DATE_OF_BIRTH": 60, "LOCATION": 50, "ORGANIZATION": 30, "IP_ADDRESS": 70, "DRIVING_LICENSE": 90, "BANK_ACCOUNT": 95, "IFSC": 20}
+# Types that identify a person alone, and those that only one person has.
 DIRECT_TYPES = ["AADHAAR", "PAN", "PASSPORT", "CREDIT_CARD", "DRIVING_LICENSE"]
 UNIQUE_TYPES = ["AADHAAR", "PAN", "PASSPORT"]
 # Types that are dangerous together, risk in hundredths.
@@ -80,6 +81,7 @@ RISK_TERMS = [
     (15, ["salary", "income", "bank", "account", "tax", "payment"]),
     (10, ["employee", "hr", "performance", "appraisal", "salary"]),
 ]
+# Least scores of the levels.
 LEVELS = [(80, "CRITICAL"), (60, "HIGH"), (40, "MEDIUM"), (20, "LOW")]
 
 # Sensitivity and category of each type; others are MEDIUM, Personal Information.
@@ -99,6 +101,7 @@ CATEGORY = {
     "DRIVING_LICENSE": "Government ID",
     "IP_ADDRESS": "Technical Identifier",
 }
+# Sensitivities in order, contexts that raise them by steps and the terms that tell them, and the risk of each.
 SENSITIVITY_SCALE = ["LOW", "LOW-MEDIUM", "MEDIUM", "MEDIUM-HIGH", "HIGH", "CRITICAL"]
 CONTEXT_TERMS = {
     "medical": (2, ["patient", "diagnosis", "treatment", "hospital", "doctor", "prescription", "medical", "health"]),
@@ -121,11 +124,39 @@ TITLE_NAMES = {
     "Prof.": ["Iyer", "Rao", "Chatterjee", "Banerjee", "Sen"],
 }
 CITIES = ["Chennai", "Mumbai", "Delhi", "Bangalore", "Hyderabad", "Kolkata", "Pune", "Ahmedabad", "Jaipur", "Lucknow"]
+# Mail domains that tell nothing, and patterns of metadata.
 OPEN_DOMAINS = ["gmail.com", "yahoo.com", "outlook.com"]
 METADATA_PATTERNS = [r"author:\s*\w+", r"created:\s*\d{4}", r"modified:\s*\d{4}", r"subject:\s*\w+"]
+# Points lost by severity, and types that call for redaction at once.
 PENALTY = {"CRITICAL": 25, "HIGH": 15, "MEDIUM": 8, "LOW": 3}
 SSN_DIRECT = ["AADHAAR", "PAN", "PASSPORT", "SSN", "CREDIT_CARD", "BANK_ACCOUNT"]
 
+# Sentences of reports.
+TIP_DATES = "TIP: Generalize dates (e.g., '1990-05-15' → '1990' or 'Age: 30-35')"
+TIP_PLACES = "TIP: Generalize locations (e.g., 'Chennai, Tamil Nadu' → 'South India')"
+EXPLAIN_DIRECT = " unique identifier(s) that can directly identify individuals. Even after redaction, verify that no copies remain in metadata."
+EXPLAIN_UNIQUE = "The combination of quasi-identifiers in this document is unique enough to identify a specific individual with high probability."
+EXPLAIN_FEW = " people sharing these combined attributes. This poses significant re-identification risk."
+EXPLAIN_OTHER = "Based on quasi-identifier analysis. Recommend redaction of highlighted entities before sharing."
+SUMMARY = [
+    ("): Document redaction is robust against common attacks. ", " minor findings."),
+    ("): Redaction is reasonable but has ", " vulnerability(s) that should be addressed."),
+    ("): Significant vulnerabilities detected. ", " issues require attention before sharing."),
+    ("): Document has critical vulnerabilities. Not recommended for external sharing. Fix ", " issue(s)."),
+]
+KIND_ADVICE = {
+    "CONTEXT_PREDICTION": "Expand redaction zones to include surrounding context",
+    "CROSS_REFERENCE": "Consider synthetic data replacement instead of black-box redaction",
+    "METADATA_EXPOSURE": "Run metadata scrubbing on final document",
+}
+NOTE_CRITICAL = " critical sensitivity item(s). Mandatory redaction required under applicable regulations. Recommend irreversible scrubbing and secure disposal of originals."
+NOTE_HIGH = " high sensitivity item(s). Redaction strongly recommended for compliance with DPDP Act and related regulations."
+NOTE_OTHER = "Standard privacy considerations apply. Redaction recommended for external sharing."
+LINK_CRITICAL = ["CRITICAL: Do not share these documents together - they can identify specific individual(s)", "Remove or replace unique identifiers before sharing both documents"]
+LINK_TYPES = ("Entity types causing linkage: ", ". Consider additional redaction of these types.")
+LINK_MEDIUM = "Consider generalizing quasi-identifiers (dates, locations) to reduce linkage"
+LINK_ANY = "For external sharing, consider: (1) Sharing documents separately, (2) Using synthetic replacement, or (3) Adding noise to quasi-identifiers"
+
 # Roles and what each may do; an admin may do everything.
 PERMISSIONS = ["view_documents", "upload_documents", "redact_documents", "view_vault", "manage_vault", "decrypt_files", "view_audit", "manage_users", "approve_requests", "export_data", "view_analytics", "manage_settings", "create_incidents", "manage_incidents", "reveal_redacted"]
 ROLES = {

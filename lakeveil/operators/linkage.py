@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeveil.functions import rules as R
+from lakeveil.sources.tables import kept
 
 
 def normalized(text: Column, type_: Column) -> Column:
@@ -41,26 +40,58 @@ def exact_matches(m: DataFrame) -> DataFrame:
     return a.join(b, ["type", "k"]).where("doc_1 < doc_2").select("doc_1", "doc_2", "type", F.lit("EXACT").alias("match"), (F.col("n_1") * F.col("n_2")).alias("n"))
 
 
-def name_matches(m: DataFrame) -> DataFrame:
-    """Names that share more than half of the larger set of tokens, found by their tokens."""
-    names = m.where("type = 'PERSON_NAME' and key <> ''").withColumn("tokens", F.array_distinct(F.split(F.trim(F.regexp_replace("key", r"\s+", " ")), " ")))
-    by_token = names.withColumn("token", F.explode("tokens"))
-    a = by_token.select("token", F.col("doc_id").alias("doc_1"), F.col("key").alias("key_1"), F.col("n").alias("n_1"), F.col("tokens").alias("t_1"))
-    b = by_token.select("token", F.col("doc_id").alias("doc_2"), F.col("key").alias("key_2"), F.col("n").alias("n_2"), F.col("tokens").alias("t_2"))
+def exact_classes(m: DataFrame) -> DataFrame:
+    """doc_id, type, class_id, first_doc, docs, n: the documents of each form that several have, one row for each member, not each pair."""
+    groups = kept(m.groupBy("type", "key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("docs")).where("docs > 1"))
+    return m.join(groups, ["type", "key"]).select("doc_id", "type", F.left(F.sha2("key", 256), F.lit(16)).alias("class_id"), "first_doc", "docs", "n")
+
+
+def forms(m: DataFrame) -> DataFrame:
+    """type, key, docs: the distinct forms; links are looked for among these, however many documents have them."""
+    return m.groupBy("type", "key").agg(F.count(F.lit(1)).alias("docs"))
+
+
+def name_forms(m: DataFrame) -> DataFrame:
+    """key_1 < key_2, docs_1, docs_2: names that share more than half of the larger set of tokens.
+
+    Such names share one of the rarer half of the tokens of each, so only these
+    are joined; a token that very many names have seldom is one of them.
+    """
+    names = forms(m.where("type = 'PERSON_NAME' and key <> ''")).withColumn("tokens", F.array_distinct(F.split(F.trim(F.regexp_replace("key", r"\s+", " ")), " ")))
+    by_token = kept(names.select("key", "docs", "tokens", F.explode("tokens").alias("token")))
+    common = kept(by_token.groupBy("token").agg(F.count(F.lit(1)).alias("names")))
+    ranked = by_token.join(common, "token").groupBy("key").agg(F.first("docs").alias("docs"), F.first("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("names", "token"))).alias("ranked"))
+    rare = kept(ranked.select("key", "docs", "tokens", F.explode(F.slice("ranked", F.lit(1), F.ceil(F.size("ranked") / 2).cast("int"))).alias("r")).select("key", "docs", "tokens", "r.token"))
+    a = rare.select("token", F.col("key").alias("key_1"), F.col("docs").alias("docs_1"), F.col("tokens").alias("t_1"))
+    b = rare.select("token", F.col("key").alias("key_2"), F.col("docs").alias("docs_2"), F.col("tokens").alias("t_2"))
     enough = F.size(F.array_intersect("t_1", "t_2")) * 2 > F.greatest(F.size("t_1"), F.size("t_2"))
-    pairs = a.join(b, "token").where((F.col("doc_1") < F.col("doc_2")) & (F.col("key_1") != F.col("key_2")) & enough)
-    pairs = pairs.select("doc_1", "doc_2", "key_1", "key_2", "n_1", "n_2").distinct()
-    return pairs.select("doc_1", "doc_2", F.lit("PERSON_NAME").alias("type"), F.lit("FUZZY").alias("match"), (F.col("n_1") * F.col("n_2")).alias("n"))
+    return a.join(b, "token").where((F.col("key_1") < F.col("key_2")) & enough).select(F.lit("PERSON_NAME").alias("type"), "key_1", "key_2", "docs_1", "docs_2").distinct()
 
 
-def prefix_matches(m: DataFrame) -> DataFrame:
-    """Other types whose first four fifths of the shorter form agree; forms of four and more share three characters at least."""
-    other = m.where("type <> 'PERSON_NAME' and length(key) >= 4").withColumn("block", F.left("key", F.lit(3)))
-    a, b = _sides(other, "block")
+def prefix_forms(m: DataFrame) -> DataFrame:
+    """Other types: forms whose first four fifths of the shorter one agree; forms of four and more share three characters at least."""
+    other = forms(m.where("type <> 'PERSON_NAME' and length(key) >= 4")).withColumn("block", F.left("key", F.lit(3)))
+    a = other.select("type", "block", F.col("key").alias("key_1"), F.col("docs").alias("docs_1"))
+    b = other.select("type", "block", F.col("key").alias("key_2"), F.col("docs").alias("docs_2"))
     shown = F.floor(F.least(F.length("key_1"), F.length("key_2")) * 0.8).cast("int")
     same = F.left(F.col("key_1"), shown) == F.left(F.col("key_2"), shown)
-    pairs = a.join(b, ["type", "block"]).where((F.col("doc_1") < F.col("doc_2")) & (F.col("key_1") != F.col("key_2")) & same)
-    return pairs.select("doc_1", "doc_2", "type", F.lit("FUZZY").alias("match"), (F.col("n_1") * F.col("n_2")).alias("n"))
+    return a.join(b, ["type", "block"]).where((F.col("key_1") < F.col("key_2")) & same).select("type", "key_1", "key_2", "docs_1", "docs_2")
+
+
+def _between(pairs: DataFrame, m: DataFrame) -> DataFrame:
+    """Pairs of documents, asked for, from pairs of forms."""
+    a = m.select("type", F.col("key").alias("key_1"), F.col("doc_id").alias("a"), F.col("n").alias("n_1"))
+    b = m.select("type", F.col("key").alias("key_2"), F.col("doc_id").alias("b"), F.col("n").alias("n_2"))
+    rows = pairs.join(a, ["type", "key_1"]).join(b, ["type", "key_2"]).where("a <> b")
+    return rows.select(F.least("a", "b").alias("doc_1"), F.greatest("a", "b").alias("doc_2"), "type", F.lit("FUZZY").alias("match"), (F.col("n_1") * F.col("n_2")).alias("n"))
+
+
+def name_matches(m: DataFrame) -> DataFrame:
+    return _between(name_forms(m), m)
+
+
+def prefix_matches(m: DataFrame) -> DataFrame:
+    return _between(prefix_forms(m), m)
 
 
 def linkages(matches: DataFrame) -> DataFrame:
@@ -77,6 +108,23 @@ def linkages(matches: DataFrame) -> DataFrame:
     return pairs.select("doc_1", "doc_2", "n_matches", F.when(F.col("strong"), 1.0).otherwise(weak).alias("strength"))
 
 
+def linkage_advice(risk: DataFrame, types: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: recommendations (joined by lines) and summary. ``types``: entity_types (array) that link; ``pairs``: doc_pairs, n_matches."""
+    one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731  tables of one row
+    rows = one(risk.select("level", "score")).join(one(types), "k").join(one(pairs), "k")
+    critical, high = F.col("level") == "CRITICAL", F.col("level").isin("CRITICAL", "HIGH")
+    listed = F.array(
+        *[F.when(critical, x) for x in R.LINK_CRITICAL],
+        F.when(high & (F.size("entity_types") > 0), F.concat(F.lit(R.LINK_TYPES[0]), F.array_join("entity_types", ", "), F.lit(R.LINK_TYPES[1]))),
+        F.when(F.col("level") == "MEDIUM", R.LINK_MEDIUM),
+        F.when(F.col("doc_pairs") > 0, R.LINK_ANY),
+    )
+    said = F.array_join(F.filter(listed, lambda x: x.isNotNull()), "\n")
+    found = F.concat(F.lit("Found "), F.col("doc_pairs").cast("string"), F.lit(" document pair(s) with "), F.col("n_matches").cast("string"), F.lit(" matching entities. Combined risk: "), "level", F.lit("."))
+    none = F.lit("No cross-document linkages detected. Documents can be shared together safely.")
+    return rows.select(F.when(said == "", "No immediate action required - linkage risk is low").otherwise(said).alias("recommendations"), F.when(F.col("doc_pairs") == 0, none).otherwise(found).alias("summary"))
+
+
 def linkage_risk(links: DataFrame) -> DataFrame:
     """One row: score, level, max_strength, n_matches over all links."""
     total = links.agg(F.coalesce(F.max("strength"), F.lit(0.0)).alias("max_strength"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n_matches"))
@@ -85,29 +133,17 @@ def linkage_risk(links: DataFrame) -> DataFrame:
     return total.withColumn("score", F.bround(score, 1)).withColumn("level", lev)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's shared folder and read back: lineage ends there."""
-    spark: SparkSession = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lakeveil-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lakeveil/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def clusters(edges: DataFrame) -> DataFrame:
     """node, cluster (its smallest node) for edges (a, b): minimum labels with pointer jumping until none changes."""
     pairs = edges.where("a <> b")
-    both = _kept(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
-    labels = _kept(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("cluster")))
+    both = kept(pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
+    labels = kept(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("cluster")))
     while True:
         seen = labels.select(F.col("node").alias("other"), F.col("cluster").alias("seen"))
         near = both.join(seen, "other").groupBy("node").agg(F.min("seen").alias("seen"))
         hooked = labels.join(near, "node").select("node", F.least("cluster", "seen").alias("cluster"), F.col("cluster").alias("old"))
         up = labels.select(F.col("node").alias("root"), F.col("cluster").alias("further"))
-        new = _kept(hooked.join(up, hooked.cluster == up.root, "left").select("node", F.least("cluster", F.coalesce("further", "cluster")).alias("cluster"), "old"))
+        new = kept(hooked.join(up, hooked.cluster == up.root, "left").select("node", F.least("cluster", F.coalesce("further", "cluster")).alias("cluster"), "old"))
         if new.where("cluster <> old").isEmpty():
             return new.drop("old")
         labels = new.drop("old")

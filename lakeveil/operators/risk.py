@@ -87,7 +87,7 @@ def level(score: Column) -> Column:
 
 
 def risk_scores(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, n_entities, the risk's parts, k_anonymity, score, level, combinations, recommendation count.
+    """doc_id, n_entities, the risk's parts, k_anonymity, score, level, combinations.
 
     A document without entities scores 0, MINIMAL, and has no k (null).
     """
@@ -112,17 +112,16 @@ def risk_scores(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def explain(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Sensitivity, risk and recommendation for each entity row; the document's context raises the sensitivity."""
-    contexts = docs.select(
-        F.col("doc_id").alias("d"), F.filter(F.array(*[F.when(any_term(F.col("text"), terms), F.lit(k)) for k, (_, terms) in R.CONTEXT_TERMS.items()]), lambda c: c.isNotNull()).alias("contexts")
-    )
+def explain(docs: DataFrame) -> DataFrame:
+    """Sensitivity, risk and recommendation for each entity; the context of its document's text raises the sensitivity. No shuffle."""
+    contexts = F.filter(F.array(*[F.when(any_term(F.col("text"), terms), F.lit(k)) for k, (_, terms) in R.CONTEXT_TERMS.items()]), lambda c: c.isNotNull())
+    held = with_entities(docs.where("text is not null").select("doc_id", "text")).where("size(entities) > 0")
+    rows = held.select("doc_id", F.explode(F.array(contexts)).alias("contexts"), "entities").select("doc_id", "contexts", F.explode("entities").alias("x"))
+    rows = rows.select("doc_id", "contexts", F.col("x.start").alias("start"), F.col("x.type").alias("type"))
     boost = F.aggregate("contexts", F.lit(0), lambda a, c: a + lookup(c, {k: n for k, (n, _) in R.CONTEXT_TERMS.items()}, 0))
     base = lookup(F.col("type"), R.SENSITIVITY, "MEDIUM")
     scale = F.array(*map(F.lit, R.SENSITIVITY_SCALE))
-    rows = entities.join(contexts, F.col("doc_id") == F.col("d")).withColumn(
-        "sensitivity", F.element_at(scale, F.least(F.array_position(scale, base) + boost, F.lit(len(R.SENSITIVITY_SCALE))).cast("int"))
-    )
+    rows = rows.withColumn("sensitivity", F.element_at(scale, F.least(F.array_position(scale, base) + boost, F.lit(len(R.SENSITIVITY_SCALE))).cast("int")))
     advice = F.when(F.col("sensitivity").isin("CRITICAL", "HIGH"), "MANDATORY").when(F.col("sensitivity").isin("MEDIUM-HIGH", "MEDIUM"), "RECOMMENDED").otherwise("OPTIONAL")
     return rows.select(
         "doc_id",
@@ -193,6 +192,70 @@ def robustness(docs: DataFrame, synthetic: bool = False) -> DataFrame:
     return docs.select("doc_id").join(lost, "doc_id", "left").select("doc_id", score.cast("bigint").alias("score")).withColumn("grade", grade)
 
 
+def recommendations(docs: DataFrame) -> DataFrame:
+    """doc_id, recommendations (in order, joined by lines) and explanation of the risk of documents with entities."""
+    rows = with_entities(docs).where("size(entities) > 0").select("doc_id", "text", "entities")
+    rows = rows.withColumns({**risk_columns(F.col("text"), F.col("entities")), "types": types_of(F.col("entities"))})
+    k = F.col("k_anonymity")
+    direct = F.filter("types", lambda t: t.isin(*R.DIRECT_TYPES))
+    n_direct = F.size(F.filter("entities", lambda x: x["type"].isin(*R.DIRECT_TYPES)))
+    risk_of = {name: risk for name, _, risk in R.DANGER}
+    danger = F.transform(
+        F.slice("combinations", 1, 3),
+        lambda c: F.format_string("DANGER: %s combination creates high re-identification risk (%d%%)", c, lookup(c, risk_of, 0)),
+    )
+    has = lambda t: F.array_contains("types", F.lit(t))
+    listed = F.concat(
+        F.array(
+            F.when(F.size(direct) > 0, F.concat(F.lit("CRITICAL: Redact all direct identifiers ("), F.array_join(direct, ", "), F.lit(")"))),
+            F.when(k <= 5, F.concat(F.lit("WARNING: Low k-anonymity (k="), k.cast("string"), F.lit("). Consider generalizing quasi-identifiers."))),
+        ),
+        danger,
+        F.array(F.when(has("DATE_OF_BIRTH"), R.TIP_DATES), F.when(has("LOCATION"), R.TIP_PLACES)),
+    )
+    explanation = (
+        F.when(n_direct > 0, F.concat(F.lit("Document contains "), n_direct.cast("string"), F.lit(R.EXPLAIN_DIRECT)))
+        .when(k <= 1, R.EXPLAIN_UNIQUE)
+        .when(k <= 5, F.concat(F.lit("With k-anonymity of "), k.cast("string"), F.lit(", this individual is among only "), k.cast("string"), F.lit(R.EXPLAIN_FEW)))
+        .otherwise(R.EXPLAIN_OTHER)
+    )
+    return rows.select("doc_id", F.array_join(F.filter(listed, lambda r: r.isNotNull()), "\n").alias("recommendations"), explanation.alias("explanation"))
+
+
+def predictions(docs: DataFrame) -> DataFrame:
+    """doc_id, start, nth (from 1), guess, confidence: the three likeliest guesses at a redacted name or place from its context."""
+    rows = with_entities(docs.where("text is not null")).where("size(entities) > 0").select("doc_id", "text", F.explode("entities").alias("x"))
+    rows = rows.where(F.col("x.type").isin("PERSON_NAME", "LOCATION"))
+    window = context_window(F.col("text"), F.col("x.start"), F.col("x.end"))
+    first = F.upper(F.left("x.text", F.lit(1)))
+    item = lambda order, guess, p: F.struct((-p).alias("less"), F.lit(order).alias("order"), F.lit(guess).alias("guess"))
+    names, order = [], 0
+    for title, ns in R.TITLE_NAMES.items():
+        for n in ns:
+            names.append(F.when((F.col("x.type") == "PERSON_NAME") & F.contains(window, F.lit(title)), item(order, n, F.when(first == n[0], 0.35).otherwise(0.15))))
+            order += 1
+    places = [F.when((F.col("x.type") == "LOCATION") & F.contains(F.lower("x.text"), F.lit(c.lower())), item(order + i, c, F.lit(0.4))) for i, c in enumerate(R.CITIES)]
+    best = F.slice(F.array_sort(F.filter(F.array(*names, *places), lambda g: g.isNotNull())), 1, 3)
+    return rows.select("doc_id", F.col("x.start").alias("start"), F.posexplode(best).alias("nth", "g")).select(
+        "doc_id", "start", (F.col("nth") + 1).alias("nth"), F.col("g.guess").alias("guess"), (-F.col("g.less")).alias("confidence")
+    )
+
+
+def robustness_report(docs: DataFrame) -> DataFrame:
+    """doc_id, score, grade, summary and recommendations (a set, in order of text)."""
+    kinds = vulnerabilities(docs).groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"), F.count(F.lit(1)).alias("n"))  # a kind for each branch at most
+    rows = robustness(docs).join(kinds, "doc_id", "left")
+    n = F.coalesce("n", F.lit(0)).cast("string")
+    summary = (
+        F.when(F.col("score") >= 90, F.concat(F.lit("EXCELLENT ("), "grade", F.lit(R.SUMMARY[0][0]), n, F.lit(R.SUMMARY[0][1])))
+        .when(F.col("score") >= 70, F.concat(F.lit("GOOD ("), "grade", F.lit(R.SUMMARY[1][0]), n, F.lit(R.SUMMARY[1][1])))
+        .when(F.col("score") >= 50, F.concat(F.lit("FAIR ("), "grade", F.lit(R.SUMMARY[2][0]), n, F.lit(R.SUMMARY[2][1])))
+        .otherwise(F.concat(F.lit("POOR ("), "grade", F.lit(R.SUMMARY[3][0]), n, F.lit(R.SUMMARY[3][1])))
+    )
+    advice = F.array(*[F.when(F.array_contains("kinds", F.lit(k)), F.lit(a)) for k, a in R.KIND_ADVICE.items()])
+    return rows.select("doc_id", "score", "grade", summary.alias("summary"), F.array_join(F.array_sort(F.filter(advice, lambda a: a.isNotNull())), "; ").alias("recommendations"))
+
+
 def suggest_actions(scored: DataFrame) -> DataFrame:
     """doc_id, nth, action, priority, automatic from rows with doc_id, level, score, types."""
     high, direct = F.col("level") == "HIGH", F.arrays_overlap("types", F.array(*map(F.lit, R.SSN_DIRECT)))

@@ -106,8 +106,12 @@ def detect(docs: DataFrame, text_col: str = "text", strict: bool = False, key: s
 
 
 def with_entities(docs: DataFrame, text_col: str = "text", strict: bool = False) -> DataFrame:
-    """``docs`` with ``entities``, an array in order of start; empty for null texts."""
-    return docs.withColumn("entities", F.coalesce(core_spans(F.col(text_col), strict), F.array().cast(SPAN)))
+    """``docs`` with ``entities``, an array in order of start; empty for null texts.
+
+    The array is the output of a generator of one row, so that filters and
+    projections above it read it and don't scan the text again for each mention.
+    """
+    return docs.select("*", F.explode(F.array(F.coalesce(core_spans(F.col(text_col), strict), F.array().cast(SPAN)))).alias("entities"))
 
 
 def map_coordinates(entity_text: Column, coordinates: Column) -> Column:
@@ -148,6 +152,12 @@ def redact(text: Column, spans: Column, replacement=lambda x: F.concat(F.lit("[R
     return let(done, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
 
 
+def redact_everywhere(text: Column, spans: Column, replacement=lambda x: F.concat(F.lit("[REDACTED-"), x["type"], F.lit("]"))) -> Column:
+    """Every place where a span's text stands, found by a rule or not, replaced; longer texts first, as one may hold another."""
+    by_length = F.array_sort(F.transform(spans, lambda x: F.struct((-F.length(x["text"])).alias("n"), x["start"].alias("start"), x.alias("x"))))
+    return F.aggregate(by_length, text, lambda t, y: F.replace(t, y["x"]["text"], replacement(y["x"])))
+
+
 def leaked(redacted: Column, spans: Column) -> Column:
     """Texts of spans that can still be found."""
     return F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda x: F.contains(redacted, x["text"])), lambda x: x["text"])))

@@ -115,7 +115,7 @@ explained as (select doc_id, start, type, {S.mapped('type', R.CATEGORY, 'Persona
 
 
 def _explain_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = risk.explain(docs(spark, d), entities(spark, d))
+    rows = risk.explain(spread_docs(spark, d))
     return rows.groupBy("sensitivity").agg(F.count(F.lit(1)).alias("n"), F.sum("risk_score").alias("total_risk"), F.count_if(F.col("risk_score") >= 80).alias("n_high"))
 
 
@@ -188,7 +188,7 @@ QUERIES = {
     "remediation_actions": _actions,
     "vulnerabilities": lambda s, d: risk.vulnerabilities(spread_docs(s, d)).groupBy("kind", "severity", "entity_type").agg(F.count(F.lit(1)).alias("n")),
     "robustness": lambda s, d: risk.robustness(spread_docs(s, d)),
-    "explain_entities": lambda s, d: risk.explain(docs(s, d), entities(s, d)),
+    "explain_entities": lambda s, d: risk.explain(spread_docs(s, d)),
     "explain_summary": _explain_summary,
     "redact_text": _redact,
     "synthetic_text": _synthetic,

@@ -10,7 +10,7 @@ from lakeveil.operators import governance as G
 from lakeveil.operators import linkage as L
 from lakeveil.operators import privacy as P
 from lakeveil.operators import risk, spans
-from lakeveil.sources.tables import spread, table
+from lakeveil.sources.tables import kept, spread, table
 
 from . import sql as S
 from .detection import docs, entities
@@ -198,23 +198,35 @@ links as (select doc_1, doc_2, n_matches, (case when strong then 1.0 when n_matc
 
 
 def matches(s, d) -> DataFrame:
-    m = L.mentions(entities(s, d))
+    m = kept(L.mentions(entities(s, d)))
     return L.exact_matches(m).unionByName(L.name_matches(m)).unionByName(L.prefix_matches(m))
 
 
-@q("linkage_exact", f"with {LINKS} select doc_1, doc_2, type, match, n::bigint n from exact")
+@q("linkage_exact", f"""with {LINKS}, g as (select type, key, min(doc_id) first_doc, count(*) docs from m group by all having count(*) > 1)
+select doc_id, type, left(sha256(key), 16) class_id, first_doc, docs, n from m join g using (type, key)""")
 def _(s, d):
-    return L.exact_matches(L.mentions(entities(s, d)))
+    return L.exact_classes(kept(L.mentions(entities(s, d))))
 
 
-@q("linkage_names", f"with {LINKS} select doc_1, doc_2, type, match, n::bigint n from names")
+_NAMED = "m as (select p_partkey doc_id, 'PERSON_NAME' as type, lower(p_name || ' ' || p_type || ' ' || p_brand) as key from part)"
+
+
+@q("linkage_names", f"""with {_NAMED}, k as (select key, count(*) docs, list_distinct(string_split(key, ' ')) t from m group by key)
+select 'PERSON_NAME' as type, a.key key_1, b.key key_2, a.docs docs_1, b.docs docs_2 from k a join k b on a.key < b.key and len(list_intersect(a.t, b.t)) * 2 > greatest(len(a.t), len(b.t))""")
 def _(s, d):
-    return L.name_matches(L.mentions(entities(s, d)))
+    """Names made of a part's name, type and brand, so that many share most of their tokens."""
+    part = table(s, d, "part")
+    named = part.select(F.col("p_partkey").alias("doc_id"), F.lit("PERSON_NAME").alias("type"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.lit(0).alias("start"))
+    return L.name_forms(L.mentions(named))
 
 
-@q("linkage_prefixes", f"with {LINKS} select doc_1, doc_2, type, match, n::bigint n from prefixes")
+@q("linkage_prefixes", """with k as (select (1000000000 + o_custkey * 37)::varchar as key, count(distinct o_orderkey) docs from orders group by 1)
+select 'BANK_ACCOUNT' as type, a.key key_1, b.key key_2, a.docs docs_1, b.docs docs_2 from k a join k b on a.key < b.key and left(a.key, 8) = left(b.key, 8)""")
 def _(s, d):
-    return L.prefix_matches(L.mentions(entities(s, d)))
+    """Account numbers made of customers' keys, some of which differ in their last digits only."""
+    number = (F.lit(1000000000).cast("bigint") + F.col("o_custkey") * 37).cast("string")
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("BANK_ACCOUNT").alias("type"), number.alias("text"))
+    return L.prefix_forms(L.mentions(rows))
 
 
 @q("linkage_links", f"with {LINKS} select * from links")

@@ -1,10 +1,31 @@
-"""Readers of tables."""
+"""Readers of tables, and tables for intermediate results."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that ``spark.checkpoint.dir`` names; only on one machine one is made where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lakeveil-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/lakeveil/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's shared folder and read back: lineage ends there, and its work is done once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder; only what a query uses is read."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
