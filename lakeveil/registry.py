@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeveil.plans import detection, extras, relational, streams
+from lakeveil.plans import detection, extras, relational, reports, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **relational.QUERIES, **streams.QUERIES, **extras.QUERIES}
-ORACLE: dict[str, str] = {**detection.ORACLE, **relational.ORACLE, **streams.ORACLE, **extras.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **relational.QUERIES, **streams.QUERIES, **extras.QUERIES, **reports.QUERIES}
+ORACLE: dict[str, str] = {**detection.ORACLE, **relational.ORACLE, **streams.ORACLE, **extras.ORACLE, **reports.ORACLE}
