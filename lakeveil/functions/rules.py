@@ -60,6 +60,13 @@ WATCHER = [
 # What a spaCy label counts as.
 NLP_TYPES = {"PERSON": "PERSON_NAME", "ORG": "ORGANIZATION", "GPE": "LOCATION", "LOC": "LOCATION", "DATE": "DATE", "MONEY": "FINANCIAL_AMOUNT", "NORP": "NATIONALITY_GROUP"}
 
+# Names by dictionary and form, in place of a language model; the rule's name is the label it stands for.
+NAMED = [
+    Rule("PERSON", "PERSON", r"\b(?:Dr|Mr|Mrs|Prof)\. [A-Z][a-z]+(?: [A-Z][a-z]+)?\b", 0.85),
+    Rule("ORG", "ORG", r"\b(?:[A-Z][a-z]+ ){1,3}(?:Hospital|Bank|Industries|Services|University|Limited)\b", 0.85),
+    Rule("GPE", "GPE", r"\b(?:Chennai|Mumbai|Delhi|Bangalore|Hyderabad|Kolkata|Pune|Ahmedabad|Jaipur|Lucknow)\b", 0.85),
+]
+
 # Weights in hundredths.
 RISK_WEIGHT = {"AADHAAR": 100, "PAN": 95, "PASSPORT": 95, "EMAIL": 90, "PHONE": 85, "CREDIT_CARD": 95, "PERSON_NAME": 70, "DATE_OF_BIRTH": 60, "LOCATION": 50, "ORGANIZATION": 30, "IP_ADDRESS": 70, "DRIVING_LICENSE": 90, "BANK_ACCOUNT": 95, "IFSC": 20}
 # Types that identify a person alone, and those that only one person has.

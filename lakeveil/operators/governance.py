@@ -76,10 +76,15 @@ def threshold_advice(stats: DataFrame, by: str = "entity_type") -> DataFrame:
 
 
 def rank_p95(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """The value at place min(floor(0.95 n), n - 1), from 0, of the sorted values, for each group."""
+    """The value at place min(floor(0.95 n), n - 1), from 0, of the sorted values, for each group.
+
+    Equal values are counted before they are ordered, so a group's window has a row for each distinct value.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(by)
-    placed = rows.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("at"), F.count(F.lit(1)).over(w).alias("n"))
-    return placed.where(F.col("at") == F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)).select(by, F.col(value).alias("p95"), "n")
+    placed = counts.select(by, value, "c", F.sum("c").over(w.orderBy(value)).alias("upto"), F.sum("c").over(w).alias("n"))
+    at = F.least(F.floor(F.col("n") * 95 / 100), F.col("n") - 1)
+    return placed.where((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(by, F.col(value).alias("p95"), "n")
 
 
 def role_permissions(spark) -> DataFrame:

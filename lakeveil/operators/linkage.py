@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeveil.functions import rules as R
@@ -176,9 +176,9 @@ def graph_links(top: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 
 def chains(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Entities of several documents, their documents, and a risk of 20 for each."""
-    docs = occurrences.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda x: x.cast("string")), ",").alias("doc_ids"))
-    return docs.where("docs > 1").join(nodes, "hash").select("hash", "type", "docs", "doc_ids", (F.col("docs") * 20).alias("risk"))
+    """Entities of several documents, their first document, and a risk of 20 for each; the documents are rows of ``occurrences``."""
+    docs = occurrences.groupBy("hash").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_doc"))
+    return docs.where("docs > 1").join(nodes, "hash").select("hash", "type", "docs", "first_doc", (F.col("docs") * 20).alias("risk"))
 
 
 def delete_document(nodes: DataFrame, occurrences: DataFrame, doc_id: int) -> tuple[DataFrame, DataFrame]:
@@ -233,6 +233,7 @@ def simhashes(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def keep_latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Upsert by replacement: the last row of each key."""
-    by = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    """Upsert by replacement: the last row of each key, by maximums that are combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max(F.struct(*order, *[c for c in rest if c not in order])).alias("x")
+    return rows.groupBy(*keys).agg(last).select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])

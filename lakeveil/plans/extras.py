@@ -141,7 +141,7 @@ def _(s, d):
     return crypto.revealed(crypto.reversible(entities(s, d), key), key).select("doc_id", "start", F.col("text_again").alias("again"), (F.col("sealed") != F.col("text")).alias("differs"))
 
 
-@q("signed_rows")
+@q("signed_rows", """select c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || '}') signature from customer""")
 def _(s, d):
     return table(s, d, "customer").select("c_custkey", X.signed("c_custkey", "c_name", "c_nationkey").alias("signature"))
 

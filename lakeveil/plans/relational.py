@@ -107,7 +107,7 @@ def _(s, d):
 def _(s, d):
     """Files that an earlier scan (every third document) has not seen with this content."""
     path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/doc"), F.col("doc_id").cast("string"))
-    now = docs(s, d).select("doc_id", path.alias("path"), F.left(F.sha2(F.coalesce(F.left("text", F.lit(1048576)), F.lit("")), 256), F.lit(16)).alias("hash"))
+    now = docs(s, d).select("doc_id", path.alias("path"), F.left(F.sha2(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 1 << 20), 256), F.lit(16)).alias("hash"))
     return now.join(now.where("doc_id % 3 = 0").select("path", "hash"), ["path", "hash"], "left_anti").select("doc_id", "path", "hash")
 
 
@@ -264,7 +264,7 @@ def _(s, d):
     return L.graph_links(L.top_entities(n, o, 100), o).select("hash", "doc_id")
 
 
-@q("graph_chains", f"with {GRAPH} select hash, type, count(*) docs, array_to_string(list_transform(list_sort(list(doc_id)), lambda x: x::varchar), ',') doc_ids, count(*) * 20 risk from occ join nodes using (hash) group by hash, type having count(*) > 1")
+@q("graph_chains", f"with {GRAPH} select hash, type, count(*) docs, min(doc_id) first_doc, count(*) * 20 risk from occ join nodes using (hash) group by hash, type having count(*) > 1")
 def _(s, d):
     return L.chains(*L.graph_nodes(entities(s, d)))
 
@@ -282,11 +282,12 @@ def _(s, d):
     return L.delete_document(*L.graph_nodes(entities(s, d)), 3)[0].select("hash", "type")
 
 
-@q("duplicates_exact", "select sha256(text) content_hash, count(*) n, min(doc_id) first_doc, array_to_string(list_transform(list_sort(list(doc_id)), lambda x: x::varchar), ',') doc_ids from documents where text is not null group by 1 having count(*) > 1")
+@q("duplicates_exact", "with h as (select doc_id, sha256(text) content_hash from documents where text is not null), g as (select content_hash, count(*) n, min(doc_id) first_doc from h group by 1 having count(*) > 1) select doc_id, content_hash, n, first_doc from h join g using (content_hash)")
 def _(s, d):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",")
-    groups = docs(s, d).where("text is not null").groupBy(F.sha2("text", 256).alias("content_hash"))
-    return groups.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), ids.alias("doc_ids")).where("n > 1")
+    """A row for each document that has copies, with the first of them."""
+    hashed = docs(s, d).where("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    groups = kept(hashed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1"))
+    return hashed.join(groups, "content_hash").select("doc_id", "content_hash", "n", "first_doc")
 
 
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')"

@@ -86,7 +86,7 @@ def _(s, d):
     """One row: totals by type and sensitivity, average risk, the first five of high risk, and a note."""
     rows = kept(risk.explain(spread_docs(s, d)))
     count = F.count(F.lit(1)).alias("n")
-    listed = lambda by: F.array_join(F.array_sort(F.collect_list(F.concat(by, F.lit("="), F.col("n").cast("string")))), ",")
+    listed = lambda by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), "n"))), lambda x: F.concat(x["by"], F.lit("="), x["n"].cast("string"))), ",")
     one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731  tables of one row
     types = rows.groupBy("type").agg(count).agg(listed("type").alias("by_type"))
     found = rows.groupBy("sensitivity").agg(count)
@@ -128,6 +128,36 @@ def _(s, d):
     return L.linkage_advice(L.linkage_risk(links), types, links.agg(F.count(F.lit(1)).alias("doc_pairs"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n_matches")))
 
 
+_GAZ = [r._replace(type=R.NLP_TYPES[r.name]) for r in R.NAMED]
+_PLACES_SQL = f"cases as (select doc_id, text || ' Met ' || [{', '.join(map(said, _FIRSTS))}][doc_id % 5 + 1] || ' of Prime ' || ['Hospital', 'Bank', 'Industries'][doc_id % 3 + 1] || ' near ' || [{', '.join(map(said, R.CITIES))}][doc_id % {len(R.CITIES)} + 1] || '. Pune is far.' as text from ({{0}}))"
+_NAMED_SQL = f"""with c0 as (with {_CASES_SQL} select * from cases), {_PLACES_SQL.format('select * from c0')},
+{S.raw_spans(R.CORE + _GAZ, 'cases').replace('raw as (', 'raw1 as (')},
+raw as (select r.doc_id, ord, type, case when ord < {len(R.CORE)} then confidence else least(99, 85 + case when regexp_matches(r.text, '(^|\\s)[^A-Z\\s]') then 0 else 5 end
+  + case when s = 0 or right(rtrim(left(c.text, s)), 1) in ('.', '!', '?') then 3 else 0 end - case when length(r.text) < 3 then 10 else 0 end) / 100 end::double confidence, r.text, s, e from raw1 r join cases c using (doc_id)),
+{S.core().split("raw as (select", 1)[1].split("from raw0),", 1)[1]}"""
+
+
+def _placed(s, d) -> DataFrame:
+    """The cases with an organisation and places."""
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % n + 1).cast("int"))
+    more = F.concat("text", F.lit(" Met "), at(_FIRSTS, 5), F.lit(" of Prime "), at(["Hospital", "Bank", "Industries"], 3), F.lit(" near "), at(R.CITIES, len(R.CITIES)), F.lit(". Pune is far."))
+    return _cases(s, d).select("doc_id", more.alias("text"))
+
+
+@q("detect_named", f'{_NAMED_SQL} select doc_id, type, text, start, "end", confidence, ord from entities')
+def _(s, d):
+    return spans.explode_spans(_placed(s, d), spans.core_spans(F.col("text"), named=True))
+
+
+@q("sentence_offsets", r"""with s as (select doc_id, text, regexp_extract_all(text, '[^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$') f, string_split_regex(text, '[^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$') g from documents where text is not null),
+r as (select doc_id, i, f[i] m, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0))::int start from s, unnest(generate_series(1, len(f))) u(i))
+select doc_id, start, (start + length(m))::int as "end" from r where length(regexp_replace(regexp_replace(m, '^\s+', ''), '\s+$', '')) > 3""")
+def _(s, d):
+    """Where sentences stand in their text."""
+    rows = spread_docs(s, d).where("text is not null").select("doc_id", F.explode(spans.sentence_offsets(F.col("text"))).alias("x"))
+    return rows.select("doc_id", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+
+
 # ---- graphs
 
 _VIEW = "a as (select occ.* from occ semi join top using (hash)), rich as (select doc_id, count(*) n from a group by doc_id having count(*) > 1)"
@@ -152,6 +182,13 @@ def _(s, d):
     return o.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entity_count")).select("doc_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), "entity_count")
 
 
+@q("graph_chain_members", f"with {GRAPH} select hash, doc_id from occ where hash in (select hash from cnt where docs > 1)")
+def _(s, d):
+    """The documents of each chain, a row for each."""
+    n, o = L.graph_nodes(entities(s, d))
+    return o.join(kept(L.chains(n, o).select("hash")), "hash", "left_semi").select("hash", "doc_id")
+
+
 @q("linkage_graph", f"with {LINKS}, n as (select doc_1 doc_id from links union select doc_2 from links) select doc_id::varchar id, 'document' kind, null::varchar target, null::double strength from n union all select doc_1::varchar, 'link', doc_2::varchar, strength from links")
 def _(s, d):
     links = kept(L.linkages(matches(s, d)))
