@@ -192,12 +192,18 @@ def fingerprint_classes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
-def similarity_pairs(classes: DataFrame, most: int = 5, bands: int = 8) -> DataFrame:
+def similarity_pairs(classes: DataFrame, most: int = 5, bands: int | None = None) -> DataFrame:
     """doc_1 < doc_2, distance of fingerprint classes (fp, rep) with at most ``most`` differing bits.
 
     At most ``most`` of the bands differ, so ``bands - most`` agree: a class has
-    a key for each such choice (56 of 24 bits), and the join on keys is exact.
+    a key for each such choice, and the join on keys is exact. More classes get
+    more bands, so that keys widen and chance meetings don't grow with the
+    square: 56 keys of 24 bits, 252 of 32 from 2**20 classes on, 792 of 37 from
+    2**28 on. The pairs are the same with any number.
     """
+    if bands is None:
+        n = classes.count()
+        bands = 8 if n < 1 << 20 else 10 if n < 1 << 28 else 12
     edges = [64 * i // bands for i in range(bands + 1)]
     part = [F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(bands)]
     keys = []

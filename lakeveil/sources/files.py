@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +30,15 @@ def scan_folder(spark: SparkSession, folder: str, kinds: list[str] | None = None
     return files.where(kept).select("path", F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+# Folders of a home that are scanned and watched unless others are named.
+SCAN_ROOTS, WATCH_ROOTS = ["Documents", "Downloads", "Desktop", "Pictures"], ["Documents", "Downloads"]
+
+
+def default_roots(home: str, names: list[str] | None = None) -> list[str]:
+    """Those of the usual folders of a home that exist on this machine."""
+    return [p for n in (SCAN_ROOTS if names is None else names) if os.path.isdir(p := os.path.join(home, n))]
+
+
 def file_hash(content: Column, first: int | None = None) -> Column:
     """SHA-256 of the content, or the first 16 digits of that of its first bytes."""
     return F.sha2(content, 256) if first is None else F.left(F.sha2(F.substring(content, 1, first), 256), F.lit(16))
@@ -87,7 +98,7 @@ def read_pdf(files: DataFrame) -> DataFrame:
             texts = []
             for content in frame["content"]:
                 with fitz.open(stream=bytes(content), filetype="pdf") as pages:
-                    texts.append("\n".join(page.get_text() for page in pages).strip())
+                    texts.append("\n".join(pages[i].get_text() for i in range(min(PAGES, len(pages)))).strip())
             yield pd.DataFrame({"path": frame["path"], "text": texts})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
@@ -100,3 +111,88 @@ def review_report(regions: DataFrame) -> DataFrame:
     return marked.agg(
         F.count(F.lit(1)).alias("regions"), F.count_if("handwritten").alias("handwritten"), F.count_if(unsure).alias("unsure"), F.count_if(signed).alias("signatures"), F.count_if(unsure | signed).alias("to_review")
     )
+
+
+# How much of an office file or PDF is read.
+PARAGRAPHS, TABLES, SHEETS, SHEET_ROWS, PAGES = 500, 20, 5, 1000, 20
+
+
+def docx_text(content: bytes) -> str:
+    """The first paragraphs, and cells of the first tables row by row."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+    said = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
+    lines = [said(p) for p in body.findall(f"{w}p")[:PARAGRAPHS]]
+    for t in body.findall(f"{w}tbl")[:TABLES]:
+        lines += [" ".join(said(c) for c in row.findall(f"{w}tc")) for row in t.findall(f"{w}tr")]
+    return "\n".join(x for x in lines if x)
+
+
+def xlsx_text(content: bytes) -> str:
+    """The first rows of the first sheets, cells with a space between."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    x = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        shared = ["".join(t.text or "" for t in si.iter(f"{x}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))[:SHEETS]
+        lines = []
+        for sheet in sheets:
+            for row in list(ElementTree.fromstring(z.read(sheet)).iter(f"{x}row"))[:SHEET_ROWS]:
+                cells = []
+                for c in row.findall(f"{x}c"):
+                    value = c.findtext(f"{x}v") or "".join(t.text or "" for t in c.iter(f"{x}t"))
+                    cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
+                lines.append(" ".join(v for v in cells if v))
+    return "\n".join(v for v in lines if v)
+
+
+def read_office(files: DataFrame) -> DataFrame:
+    """path, text of docx and xlsx files; null where a file can't be read."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = []
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    texts.append((docx_text if path.lower().endswith(".docx") else xlsx_text)(bytes(content)))
+                except Exception:  # a damaged file is a row without text, as others of the folder go on
+                    texts.append(None)
+            yield pd.DataFrame({"path": frame["path"], "text": texts})
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string")
+
+
+def read_any(files: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """path, text by extension: office files, PDFs where a library is installed, others as text; what can't be read, as text too."""
+    kind = extension(F.col("path"))
+    office = read_office(files.where(kind.isin("docx", "xlsx")))
+    pdf = importlib.util.find_spec("fitz") is not None
+    parsed = office.unionByName(read_pdf(files.where(kind == "pdf"))) if pdf else office
+    plain = read_text(files.where(~kind.isin("docx", "xlsx", *(["pdf"] if pdf else []))), most_chars).select("path", "text")
+    raw = read_text(files.join(parsed.where("text is null").select("path"), "path", "left_semi"), most_chars).select("path", "text")
+    return plain.unionByName(parsed.where("text is not null").withColumn("text", F.substring("text", 1, most_chars))).unionByName(raw)
+
+
+def boxes(regions: DataFrame) -> DataFrame:
+    """Adds x0, y0, x1, y1, width and height to OCR regions from the corners (array of x and y) of their outlines."""
+    xs, ys = F.transform("corners", lambda p: p["x"]), F.transform("corners", lambda p: p["y"])
+    rows = regions.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
+    return rows.withColumns({"width": F.col("x1") - F.col("x0"), "height": F.col("y1") - F.col("y0")})
+
+
+def review_items(regions: DataFrame) -> DataFrame:
+    """page, nth, type, action_required: unsure regions, and signatures, each an item of its own."""
+    marked = handwriting_marks(regions)
+    item = lambda rows, kind, action: rows.select("page", "nth", F.lit(kind).alias("type"), F.lit(action).alias("action_required"))
+    return item(marked.where("confidence < 0.5"), "LOW_CONFIDENCE", "Verify text content is correctly extracted").unionByName(
+        item(marked.where("signature is not null"), "SIGNATURE", "Verify signature detection and redaction")
+    )

@@ -31,13 +31,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, most_bytes: int = 256 << 20) -> DataFrame:
-    """A small table dealt evenly over the cores, for work that is heavy for each row.
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose scan has fewer splits than there are cores, dealt evenly over them, for work that is heavy for each row.
 
-    Small tables are often one file that one task would read. Tables above the
-    bound have splits enough and are left as they are, without a shuffle.
+    Such a table is at most a split a core, so this shuffle is bounded; all others are left as they are.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) > most_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

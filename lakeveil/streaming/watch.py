@@ -1,8 +1,8 @@
 """The watcher as Structured Streaming: new files or rows are scanned once, and recent findings are kept.
 
 A file source reads each file once and its log survives restarts, which is the
-path deduplication; the trigger interval is the debounce; a stopped query goes
-on from its checkpoint, which is pause and resume.
+path deduplication; ``debounced`` holds a path back until it has been there for
+a while; a stopped query goes on from its checkpoint, which is pause and resume.
 """
 
 from __future__ import annotations
@@ -64,6 +64,29 @@ def drop_recent_contents(rows: DataFrame, size: int = 100) -> DataFrame:
     return keyed.groupBy("one").applyInPandasWithState(step, "path string, text string", "recent array<string>", "append", "NoTimeout")
 
 
+def debounced(rows: DataFrame, seconds: float = 2.0) -> DataFrame:
+    """path, text of rows (path, text), once for each path, when its first row is ``seconds`` old; repeats meanwhile don't start the wait anew.
+
+    State is kept by path and spread over the cluster; it ends with the wait.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            text = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"path": [key[0]], "text": [text]})
+            return
+        last = None
+        for frame in frames:
+            last = frame["text"].iloc[-1] if len(frame) else last
+        fresh = not state.exists
+        state.update((last,))
+        if fresh:
+            state.setTimeoutDuration(int(seconds * 1000))
+
+    return rows.select("path", "text").groupBy("path").applyInPandasWithState(step, "path string, text string", "text string", "append", "ProcessingTimeTimeout")
+
+
 def keep_recent(target: str, size: int = 50, order: str = "score") -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: a table of the newest ``size`` findings, newest batch first. Replayed batches replace themselves."""
 

@@ -119,3 +119,15 @@ def test_noise_and_true_counts(spark, small):
     """The noised histogram lies near the true one: its scale is small beside the counts."""
     rows = registry.QUERIES["dp_noised_histogram"](spark, small).collect()
     assert rows
+
+
+def test_pairs_are_the_same_with_any_bands(spark):
+    import random
+
+    rng = random.Random(1)
+    prints = [rng.getrandbits(63) for _ in range(30)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(1, 8))) for p in prints]
+    classes = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp bigint, rep bigint")
+    want = {(i, j, bin(prints[i] ^ prints[j]).count("1")) for j in range(60) for i in range(j) if bin(prints[i] ^ prints[j]).count("1") <= 5}
+    for bands in (None, 10, 12):
+        assert {tuple(r) for r in L.similarity_pairs(classes, bands=bands).collect()} == want
