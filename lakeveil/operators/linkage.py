@@ -202,17 +202,16 @@ def similarity_pairs(classes: DataFrame, most: int = 5, bands: int | None = None
     2**28 on. The pairs are the same with any number.
     """
     if bands is None:
+        classes = kept(classes)
         n = classes.count()
         bands = 8 if n < 1 << 20 else 10 if n < 1 << 28 else 12
     edges = [64 * i // bands for i in range(bands + 1)]
-    part = [F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(bands)]
-    keys = []
-    for nth, chosen in enumerate(combinations(range(bands), bands - most)):
-        key = F.lit(nth).cast("bigint")
-        for i in chosen:
-            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(part[i])
-        keys.append(key)
-    rows = classes.select("rep", "fp", F.explode(F.array(*keys)).alias("key"))
+    width = -(-64 // bands)
+    parts = F.array(*[F.shiftrightunsigned(F.col("fp"), edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(bands)])
+    chosen = F.array(*[F.struct(F.lit(nth).cast("bigint").alias("nth"), F.array(*map(F.lit, c)).alias("bands")) for nth, c in enumerate(combinations(range(bands), bands - most))])
+    key = lambda p, c: F.aggregate(c["bands"], c["nth"], lambda k, i: F.shiftleft(k, width).bitwiseOR(F.get(p, i)))
+    keys = F.element_at(F.transform(F.array(parts), lambda p: F.transform(chosen, lambda c: key(p, c))), 1)
+    rows = classes.select("rep", "fp", F.explode(keys).alias("key"))
     a = rows.select(F.col("rep").alias("doc_1"), F.col("fp").alias("fp_1"), "key")
     b = rows.select(F.col("rep").alias("doc_2"), F.col("fp").alias("fp_2"), F.col("key").alias("key_2"))
     distance = F.bit_count(F.col("fp_1").bitwiseXOR(F.col("fp_2")))
