@@ -85,13 +85,15 @@ def linked(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarit
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     links = materialize(pairs.join(x, "a").join(y, "b").where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "pivots")
-    placed = members.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    found = components(links)
+    star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))  # one link a node does for all of them
+    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     # a bucket of two has had its comparison; of the others the members of the largest component need none among themselves
     parts = materialize(placed.groupBy("key", "component").agg(F.count("*").alias("n")), "parts")
     open_ = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("big")).where("parts > 1 and n > 2")
     open_ = materialize(open_.select("key", F.col("big.component").alias("big"), F.expr(f"cast(ceil(n / {block}) as int)").alias("blocks"), F.expr(f"cast(ceil((n - big.n) / {block}) as int)").alias("rest_blocks")), "open")
     if open_.isEmpty():
-        return links
+        return star
     at = placed.join(open_, "key").withColumn("hash", F.xxhash64("doc_id")).withColumn("rest", F.col("component") != F.col("big"))
     own = F.pmod("hash", F.when(F.col("rest"), F.col("rest_blocks")).otherwise(F.col("blocks"))).cast("int")
     dealt = materialize(at.withColumn("own", own).select("key", "doc_id", "component", "rest", "own", "blocks", "rest_blocks"), "dealt")
@@ -120,7 +122,7 @@ def linked(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarit
         return pa.table([pairs[:, 0], pairs[:, 1]], ["a", "b"])
 
     more = tasks.join(sets, "doc_id").groupBy("key", "one", "two").applyInArrow(compare, "a bigint, b bigint")
-    return materialize(links.unionByName(more).distinct(), "near")
+    return materialize(star.unionByName(more).distinct(), "near")
 
 
 def later_copies(docs: DataFrame, **rules) -> DataFrame:

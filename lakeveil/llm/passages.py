@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import materialize, release, sift, unwrapped, word_array, wrapped
+from .common import materialize, release, sift, sliced, unwrapped, word_array, wrapped
 from .components import components
 from .hashes import Words, mix, shingled, tune_bands
 
@@ -65,16 +65,22 @@ def split_words(text: str) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(edges)
 
 
-def cut(h: np.ndarray) -> np.ndarray:
-    """Edges of pieces, in words; they depend on the words near them alone."""
-    n = len(h)
+def cut(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Edges of the pieces of texts that lie between start and end, ``RADIUS`` words or more apart; edges depend on the words near them alone."""
     pair = h.copy()
     pair[1:] = mix(h[1:] + h[:-1] * np.uint64(31))
-    least = np.ones(n, bool)
+    full = start[start < end]
+    pair[full] = h[full]
+    inside = np.zeros(len(h) + 1, np.int64)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, end, -1)
+    least = np.cumsum(inside[:-1]) > 0
+    pair[~least] = np.uint64(0xFFFFFFFFFFFFFFFF)
     for d in range(1, RADIUS + 1):
-        least[d:] &= pair[d:] < pair[:-d]
+        below = pair[d:] < pair[:-d]
+        least[d:] &= below
         least[:-d] &= pair[:-d] < pair[d:]
-    return np.unique(np.concatenate([[0], np.flatnonzero(least) + 1, [n]]))
+    return np.unique(np.concatenate([start, np.flatnonzero(least) + 1, end]))
 
 
 _LISTS = {"p_start": "int", "p_words": "int", "p_key": "bigint", "p_content": "bigint", "l_start": "int", "l_words": "int", "l_content": "bigint", "l_keys": "bigint"}
@@ -85,43 +91,47 @@ def _paragraphs(texts: DataFrame, bands: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = Words(), [Powers(b) for b in BASES]
-        kinds = {"int": pa.int32(), "bigint": pa.int64()}
-        for b in batches:
-            totals, rows = [], {c: [] for c in _LISTS}
+        kinds = {"int": np.int32, "bigint": np.int64}
+        for b in sliced(batches, 64):  # texts are laid one after the other, with words between them that belong to none
+            words, start, end, line_start, line_end = [], [], [], [], []
             for text in b.column("text").to_pylist():
-                words, line = split_words(text)
-                n = len(words)
-                totals.append(n)
-                none = np.empty(0, np.int64)
-                out = dict.fromkeys(_LISTS, none)
-                if n >= SHINGLE:
-                    h = cache.of(words)
-                    edge = cut(h)
-                    keep = np.diff(edge) >= SHINGLE
-                    s, e = edge[:-1][keep], edge[1:][keep]
-                    out |= {"p_start": s, "p_words": e - s, "p_key": contents(h, s, e, powers[0]).view(np.int64), "p_content": contents(h, s, e, powers[1]).view(np.int64)}
-                    keep = np.diff(line) >= LINE
-                    s, e = line[:-1][keep], line[1:][keep]
-                    if len(s):
-                        grams = shingled(h, SHINGLE)
-                        inside = np.stack([s, np.minimum(e - SHINGLE + 1, len(grams))], axis=1).ravel()
-                        inside = inside[:-1] if inside[-1] >= len(grams) else inside
-                        keys = np.empty((len(s), bands), np.uint64)
-                        for band in range(bands):
-                            key = np.full(len(s), band + 1, np.uint64)
-                            for k in range(ROWS):
-                                low = np.minimum.reduceat(mix(grams ^ np.uint64(0x1000193 * (2 * (band * ROWS + k) + 1))), inside)[::2]
-                                key = mix(key * np.uint64(31) + low)
-                            keys[:, band] = key
-                        out |= {"l_start": s, "l_words": e - s, "l_content": contents(h, s, e, powers[1]).view(np.int64), "l_keys": keys.ravel().view(np.int64)}
-                for c, x in out.items():
-                    rows[c].append(x)
+                own, line = split_words(text)
+                at = len(words)
+                start.append(at)
+                end.append(at + len(own))
+                line_start += (line[:-1] + at).tolist()
+                line_end += (line[1:] + at).tolist()
+                words += own + [b""] * RADIUS
+            if not start:
+                continue
+            s, e, h = np.array(start), np.array(end), cache.of(words)
+            edge = cut(h, s, e)
+            of = lambda x: np.searchsorted(s, x, "right") - 1  # noqa: E731, B023  the text of a place; of empty texts the last, which has none
+            ps, pe = edge[:-1], edge[1:]
+            keep = (pe - ps >= SHINGLE) & (ps < e[of(ps)])
+            ps, pe = ps[keep], pe[keep]
+            ls, le = np.array(line_start, np.int64), np.array(line_end, np.int64)
+            keep = le - ls >= LINE
+            ls, le = ls[keep], le[keep]
+            keys = np.empty((len(ls), bands), np.uint64)
+            if len(ls):
+                grams, inside = shingled(h, SHINGLE), np.stack([ls, le - SHINGLE + 1], axis=1).ravel()
+                for band in range(bands):
+                    key = np.full(len(ls), band + 1, np.uint64)
+                    for k in range(ROWS):
+                        low = np.minimum.reduceat(mix(grams ^ np.uint64(0x1000193 * (2 * (band * ROWS + k) + 1))), inside)[::2]
+                        key = mix(key * np.uint64(31) + low)
+                    keys[:, band] = key
+            own = {
+                "p_start": ps - s[of(ps)], "p_words": pe - ps, "p_key": contents(h, ps, pe, powers[0]).view(np.int64), "p_content": contents(h, ps, pe, powers[1]).view(np.int64),
+                "l_start": ls - s[of(ls)], "l_words": le - ls, "l_content": contents(h, ls, le, powers[1]).view(np.int64), "l_keys": keys.ravel().view(np.int64),
+            }
+            counts = {"p": np.bincount(of(ps), minlength=len(s)), "l": np.bincount(of(ls), minlength=len(s))}
             lists = []
             for c, kind in _LISTS.items():
-                edges = np.concatenate([[0], np.cumsum([len(x) for x in rows[c]])]).astype(np.int32)
-                values = np.concatenate([np.empty(0, np.int64), *rows[c]])
-                lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(values.astype(kinds[kind].to_pandas_dtype()))))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(totals, pa.int32()), *lists], ["doc_id", "text_hash", "total", *_LISTS])
+                edges = np.concatenate([[0], np.cumsum(counts[c[0]] * (bands if c == "l_keys" else 1))]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(own[c].astype(kinds[kind]))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array((e - s).astype(np.int32)), *lists], ["doc_id", "text_hash", "total", *_LISTS])
 
     return texts.mapInArrow(run, "doc_id bigint, text_hash bigint, total int, " + ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items()))
 
@@ -131,7 +141,7 @@ def _line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
-        for b in batches:
+        for b in sliced(batches, 200):
             out, sets = [], []
             for text, lines in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 words, _ = split_words(text)
@@ -156,20 +166,20 @@ def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
-        for b in batches:
+        for b in sliced(batches, 200):
             rows, place, left, right = [], [], [], []
             for i, (text, places) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
-                h = cache.of(split_words(text)[0]).view(np.int64)
+                h = (cache.of(split_words(text)[0]) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # they only move edges
                 for at in (w["place"] for w in places):
                     rows.append(i)
                     place.append(at)
                     left.append(h[max(0, at - REACH) : at][::-1])
                     right.append(h[at : at + REACH])
             pick = pa.array(rows, pa.int64())
-            both = [pa.array(x, pa.list_(pa.int64())) for x in (left, right)]
+            both = [pa.array(x, pa.list_(pa.int32())) for x in (left, right)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pick), b.column("text_hash").take(pick), pa.array(place, pa.int32()), *both], ["doc_id", "text_hash", "place", "left", "right"])
 
-    return _asked(texts, wanted, "place").mapInArrow(run, "doc_id bigint, text_hash bigint, place int, left array<bigint>, right array<bigint>")
+    return _asked(texts, wanted, "place").mapInArrow(run, "doc_id bigint, text_hash bigint, place int, left array<int>, right array<int>")
 
 
 def _agreeing(mine: Column, other: Column) -> Column:
