@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, lm_score, mixing, packing, passages, quality_model, quality_rules, sharding, simhash
+from . import exact_dedup, license_scan, lm_score, mixing, packing, passages, quality_model, quality_rules, sharding, simhash, spelling
 from .common import table
 
 
@@ -103,6 +103,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def _mix_sql() -> str:
     case = " ".join(f"when n between {lo} and {hi} then '{k}'" for k, (lo, hi) in DOMAINS.items())
     levels = ["domain", "lang", "source"]
@@ -162,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_lm_score": op9_lm_score,
     "op10_pack": op10_pack,
+    "op11_spelling": op11_spelling,
 }
 
 ORACLE: dict[str, str] = {"op3_license_scan": _license_sql(), "op6_exact_dedup": _OP6_SQL, "op8_mix": _mix_sql()}
