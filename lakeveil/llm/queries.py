@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, lm_score, mixing, packing, passages, quality_model, quality_rules, sharding, simhash, spelling
+from . import exact_dedup, license_scan, lm_score, mixing, oracles, packing, passages, quality_model, quality_rules, secrets, sharding, simhash, spelling, vector_codes
 from .common import table
 
 
@@ -107,6 +107,18 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return codes.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 def _mix_sql() -> str:
     case = " ".join(f"when n between {lo} and {hi} then '{k}'" for k, (lo, hi) in DOMAINS.items())
     levels = ["domain", "lang", "source"]
@@ -167,6 +179,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_pack": op10_pack,
     "op11_spelling": op11_spelling,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE: dict[str, str] = {"op3_license_scan": _license_sql(), "op6_exact_dedup": _OP6_SQL, "op8_mix": _mix_sql()}
+ORACLE: dict[str, str] = {
+    "op3_license_scan": _license_sql(),
+    "op6_exact_dedup": _OP6_SQL,
+    "op8_mix": _mix_sql(),
+    "op11_spelling": oracles.spelling_sql(),
+    "op12_secret_scan": oracles.secrets_sql(),
+    "op13_vector_codes": oracles.vector_sql(),
+}
