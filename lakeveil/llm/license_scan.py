@@ -157,29 +157,55 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ]
     )
 
+    holders = F.array(*[F.array(*[F.lit(r) for r, (_, grams, _) in enumerate(known) if g in grams]) for g in every])  # of each bigram, the templates
+
     def scan(words: Column) -> Column:
         gram = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
         at = F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: gram(i).isin(every))
         none = F.array().cast(f"array<{MATCH}>")
-        hits = let(at, lambda a: F.when(F.size(a) >= smallest, F.transform(a, lambda i: F.struct(i.alias("at"), gram(i).alias("g")))))
+        named = lambda a: F.transform(a, lambda i: F.struct((F.array_position(F.array(*map(F.lit, every)), gram(i)).cast("int") - 1).alias("g"), i.alias("at")))
 
-        def compare(t: Column, hits: Column) -> Column:
-            def windows(own: Column) -> Column:
-                close = lambda k: F.get(own, k + t["need"] - 1)["at"] - F.get(own, k)["at"] < t["length"]
-                starts = F.filter(F.sequence(F.lit(0), F.size(own) - t["need"]), close)
-                inside = lambda k: F.filter(own, lambda x: x["at"].between(F.get(own, k)["at"], F.get(own, k)["at"] + t["length"] - 1))
+        def before(by_gram: Column) -> Column:
+            """Hits (at, g, prev: the place of the same bigram before, or -1), in order."""
+            at = lambda j: F.get(by_gram, j)
+            back = lambda x, j: F.when((j > 0) & (at(j - 1)["g"] == x["g"]), at(j - 1)["at"]).otherwise(-1)
+            return F.array_sort(F.transform(by_gram, lambda x, j: F.struct(x["at"].alias("at"), x["g"].alias("g"), back(x, j).alias("prev"))))
 
-                def scored(found: Column) -> Column:
-                    first, last = F.element_at(found, 1)["at"], F.element_at(found, -1)["at"]
-                    shared = F.size(F.array_distinct(F.transform(found, lambda x: x["g"])))
-                    size = F.size(F.array_distinct(F.transform(F.sequence(first, last), gram)))
-                    return F.struct((2 * shared / (size + F.size(t["grams"]))).alias("score"), (-first).alias("before"), (last - first + 2).alias("n_words"), shared.alias("shared"))
+        hits = let(at, lambda a: F.when(F.size(a) >= smallest, let(F.array_sort(named(a)), before)))
 
-                best = F.array_max(F.transform(starts, lambda k: let(inside(k), scored)))
-                return let(best, lambda b: F.when(b["score"] >= least, F.struct(
-                    t["rank"].alias("rank"), t["license"].alias("license"), (-b["before"]).alias("start_word"), b["n_words"].alias("n_words"), b["shared"].alias("shared"), b["score"].alias("score"))))
+        def compare(t: Column, hits: Column) -> Column:
+            b, length = F.size(t["grams"]), t["length"]
+            bound = lambda shared: 2 * shared / (shared + b)  # noqa: E731  a passage has no fewer bigrams than it shares
 
-            return let(F.filter(hits, lambda x: F.array_contains(t["grams"], x["g"])), lambda own: F.when(F.size(own) >= t["need"], windows(own)))
+            def windows(own: Column) -> Column:
+                place = lambda k: F.get(own, k)["at"]
+                starts = F.filter(F.sequence(F.lit(0), F.size(own) - t["need"]), lambda k: place(k + t["need"] - 1) - place(k) < length)
+                inside = lambda k: F.filter(F.slice(own, k + 1, length), lambda x: x["at"] < place(k) + length)  # noqa: E731  a place has one hit at most
+
+                def step(best: Column, k: Column) -> Column:
+                    """The best window so far, and where the last one was counted: each place further adds one shared bigram at most."""
+                    first = place(k)
+
+                    def counted(shared: Column) -> Column:
+                        def sized(last: Column) -> Column:
+                            size = F.size(F.array_distinct(F.transform(F.sequence(first, last), gram)))
+                            score = 2 * shared / (size + b)
+                            own = F.struct(score.alias("score"), first.alias("first"), (last - first + 2).alias("n_words"), shared.alias("shared"), first.alias("seen_at"), shared.alias("seen"))
+                            return let(own, lambda o: F.when(o["score"] > best["score"], o).otherwise(passed))
+
+                        passed = F.struct(best["score"].alias("score"), best["first"].alias("first"), best["n_words"].alias("n_words"), best["shared"].alias("shared"), first.alias("seen_at"), shared.alias("seen"))
+                        return F.when(bound(shared) > best["score"], let(F.element_at(inside(k), -1)["at"], sized)).otherwise(passed)
+
+                    shared = F.size(F.filter(F.slice(own, k + 1, length), lambda x: (x["at"] < first + length) & (x["prev"] < first)))
+                    most = F.least(b, best["seen"] + first - best["seen_at"])
+                    return F.when(bound(most) <= best["score"], best).otherwise(let(shared, counted))
+
+                none_yet = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("first"), F.lit(0).alias("n_words"), F.lit(0).alias("shared"), F.lit(0).alias("seen_at"), F.lit(1 << 24).alias("seen"))
+                best = F.aggregate(starts, none_yet, step)
+                return let(best, lambda m: F.when(m["score"] >= least, F.struct(
+                    t["rank"].alias("rank"), t["license"].alias("license"), m["first"].alias("start_word"), m["n_words"].alias("n_words"), m["shared"].alias("shared"), m["score"].alias("score"))))
+
+            return let(F.filter(hits, lambda x: F.array_contains(F.get(holders, x["g"]), t["rank"])), lambda own: F.when(F.size(own) >= t["need"], windows(own)))
 
         # only templates that the text shares enough bigrams for
         found = lambda h: F.filter(F.transform(F.filter(table, lambda t: t["need"] <= F.size(h)), lambda t: compare(t, h)), lambda m: m.isNotNull())

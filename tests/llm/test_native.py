@@ -168,6 +168,26 @@ def test_license_scan(spark, small):
     assert license_scan.license_scan(empty(spark)).count() == 0
 
 
+def test_license_scan_of_long_texts_is_linear(spark):
+    """A window costs its own length at most, so a file of notices costs what its length is."""
+    import time
+
+    mit, near = license_scan.TEMPLATES["MIT"][0], license_scan.TEMPLATES["ISC"][0].replace("software", "thing")
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "start " + (mit + " ") * n + (near + " ") * n)], "doc_id int, text string")
+        began = time.perf_counter()
+        r = license_scan.license_scan(docs).first()
+        took = time.perf_counter() - began
+        assert (r.license, r.score, [(m.license, m.start_word) for m in r.matches[:1]]) == ("MIT", 1.0, [("MIT", 1)])
+        assert any(m.license == "ISC" and m.score < 1 for m in r.matches)
+        return took
+
+    seconds(1)
+    short, long = seconds(50), seconds(500)
+    assert long - short < 10 * max(short, 5)  # tenfold text; a quadratic scan took a hundredfold
+
+
 def test_license_scan_equals_its_sql(spark, small):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{small}/documents.parquet' union all by name select 100000 + i as doc_id, t as text from (values {', '.join(f'({k}, {chr(39)}{x[0].replace(chr(39), chr(39) * 2)}{chr(39)})' for k, x in enumerate(license_scan.TEMPLATES.values()))}) v(i, t)")
