@@ -6,11 +6,14 @@ child whose subtree cannot supply its share gets all it has, and what it leaves
 goes to its siblings by weight; only when a whole subtree is short does the rest
 reach the siblings of its parent. Every step is exact integer arithmetic.
 
-A leaf's budget is then read as a prefix of its seeded epochs: each epoch is a
-pseudo-random order of the leaf's documents, whole epochs count once each, and
-the last one is cut at the last document that fits. The cut is found from sums
-over buckets of the order, so only one bucket of a leaf is ever sorted, and a
-leaf with a third of all rows is spread over the cluster.
+A leaf's budget is then read as a prefix of the tokens of its seeded epochs:
+each epoch is a pseudo-random order of the leaf's documents, whole epochs count
+once each, and the last one is cut where the budget ends, which may be inside a
+document. So a leaf is given its budget to the token, and a very long document
+early in the order costs the others nothing. The cut is found from sums over
+buckets of the order, then over buckets of the one bucket that holds it, so only
+a leaf's 16-millionth part is ever sorted, and a leaf with a third of all rows
+is spread over the cluster.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize, word_array
 
 BIG = "decimal(38,0)"
+#: Hexadecimal digits of a place in the order that a bucket has.
+DIGITS = 3
 
 
 def _split(children: DataFrame, parent: list[str]) -> DataFrame:
@@ -87,14 +92,17 @@ def mix_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, the levels, n_tokens, leaf_tokens, leaf_budget, copies.
-
-    ``copies`` is how often the document is taken: once for each whole epoch of
-    its leaf, and once more if the seeded order of the last epoch reaches it.
-    ``budget`` is an expression that may use ``parent_budget``, the tokens there
-    are. Tokens are words. A null level counts as ``""``, a null or empty text
-    as no tokens (taken with whole epochs, and in the last one like any other).
-    Ties in the order (repeated rows) are taken together or not at all. An empty
+    """One row for each row of ``docs``: doc_id, the levels, n_tokens, leaf_tokens, leaf_budget, copies, taken.
+
+    ``copies`` is how often the whole document is taken: once for each whole
+    epoch of its leaf, and once more if it ends inside the budget in the seeded
+    order of the last epoch. ``taken`` counts its tokens in the budget; where that
+    ends inside a document, these are its copies and the tokens before the cut, and
+    the sum of ``taken`` over a leaf is the leaf's budget. ``budget`` is an
+    expression that may use ``parent_budget``, the tokens there are. Tokens are
+    words. A null level counts as ``""``, a null or empty text as no tokens (taken
+    with whole epochs, and in the last one like any other). Ties in the order
+    (repeated rows) are taken one after the other, shorter texts first. An empty
     table gives no rows; other columns are ignored.
     """
     names = list(levels)
@@ -113,21 +121,26 @@ def mix_documents(
     plan = materialize(plan.withColumn("rest", F.expr("case when leaf_tokens > 0 then leaf_budget % leaf_tokens else 0 end")), "budgets")
     # the epoch's number is part of the order, so each epoch has its own
     epoch_order = F.md5(F.concat(order, F.lit(":"), F.col("whole").cast("string")))
-    placed = rows.join(plan, names).withColumn("place", epoch_order).withColumn("bucket", F.substring("place", 1, 3))
-    sums = placed.groupBy(*names, "rest", "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
-    upto = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # the first bucket that does not fit as a whole, for each leaf
-    cuts = (
-        sums.withColumn("upto", F.sum("bucket_tokens").over(upto))
-        .where("upto > rest")
-        .groupBy(*names)
-        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("bucket_tokens")).alias("before"))).alias("cut"))
-    )
-    placed = placed.join(materialize(cuts, "cuts"), names, "left")
-    at_cut = F.coalesce(F.col("bucket") == F.col("cut.bucket"), F.lit(False))
-    inside = Window.partitionBy(*names).orderBy("place")
-    tested = placed.where(at_cut).withColumn("taken", F.col("cut.before") + F.sum("n_tokens").over(inside) <= F.col("rest"))
-    plain = placed.where(~at_cut).withColumn("taken", F.coalesce(F.col("bucket") < F.col("cut.bucket"), F.lit(False)))
-    return plain.unionByName(tested).select(
-        "doc_id", *names, "n_tokens", "leaf_tokens", "leaf_budget", (F.col("whole") + F.col("taken").cast("bigint")).alias("copies")
+    placed = rows.join(plan, names).withColumn("place", epoch_order).withColumn("before", F.lit(0).cast("bigint"))
+    done = []
+    for step in range(2):
+        placed = placed.withColumn("bucket", F.substring("place", 1 + DIGITS * step, DIGITS))
+        placed = placed.join(materialize(_cuts(placed, names), "cuts"), names, "left")
+        at_cut = F.coalesce(F.col("bucket") == F.col("cut.bucket"), F.lit(False))
+        inside = F.coalesce(F.col("bucket") < F.col("cut.bucket"), F.lit(False)).cast("bigint")
+        done.append(placed.where(~at_cut).withColumn("more", inside).withColumn("last", inside * F.col("n_tokens")).drop("cut", "bucket", "before"))
+        placed = materialize(placed.where(at_cut).withColumn("before", F.col("cut.before")).drop("cut", "bucket"), "at-cut")
+    upto = Window.partitionBy(*names).orderBy("place", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tested = placed.withColumn("upto", F.col("before") + F.sum("n_tokens").over(upto)).withColumn("more", (F.col("upto") <= F.col("rest")).cast("bigint"))
+    done.append(tested.withColumn("last", F.greatest(F.lit(0).cast("bigint"), F.least("n_tokens", F.col("rest") - F.col("upto") + F.col("n_tokens")))).drop("upto", "before"))
+    return done[0].unionByName(done[1]).unionByName(done[2]).select(
+        "doc_id", *names, "n_tokens", "leaf_tokens", "leaf_budget", (F.col("whole") + F.col("more")).alias("copies"), (F.col("whole") * F.col("n_tokens") + F.col("last")).alias("taken")
     )
+
+
+def _cuts(placed: DataFrame, names: list[str]) -> DataFrame:
+    """Of each leaf the first bucket that does not fit as a whole, and the tokens before it."""
+    sums = placed.groupBy(*names, "rest", "before", "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
+    upto = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("upto", F.col("before") + F.sum("bucket_tokens").over(upto)).where("upto > rest")
+    return sums.groupBy(*names).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("bucket_tokens")).alias("before"))).alias("cut"))

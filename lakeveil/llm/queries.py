@@ -156,9 +156,10 @@ def _mix_sql() -> str:
 plan as (select domain, lang, source, tokens, budget, case when tokens > 0 then budget // tokens else 1 end whole,
   case when tokens > 0 then budget % tokens else 0 end rest from leaves join b3 using (domain, lang, source)),
 placed as (select *, md5(md5('{SEED}:' || coalesce(doc_id::varchar, '')) || ':' || whole::varchar) place from rows join plan using (domain, lang, source)),
-summed as (select *, sum(n_tokens) over (partition by domain, lang, source order by place) upto from placed)
+summed as (select *, sum(n_tokens) over (partition by domain, lang, source order by place, n_tokens rows unbounded preceding) upto from placed)
 select doc_id, domain, lang, source, n_tokens, tokens::bigint leaf_tokens, budget::bigint leaf_budget,
-  (whole + (tokens > 0 and upto <= rest)::int)::bigint copies from summed"""
+  (whole + (tokens > 0 and upto <= rest)::int)::bigint copies,
+  (whole * n_tokens + greatest(0, least(n_tokens, rest - upto + n_tokens)))::bigint taken from summed"""
     )
 
 

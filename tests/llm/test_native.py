@@ -249,22 +249,34 @@ def test_budgets_equal_plain_python(spark, seed):
     assert {(r.d, r.l, r.s): r.budget for r in got} == {(d, lg, s): want[d][lg][s] for d, lg, s, _ in rows}
 
 
-def test_mixture_takes_prefixes_within_budgets(spark):
-    rows = queries.mix(odd(spark)).collect()
-    assert len(rows) == len(ROWS)
-    leaves = {}
-    for r in rows:
-        key = (r.domain, r.lang, r.source)
-        taken, _ = leaves.get(key, (0, 0))
-        leaves[key] = (taken + r.n_tokens * r.copies, r.leaf_budget)
-    assert all(taken <= budget for taken, budget in leaves.values())
+@pytest.mark.parametrize("epochs", [1, 2])
+def test_mixture_spends_budgets_to_the_token(spark, small, epochs):
+    """Also with ties, and with a very long document in a leaf; the order is restated here."""
+    long = [(10_000 + i, "w " * 20_000, "en", "src3") for i in range(2)] + [(10_000, "w " * 20_000, "en", "src3"), (10_000, "w w w", "en", "src3")]
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(long, "doc_id bigint, text string, lang string, source string"))
+    for frame in (odd(spark), docs):
+        rows = queries.mix(frame, epochs=epochs).collect()
+        assert len(rows) == frame.count()
+        leaves = {}
+        for r in rows:
+            leaves.setdefault((r.domain, r.lang, r.source, r.leaf_tokens, r.leaf_budget), []).append(r)
+        for (*_, tokens, budget), own in leaves.items():
+            assert sum(r.taken for r in own) == budget
+            whole, rest = divmod(budget, tokens) if tokens else (1, 0)
+            md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+            upto, want = 0, []
+            for _, n, i in sorted((md5(md5(f"{queries.SEED}:{'' if r.doc_id is None else r.doc_id}") + f":{whole}"), r.n_tokens, r.doc_id) for r in own):
+                last = max(0, min(n, rest - upto))
+                upto += n
+                want.append((i or 0, n, whole + (tokens > 0 and upto <= rest), whole * n + last))
+            assert sorted((r.doc_id or 0, r.n_tokens, r.copies, r.taken) for r in own) == sorted(want)
     assert queries.mix(empty(spark)).count() == 0
 
 
 def test_mixture_equals_its_sql(spark, small):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{small}/documents.parquet'")
-    cols = "doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, copies"
+    cols = "doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, copies, taken"
     want = con.sql(f"select {cols} from ({queries.ORACLE['op8_mix']})").fetchall()
     got = [tuple(r) for r in queries.QUERIES["op8_mix"](spark, small).selectExpr(*cols.split(", ")).collect()]
     assert sorted(got) == sorted(want)
