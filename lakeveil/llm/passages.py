@@ -5,15 +5,17 @@ are compared as near copies: MinHash values of their 5-word shingles lie in
 bands of ``ROWS``, as many as the wanted recall needs; lines that meet in a band
 are verified by the exact Jaccard coefficient and clustered by connected
 components (see ``minhash``). Passages that begin and end anywhere are found by
-pieces: a text is cut after each word whose hash is the least among its
-neighbours up to ``RADIUS`` words away, so a passage that many documents share is
-cut alike in all of them; a piece has one band, over all its words.
+sliding paragraphs of ``WINDOW + GRAM - 1`` words, one after each word: a sliding
+paragraph has one MinHash value, the least hash of its runs of ``GRAM`` words, and
+neighbours mostly have the same, so a text keeps about one run in ``WINDOW / 2``
+words. Texts that share as many words in a row as a sliding paragraph has share
+that run for certain, so no such passage is missed.
 
 A paragraph's first occurrence (smallest doc_id, then place) stays, later ones
 are removed. Later paragraphs that touch, or that a short edited stretch parts
 in both texts alike, are one passage. Its edges are then moved outward word by
-word as long as it agrees with the first occurrence, so what counts is the
-length of the shared passage, not where it happened to be cut.
+word for as long as it agrees with the first occurrence, ``REACH`` words a round,
+so what counts is the length of the shared passage, not where its runs stand.
 """
 
 from __future__ import annotations
@@ -22,17 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import materialize, release, sift, sliced, unwrapped, word_array, wrapped
+from .common import materialize, release, sift, unwrapped, word_array, wrapped
 from .components import components
 from .hashes import Words, mix, shingled, tune_bands
 
-SHINGLE, RADIUS, LINE, ROWS = 5, 5, 20, 3
-#: Words by which a passage's edge may be moved, and words of an edited stretch inside one.
-REACH, GAP = 64, 16
+SHINGLE, LINE, ROWS = 5, 20, 3
+#: Words of a run, and runs of a sliding paragraph.
+GRAM, WINDOW = 8, 13
+#: Words by which a passage's edges are moved in a round, and most words of an edited stretch inside one.
+REACH, GAP = 32, 16
+#: Bytes of texts that are worked on at a time; a longer text is alone.
+BYTES = 4_000_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -65,34 +72,52 @@ def split_words(text: str) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(edges)
 
 
-def cut(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Edges of the pieces of texts that lie between start and end, ``RADIUS`` words or more apart; edges depend on the words near them alone."""
-    pair = h.copy()
-    pair[1:] = mix(h[1:] + h[:-1] * np.uint64(31))
-    full = start[start < end]
-    pair[full] = h[full]
-    inside = np.zeros(len(h) + 1, np.int64)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, end, -1)
-    least = np.cumsum(inside[:-1]) > 0
-    pair[~least] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for d in range(1, RADIUS + 1):
-        below = pair[d:] < pair[:-d]
-        least[d:] &= below
-        least[:-d] &= pair[:-d] < pair[d:]
-    return np.unique(np.concatenate([start, np.flatnonzero(least) + 1, end]))
+def chosen(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Where the runs of ``GRAM`` words begin that are the least of a sliding paragraph of a text; texts lie between start and end.
+
+    Of equal runs the first counts; where all are equal (one word again and
+    again) every ``WINDOW``th is enough.
+    """
+    least: list[np.ndarray] = []
+    for s, e in zip(start.tolist(), end.tolist(), strict=True):
+        if e - s < GRAM + WINDOW - 1:
+            continue
+        gram = shingled(h[s:e], GRAM)
+        for at in range(0, len(gram) - WINDOW + 1, 1 << 16):  # a long text in stretches, which overlap by a paragraph
+            windows = np.lib.stride_tricks.sliding_window_view(gram[at : at + (1 << 16) + WINDOW - 1], WINDOW)
+            found = np.unique(windows.argmin(axis=1) + np.arange(len(windows))) + at
+            value = gram[found]
+            same = np.concatenate([[False], (value[1:] == value[:-1]) & (np.diff(found) == 1)])
+            run = np.flatnonzero(~same)
+            nth = np.arange(len(found)) - np.repeat(run, np.diff(np.append(run, len(found))))
+            least.append(s + found[nth % WINDOW == 0])
+    return np.unique(np.concatenate(least)) if least else np.zeros(0, np.int64)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of texts of ``most`` bytes, or of one text that has more."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+        at, mass = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > at and mass + n > most:
+                yield b.slice(at, i - at)
+                at, mass = i, 0
+            mass += n
+        if b.num_rows > at:
+            yield b.slice(at)
 
 
 _LISTS = {"p_start": "int", "p_words": "int", "p_key": "bigint", "p_content": "bigint", "l_start": "int", "l_words": "int", "l_content": "bigint", "l_keys": "bigint"}
 
 
 def _paragraphs(texts: DataFrame, bands: int) -> DataFrame:
-    """doc_id, text_hash, total (words), and the pieces and long lines of each text as lists; ``l_keys`` has ``bands`` keys a line."""
+    """doc_id, text_hash, total (words), and the runs and long lines of each text as lists; ``l_keys`` has ``bands`` keys a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, powers = Words(), [Powers(b) for b in BASES]
         kinds = {"int": np.int32, "bigint": np.int64}
-        for b in sliced(batches, 64):  # texts are laid one after the other, with words between them that belong to none
+        for b in by_bytes(batches, BYTES // 4):  # texts are laid one after the other, with words between them that belong to none
             words, start, end, line_start, line_end = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 own, line = split_words(text)
@@ -101,15 +126,13 @@ def _paragraphs(texts: DataFrame, bands: int) -> DataFrame:
                 end.append(at + len(own))
                 line_start += (line[:-1] + at).tolist()
                 line_end += (line[1:] + at).tolist()
-                words += own + [b""] * RADIUS
+                words += own + [b""] * SHINGLE
             if not start:
                 continue
             s, e, h = np.array(start), np.array(end), cache.of(words)
-            edge = cut(h, s, e)
             of = lambda x: np.searchsorted(s, x, "right") - 1  # noqa: E731, B023  the text of a place; of empty texts the last, which has none
-            ps, pe = edge[:-1], edge[1:]
-            keep = (pe - ps >= SHINGLE) & (ps < e[of(ps)])
-            ps, pe = ps[keep], pe[keep]
+            ps = chosen(h, s, e)
+            pe = ps + GRAM
             ls, le = np.array(line_start, np.int64), np.array(line_end, np.int64)
             keep = le - ls >= LINE
             ls, le = ls[keep], le[keep]
@@ -141,7 +164,7 @@ def _line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
-        for b in sliced(batches, 200):
+        for b in by_bytes(batches):
             out, sets = [], []
             for text, lines in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
                 words, _ = split_words(text)
@@ -166,7 +189,7 @@ def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
-        for b in sliced(batches, 200):
+        for b in by_bytes(batches):
             rows, place, left, right = [], [], [], []
             for i, (text, places) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
                 h = (cache.of(split_words(text)[0]) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # they only move edges
@@ -202,8 +225,43 @@ def _merged(spans: DataFrame, gap: int, *same: Column) -> DataFrame:
     return spans.withColumn("fresh", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("fresh").over(by)).drop("fresh")
 
 
+def _widened(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with before and after, the words by which their edges can be moved outward while they agree with the first occurrence.
+
+    A round compares ``REACH`` words on each side; runs that agree in all of them go on in the next.
+    """
+    zero = F.lit(0).cast("int")
+    now, done = runs.withColumns({"before": zero, "after": zero, "left_open": F.lit(True), "right_open": F.lit(True)}), None
+    while True:
+        lo, its_lo, hi, its_hi = F.col("start") - F.col("before"), F.col("l_at") - F.col("before"), F.col("end") + F.col("after"), F.col("r_at") + F.col("after")
+        now = now.withColumns({"lo": lo, "its_lo": its_lo, "hi": hi, "its_hi": its_hi})
+        ask = lambda d, h, at: F.struct(F.col(d).alias("doc_id"), F.col(h).alias("text_hash"), F.col(at).cast("int").alias("place"))
+        to_left, to_right = F.col("left_open") & (F.col("lo") > 0) & (F.col("its_lo") > 0), F.col("right_open") & (F.col("hi") < F.col("total"))
+        sides = [F.when(to_left, ask("doc_id", "text_hash", "lo")), F.when(to_left, ask("l_doc", "l_hash", "its_lo")), F.when(to_right, ask("doc_id", "text_hash", "hi")), F.when(to_right, ask("r_doc", "r_hash", "its_hi"))]
+        places = F.filter(F.array(*sides), lambda x: x.isNotNull())
+        around = materialize(_surroundings(texts, now.select(F.explode(places).alias("x")).select("x.*").distinct()), "around")
+
+        def beside(rows: DataFrame, d: str, h: str, at: str, side: str, name: str) -> DataFrame:
+            words = around.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("place").alias("_p"), F.col(side).alias(name))  # noqa: B023
+            return rows.join(words, (F.col(d) == F.col("_d")) & (F.col(h) == F.col("_h")) & (F.col(at) == F.col("_p")), "left").drop("_d", "_h", "_p")
+
+        met = beside(beside(now, "doc_id", "text_hash", "lo", "left", "my_left"), "l_doc", "l_hash", "its_lo", "left", "its_left")
+        met = beside(beside(met, "doc_id", "text_hash", "hi", "right", "my_right"), "r_doc", "r_hash", "its_hi", "right", "its_right")
+        left = F.when(to_left, _agreeing(F.col("my_left"), F.col("its_left"))).otherwise(0)
+        right = F.when(to_right, _agreeing(F.col("my_right"), F.col("its_right"))).otherwise(0)
+        met = met.withColumns({"more_left": left, "more_right": right}).drop("my_left", "its_left", "my_right", "its_right", "lo", "its_lo", "hi", "its_hi")
+        met = met.withColumns({"before": F.col("before") + F.col("more_left"), "after": F.col("after") + F.col("more_right"), "left_open": F.col("more_left") >= REACH, "right_open": F.col("more_right") >= REACH})
+        met = materialize(met.drop("more_left", "more_right"), "moved")
+        release(around)
+        ended = met.where("not left_open and not right_open").drop("left_open", "right_open")
+        done = ended if done is None else done.unionByName(ended)
+        now = met.where("left_open or right_open")
+        if now.isEmpty():
+            return done
+
+
 def repeated_passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.97, min_words: int = 30, block: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, recall: float = 0.97, min_words: int = GRAM + WINDOW - 1, block: int = 256
 ) -> DataFrame:
     """A row for each passage that other documents have too: doc_id, start_word, n_words, first_doc_id, n_removed, text_hash.
 
@@ -216,8 +274,11 @@ def repeated_passages(
     id is no repeat, so repeated rows don't count against each other. Rows with
     a null id or text and texts of fewer than five words take no part. Ties in
     place can't occur. An empty table gives no rows; other columns are ignored.
-    Measured in the tests: passages of 50 words and lines at the similarity are
-    found with a recall of over 0.95 against all pairs.
+    Every passage of ``min_words`` words that are the same is found (tested from
+    20 words up). One with changed words is found by its unchanged stretches of so
+    many words, which a similarity of 0.8 leaves in passages of 50 words or more,
+    and is one passage where changed stretches have ``GAP`` words at most; lines
+    at the similarity are found with a recall of over 0.95 against all pairs.
     """
     bands = tune_bands(similarity, recall, ROWS)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
@@ -227,7 +288,7 @@ def repeated_passages(
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key")
     shared = materialize(shared, "shared")
 
-    # pieces: all words agree, in two independent hashes
+    # runs: all words agree, in two independent hashes
     pieces = units.select("doc_id", "text_hash", "total", F.inline(F.arrays_zip("p_start", "p_words", "p_key", "p_content"))).withColumnsRenamed(
         {"p_start": "start", "p_words": "words", "p_key": "key", "p_content": "content"}
     )
@@ -267,25 +328,8 @@ def repeated_passages(
     runs = runs.select("doc_id", "text_hash", "run", "start", "end", "total", "first_doc_id", F.col("l.doc_id").alias("l_doc"), F.col("l.text_hash").alias("l_hash"), F.col("l.start").alias("l_at"),
                        F.col("r.doc_id").alias("r_doc"), F.col("r.text_hash").alias("r_hash"), (F.col("r.start") + F.col("r.words")).alias("r_at"))
     runs = materialize(runs, "runs")
-    ask = lambda d, h, at: F.struct(F.col(d).alias("doc_id"), F.col(h).alias("text_hash"), F.col(at).cast("int").alias("place"))
-    to_left, to_right = F.col("start") > 0, F.col("end") < F.col("total")
-    places = F.filter(
-        F.array(
-            F.when(to_left, ask("doc_id", "text_hash", "start")), F.when(to_left, ask("l_doc", "l_hash", "l_at")),
-            F.when(to_right, ask("doc_id", "text_hash", "end")), F.when(to_right, ask("r_doc", "r_hash", "r_at")),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    around = materialize(_surroundings(texts, runs.select(F.explode(places).alias("x")).select("x.*").distinct()), "around")
-
-    def beside(rows: DataFrame, d: str, h: str, at: str, side: str, name: str) -> DataFrame:
-        words = around.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("place").alias("_p"), F.col(side).alias(name))
-        return rows.join(words, (F.col(d) == F.col("_d")) & (F.col(h) == F.col("_h")) & (F.col(at) == F.col("_p")), "left").drop("_d", "_h", "_p")
-
-    wide = beside(beside(runs, "doc_id", "text_hash", "start", "left", "my_left"), "l_doc", "l_hash", "l_at", "left", "its_left")
-    wide = beside(beside(wide, "doc_id", "text_hash", "end", "right", "my_right"), "r_doc", "r_hash", "r_at", "right", "its_right")
-    wide = wide.withColumn("before", F.when(to_left, _agreeing(F.col("my_left"), F.col("its_left"))).otherwise(0)).withColumn("after", F.when(to_right, _agreeing(F.col("my_right"), F.col("its_right"))).otherwise(0))
-    wide = materialize(wide.drop("my_left", "its_left", "my_right", "its_right").withColumn("n", F.col("end") + F.col("after") - F.col("start") + F.col("before")).where(F.col("n") >= min_words), "wide")
+    wide = _widened(texts, runs)
+    wide = materialize(wide.withColumn("n", F.col("end") + F.col("after") - F.col("start") + F.col("before")).where(F.col("n") >= min_words), "wide")
 
     moved = _merged(wide.select("doc_id", "text_hash", (F.col("start") - F.col("before")).alias("start"), (F.col("end") + F.col("after")).alias("end"), "first_doc_id"), 0)
     later_rows = materialize(_passages(moved, F.min("first_doc_id"), F.lit(1)), "removed")
@@ -301,7 +345,7 @@ def repeated_passages(
     held_by = (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("start_word") >= F.col("lo")) & (F.col("start_word") + F.col("n_words") <= F.col("hi"))
     first_rows = first_rows.join(inside, held_by, "left_anti")  # a first line may hold a later passage
     out = materialize(later_rows.unionByName(first_rows), "passages")
-    release(units, shared, pieces, met, held, later, marked, runs, around, wide, later_rows)
+    release(units, shared, pieces, met, held, later, marked, runs, wide, later_rows)
     return out
 
 

@@ -53,7 +53,7 @@ def test_odd_rows_and_repeated_ids(spark, small):
     assert len(odd(spark).collect()) == len(ROWS)
 
 
-@pytest.mark.parametrize(("length", "edits", "least"), [(50, 0, 0.98), (40, 0, 0.93), (60, 1, 0.97), (80, 3, 0.85)])
+@pytest.mark.parametrize(("length", "edits", "least"), [(20, 0, 1), (21, 0, 1), (30, 0, 1), (35, 0, 1), (50, 0, 1), (50, 1, 0.98), (60, 1, 1), (100, 2, 0.98), (80, 3, 0.85)])
 def test_recall_of_passages_inside_other_text(spark, length, edits, least):
     """Passages at any place of a line, some with changed words, each in two documents."""
     rng, rows = random.Random(length + edits), []
@@ -71,6 +71,71 @@ def test_recall_of_passages_inside_other_text(spark, length, edits, least):
     assert not any(i >= 1000 for i in found)
 
 
+def by_all_pairs(docs, least):
+    """For each text the words that stand in a run of ``least`` words or more of a smaller id, and these ids; and for each id the words that larger ones have."""
+    at = defaultdict(list)
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - least + 1):
+            at[tuple(w[k : k + least])].append((i, k))
+    later, sources, first = defaultdict(set), defaultdict(lambda: defaultdict(set)), defaultdict(set)
+    for places in at.values():
+        i0, k0 = min(places)
+        if any(i != i0 for i, _ in places):
+            first[i0].update(range(k0, k0 + least))
+            for i, k in places:
+                if (i, k) != (i0, k0):
+                    later[i].update(range(k, k + least))
+                    for x in range(k, k + least):
+                        sources[i][x].add(i0)
+    return later, sources, first
+
+
+def test_passages_by_brute_force(spark):
+    """Passages of 20 to 90 words, each in two to six texts, some beside each other, some long enough for several rounds of edges."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared = [[word() for _ in range(n)] for n in (20, 25, 31, 40, 90, 300)]
+    docs = []
+    for i in range(60):
+        parts = [[word() for _ in range(rng.randrange(3, 30))]]
+        for p in rng.sample(shared, rng.randrange(0, 3)):
+            parts += [p, [word() for _ in range(rng.choice([0, 25]))]]
+        words = [w for p in parts for w in p]
+        docs.append((i, "\n".join(" ".join(words[k : k + 15]) for k in range(0, len(words), 15))))  # no line is long enough to be compared as one
+    later, sources, first = by_all_pairs(docs, 20)
+    removed, kept = defaultdict(set), defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect():
+        words = range(r.start_word, r.start_word + r.n_words)
+        assert r.n_removed in (0, r.n_words)
+        if r.n_removed:
+            assert not removed[r.doc_id] & set(words)
+            removed[r.doc_id].update(words)
+            assert r.first_doc_id == min(s for x in words for s in sources[r.doc_id][x])
+        else:
+            assert r.first_doc_id == r.doc_id
+            kept[r.doc_id].update(words)
+    assert {i: x for i, x in removed.items() if x} == {i: x for i, x in later.items() if x}
+    assert {i: x - later[i] for i, x in first.items() if x - later[i]} == {i: x - later[i] for i, x in kept.items() if x - later[i]}
+
+
+def test_edges_have_no_end(spark):
+    """A long passage whose runs are few, since its words are the same, is reported whole."""
+    rng = random.Random(1)
+    same = " ".join(["the"] * 700 + [f"end{k}" for k in range(9)])
+    own = lambda k: " ".join(f"own{k}n{rng.randrange(10**9)}" for _ in range(50))
+    found = passages.repeated_passages(spark.createDataFrame([(k, own(k) + " " + same + " " + own(k)) for k in range(3)], "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.n_removed) for r in found} >= {(1, 50, 709, 0, 709), (2, 50, 709, 0, 709)}
+
+
+def test_batches_end_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (5, 50, 1, 1, 0, 200, 3)] + [None]
+    got = [b.column("text").to_pylist() for b in passages.by_bytes(iter([pa.RecordBatch.from_pydict({"text": texts})]), 60)]
+    assert got == [texts[:5], texts[5:6], texts[6:]] and [t for b in got for t in b] == texts
+
+
 def test_recall_against_all_pairs(spark, small):
     """Of all windows of 50 words, and of all pairs of lines with a Jaccard coefficient of 0.8."""
     cache = hashes.Words()
