@@ -4,17 +4,18 @@ Nothing that grows with the corpus is ever sent whole. Documents are grouped in
 chunks, each with a dictionary of its words and one of its byte grams, packed in
 parts. A part of the words adds up the counts of all chunks and answers each
 with the corpus counts of its words. A gram's code length depends on the gram
-alone; all contexts of two bytes or more that it can ask for end in the same two
-bytes, so the trie is cut in parts by these. A part merges
-the grams of all chunks, counts its own levels, is given the two lowest ones (at
-most 65,792 grams, whatever the input), and answers each chunk with the lengths
-of its grams, in the chunk's order.
+alone; all contexts of three bytes or more that it can ask for end in the same
+three bytes, so the trie is cut in parts by these, and what follows a frequent pair
+of bytes is spread over many parts. A part merges the grams of all chunks,
+``SLICE`` chunks a task and then ``SLICE`` results a task, counts its own levels, is
+given those of the three lowest that its contexts end in (of grams of three
+bytes, a number that the alphabet bounds), and answers the chunks, ``SLICE`` a task.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .common import materialize, sliced
 
 #: A chunk ends when it has more bytes of text, distinct words or rows than these.
 CHUNK_BYTES, CHUNK_WORDS, CHUNK_ROWS, PARTS = 16_000_000, 300_000, 100_000, 1024
+#: Chunks whose dictionaries of one part meet in a task.
+SLICE = 64
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -44,33 +47,85 @@ def unpack(x: bytes) -> np.ndarray:
 
 def by_part(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From sorted grams: their order by part (sorted inside it), and where each part starts and the last ends."""
-    part = (((code >> np.uint64(8)) & np.uint64(0xFFFF)) * ppm.MULT >> np.uint64(54)).astype(np.int64)
+    part = (((code >> np.uint64(8)) & np.uint64(0xFFFFFF)) * ppm.MULT >> np.uint64(54)).astype(np.int64)
     return np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=PARTS))])
 
 
+def unpacked(rows: Iterable[tuple[bytes, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for codes, counts in rows:
+        yield np.cumsum(unpack(codes), dtype=np.uint64), unpack(counts).view(np.int64)
+
+
+def merged(rows: Iterable[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of some dictionaries, with their counts in all of them."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in unpacked(rows):
+        parts.append(part)
+        if sum(len(k) for k, _ in parts) > max(1_000_000, 2 * len(parts[0][0])):
+            parts[:] = [ppm.merge(parts)]
+    return ppm.merge(parts)
+
+
+def _trained(grams: DataFrame, slices: int) -> DataFrame:
+    """part, codes, counts: the training grams of each part, merged in a tree whose tasks take ``SLICE`` dictionaries."""
+
+    def solve(key, rows):
+        code, n = merged(zip(rows.column("codes").to_pylist(), rows.column("counts").to_pylist(), strict=True))
+        code, n = code[n > 0], n[n > 0]
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int64()), "codes": [pack(np.diff(code, prepend=np.uint64(0)))], "counts": [pack(n)]})
+
+    now = grams
+    while True:
+        now = materialize(now.groupBy("part", "slice").applyInArrow(solve, "part int, slice bigint, codes binary, counts binary"), "merged")
+        if slices <= 1:
+            return now.select("part", "codes", "counts")
+        slices = -(-slices // SLICE)
+        now = now.withColumn("slice", F.pmod(F.xxhash64("slice"), F.lit(slices)))
+
+
 def code_lengths(grams: DataFrame, tail: DataFrame, order: int = ppm.ORDER) -> DataFrame:
     """of, part, lengths (log10, float32) for each row of ``grams`` (chunk, part, codes, counts: 0 where the training texts lack one).
 
-    ``tail``: gram, n, the last two bytes of all grams, repeated.
+    ``tail``: gram, n, the last three bytes of all grams, repeated.
     """
     low = tail.where("n > 0").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # bounded by the alphabet
-    shared = ppm.count_levels(low.column("gram").to_numpy().view(np.uint64), low.column("n").to_numpy(), min(1, order))
-
-    def solve(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        merged: list[tuple[np.ndarray, np.ndarray]] = []
-        for _, codes, counts in rows:
-            code = np.cumsum(unpack(codes), dtype=np.uint64)
-            merged.append((code, unpack(counts).view(np.int64)))
-            if sum(len(k) for k, _ in merged) > max(1_000_000, 2 * len(merged[0][0])):
-                merged[:] = [ppm.merge(merged)]
-        code, n = ppm.merge(merged)
-        key, count = ppm.count_levels(code[n > 0], n[n > 0], order)
-        own = key >= np.uint64(2 << 56)
-        lengths = ppm.Model.whole(np.concatenate([key[own], shared[0]]), np.concatenate([count[own], shared[1]]), order).code_lengths(code).astype(np.float32)
-        out = [lengths[np.searchsorted(code, np.cumsum(unpack(codes), dtype=np.uint64))].tobytes() for _, codes, _ in rows]
-        return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(out, pa.binary())], ["of", "part", "lengths"])
-
-    return _by_parts(grams, "codes", solve, "of bigint, part int, lengths binary")
+    key, count = ppm.count_levels(low.column("gram").to_numpy().view(np.uint64), low.column("n").to_numpy(), min(2, order))
+    rank = np.argsort(key)
+    key, count = key[rank], count[rank]
+    whole = int(np.searchsorted(key, np.uint64(2 << 56)))
+
+    def answers(part: int, chunks: list[int], rows: list[tuple[bytes, bytes]], code: np.ndarray, n: np.ndarray) -> pa.Table:
+        """The lengths of each dictionary's grams; code, n: the part's grams, and all that are asked for with a count of 0."""
+        pairs = np.unique((code >> np.uint64(8)) & np.uint64(0xFFFF)) << np.uint64(8) | np.uint64(2 << 56)
+        lo, hi = np.searchsorted(key, pairs), np.searchsorted(key, pairs + np.uint64(256))
+        use = np.concatenate([np.arange(whole), *[np.arange(a, b) for a, b in zip(lo, hi, strict=True)]])
+        own, m = ppm.count_levels(code[n > 0], n[n > 0], order)
+        high = own >= np.uint64(3 << 56)
+        lengths = ppm.Model.whole(np.concatenate([own[high], key[use]]), np.concatenate([m[high], count[use]]), order).code_lengths(code).astype(np.float32)
+        out = [lengths[np.searchsorted(code, own)].tobytes() for own, _ in unpacked(rows)]
+        return pa.table([pa.array(chunks, pa.int64()), pa.array([part] * len(chunks), pa.int32()), pa.array(out, pa.binary())], names=["of", "part", "lengths"])
+
+    schema = "of bigint, part int, lengths binary"
+    slices = -(-grams.select("chunk").distinct().count() // SLICE)
+    if slices <= 1:  # all dictionaries of a part meet in one task anyway
+
+        def solve(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+            held = [(codes, counts) for _, codes, counts in rows]
+            return answers(part, [c for c, _, _ in rows], held, *merged(held)).combine_chunks().to_batches()[0]
+
+        return _by_parts(grams, "codes", solve, schema)
+    sliced_grams = grams.withColumn("slice", F.pmod(F.xxhash64("chunk"), F.lit(slices)))
+    every = _trained(sliced_grams, slices).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
+
+    def some(at, left, right):
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], names=["of", "part", "lengths"])
+        rows = list(zip(left.column("codes").to_pylist(), left.column("counts").to_pylist(), strict=True))
+        asked = [(k, np.zeros_like(n)) for k, n in unpacked(rows)]
+        trained = list(unpacked(zip(right.column("codes").to_pylist(), right.column("counts").to_pylist(), strict=True)))
+        return answers(at[0].as_py(), left.column("chunk").to_pylist(), rows, *ppm.merge([*asked, *trained]))
+
+    return sliced_grams.groupBy("part", "slice").cogroup(every.groupBy("part", "slice")).applyInArrow(some, schema)
 
 
 def word_counts(words: DataFrame) -> DataFrame:
@@ -141,7 +196,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             of = found.values()
             yield batch(len(of), part=list(found), words=[zlib.compress(b" ".join(ws), 1) for ws in of], counts=[pack(np.fromiter(map(words.__getitem__, ws), np.int64)) for ws in of])
             key, n = ppm.merge(grams)
-            tail, m = ppm.merge([(key & np.uint64(0xFFFF), n)])
+            tail, m = ppm.merge([(key & np.uint64(0xFFFFFF), n)])
             yield batch(len(tail), gram=tail.view(np.int64), n=m)
             rank, edge = by_part(key)
             key, n = key[rank], n[rank]

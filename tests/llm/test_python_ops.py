@@ -250,6 +250,18 @@ def test_chunks_end_by_rows(spark, monkeypatch):
     assert len(got) == 95 and len({r.base_score for r in got}) == 1
 
 
+@pytest.mark.parametrize("slice_size", [2, 5])
+def test_scores_by_a_tree_of_chunks(spark, small, monkeypatch, slice_size):
+    """Dictionaries that meet a few a task, in several rounds, give what they give all at once."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").repartition(3)
+    docs = docs.unionByName(spark.createDataFrame([(None, "e e e e " * 500), (5000, None), (5001, "\x00\xff e")], "doc_id bigint, text string"))
+    scores = lambda: sorted((r.doc_id or -1, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in lm_score.score_documents(docs).collect())
+    want = scores()
+    monkeypatch.setattr(lm_score, "CHUNK_ROWS", 15)
+    monkeypatch.setattr(lm_score, "SLICE", slice_size)
+    assert scores() == want and len(want) == docs.count()
+
+
 def test_byte_model_sums_to_one_and_predicts():
     texts = [("the cat sat on the mat " * k).encode() for k in range(1, 30)]
     code, _ = ppm.codes(texts)
