@@ -78,17 +78,35 @@ def valid_strict(x: Column) -> Column:
     return F.when(x["type"] == "PAN", holder).when(x["type"] == "AADHAAR", number).otherwise(F.lit(True))
 
 
+def named_confidence(text: Column, x: Column) -> Column:
+    """Sureness of a name (text, start): 0.85, 0.05 more if every word begins with a capital, 0.03 more at the start of a
+    sentence, 0.1 less under three characters, 0.99 at most."""
+    before = F.rtrim(F.left(text, x["start"]))
+    opens = (x["start"] == 0) | F.right(before, F.lit(1)).isin(".", "!", "?")
+    sure = F.lit(85) + F.when(x["text"].rlike(r"(^|\s)[^A-Z\s]"), 0).otherwise(5) + F.when(opens, 3).otherwise(0) - F.when(F.length(x["text"]) < 3, 10).otherwise(0)
+    return F.least(F.lit(99), sure) / 100
+
+
 def named_spans(text: Column) -> Column:
-    """Spans of names by dictionary and form. Sureness in hundredths: 85, 5 more if every word begins with a capital,
-    3 more at the start of a sentence, 10 less under three characters, 99 at most."""
+    """Spans of names by dictionary and form."""
     rules = [r._replace(type=NLP_TYPES[r.name]) for r in NAMED]
     found = F.flatten(F.array(*[rule_spans(text, r, len(CORE) + i).cast(SPAN) for i, r in enumerate(rules)]))
+    return _sure_names(text, found)
+
+
+def model_spans(text: Column, names: Column) -> Column:
+    """Spans of the names (start, end, label) that a sequence model found in the text (see ``names.tag_names``)."""
+    kinds = list(NLP_TYPES)
+    one = lambda n: F.struct(
+        n["start"].alias("start"), F.lit(0.0).alias("unsure"), (F.lit(len(CORE)) + F.array_position(F.array(*map(F.lit, kinds)), n["label"]).cast("int")).alias("ord"), n["end"].alias("end"),
+        F.element_at(F.create_map(*[F.lit(v) for kv in NLP_TYPES.items() for v in kv]), n["label"]).alias("type"), F.substring(text, n["start"] + 1, n["end"] - n["start"]).alias("text"), F.lit(0.0).alias("confidence"),
+    )
+    return _sure_names(text, F.transform(names, one))
+
 
+def _sure_names(text: Column, found: Column) -> Column:
     def weighed(x: Column) -> Column:
-        before = F.rtrim(F.left(text, x["start"]))
-        opens = (x["start"] == 0) | F.right(before, F.lit(1)).isin(".", "!", "?")
-        sure = F.lit(85) + F.when(x["text"].rlike(r"(^|\s)[^A-Z\s]"), 0).otherwise(5) + F.when(opens, 3).otherwise(0) - F.when(F.length(x["text"]) < 3, 10).otherwise(0)
-        sure = F.least(F.lit(99), sure) / 100
+        sure = named_confidence(text, x)
         return F.struct(x["start"].alias("start"), (1 - sure).alias("unsure"), x["ord"].alias("ord"), x["end"].alias("end"), x["type"].alias("type"), x["text"].alias("text"), sure.alias("confidence"))
 
     return F.transform(found, weighed)
