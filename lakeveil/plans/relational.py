@@ -21,7 +21,12 @@ KEY = b"demonstration key"
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as an inventory of scanned files."""
-    rows = spans.with_entities(spread(docs(spark, d)))
+    return files_of(docs(spark, d))
+
+
+def files_of(found: DataFrame, *more: str) -> DataFrame:
+    """The inventory of some documents, with ``more`` of their columns."""
+    rows = spans.with_entities(spread(found))
     n = F.size("entities").cast("bigint")
     score, level = risk.quick_score(n, 15, 40)
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
@@ -35,6 +40,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
         score.alias("risk_score"),
         level.alias("risk_level"),
         F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") * 60).alias("scan_time"),
+        *more,
     )
 
 
@@ -111,13 +117,6 @@ def _(s, d):
     return now.join(now.where("doc_id % 3 = 0").select("path", "hash"), ["path", "hash"], "left_anti").select("doc_id", "path", "hash")
 
 
-@q("directory_scan", "select doc_id, '/' || coalesce(source, '') || '/doc' || doc_id as path from documents where not contains(lower('/' || coalesce(source, '') || '/'), '/src3/') and n_chars <= 20000")
-def _(s, d):
-    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/doc"), F.col("doc_id").cast("string"))
-    kept = docs(s, d).where(~F.contains(F.lower(F.concat(F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"))), F.lit("/src3/")) & (F.col("n_chars") <= 20000))
-    return kept.select("doc_id", path.alias("path"))
-
-
 @q("upsert_latest", "select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) n from events) where n = 1")
 def _(s, d):
     return L.keep_latest(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")

@@ -319,18 +319,6 @@ def _(s, d):
     return entities(s, d).select(fid.alias("feedback_id"), F.col("type").alias("entity_type"), (F.col("doc_id") % 3 != 0).cast("int").alias("is_correct"))
 
 
-@q("scan_progress", f"""with {S.FILES} select count(*) total_files, count(*) filter (doc_id % 4 <> 3) files_scanned, count(*) filter (doc_id % 4 <> 3 and entities_count > 0) files_with_pii,
- count(*) filter (doc_id % 4 <> 3 and risk_level = 'HIGH') high_risk_files, round_even(count(*) filter (doc_id % 4 <> 3) * 100 / count(*), 1)::double progress_percent from files""")
-def _(s, d):
-    """Counters of a scan that has come three quarters of the way."""
-    done = F.col("doc_id") % 4 != 3
-    n = F.count(F.lit(1))
-    return files(s, d).agg(
-        n.alias("total_files"), F.count_if(done).alias("files_scanned"), F.count_if(done & (F.col("entities_count") > 0)).alias("files_with_pii"),
-        F.count_if(done & (F.col("risk_level") == "HIGH")).alias("high_risk_files"), F.bround(F.count_if(done) * 100 / n, 1).alias("progress_percent"),
-    )
-
-
 @q("entity_projection", f"with {S.core()} select doc_id, type, confidence, 'regex' as method, confidence > 0.8 as sure from entities")
 def _(s, d):
     return entities(s, d).select("doc_id", "type", "confidence", F.lit("regex").alias("method"), (F.col("confidence") > 0.8).alias("sure"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeveil.plans import detection, extras, names, relational, reports, semantic, streams
+from lakeveil.plans import detection, extras, names, relational, reports, scans, semantic, streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **relational.QUERIES, **streams.QUERIES, **extras.QUERIES, **reports.QUERIES, **semantic.QUERIES, **names.QUERIES}
-ORACLE: dict[str, str] = {**detection.ORACLE, **relational.ORACLE, **streams.ORACLE, **extras.ORACLE, **reports.ORACLE, **semantic.ORACLE, **names.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**detection.QUERIES, **relational.QUERIES, **streams.QUERIES, **extras.QUERIES, **reports.QUERIES, **semantic.QUERIES, **names.QUERIES, **scans.QUERIES}
+ORACLE: dict[str, str] = {**detection.ORACLE, **relational.ORACLE, **streams.ORACLE, **extras.ORACLE, **reports.ORACLE, **semantic.ORACLE, **names.ORACLE, **scans.ORACLE}

@@ -87,19 +87,21 @@ def sure_tokens(tokens: DataFrame, least: float = 30) -> DataFrame:
     return tokens.where(F.col("confidence") > least)
 
 
+def pdf_text(content: bytes) -> str:
+    """Text of the first pages, if a PDF library is installed."""
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as pages:
+        return "\n".join(pages[i].get_text() for i in range(min(PAGES, len(pages)))).strip()
+
+
 def read_pdf(files: DataFrame) -> DataFrame:
     """path, text of PDF files, if a PDF library is installed on the workers."""
     importlib.import_module("fitz")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
-
         for frame in frames:
-            texts = []
-            for content in frame["content"]:
-                with fitz.open(stream=bytes(content), filetype="pdf") as pages:
-                    texts.append("\n".join(pages[i].get_text() for i in range(min(PAGES, len(pages)))).strip())
-            yield pd.DataFrame({"path": frame["path"], "text": texts})
+            yield pd.DataFrame({"path": frame["path"], "text": [pdf_text(bytes(c)) for c in frame["content"]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
