@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+import lakeveil
 from lakeveil.functions import rules as R
+from lakeveil.sources.tables import kept
+
+cloudpickle.register_pickle_by_value(lakeveil)
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
     """Hex HMAC from two hashes with the padded key."""
-    import hashlib
-
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     pad = lambda x: F.lit(bytearray(b ^ x for b in block))
     inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
@@ -28,32 +35,63 @@ def payload() -> Column:
 def build_chain(events: DataFrame, order: str, group: str, key: bytes) -> DataFrame:
     """Append-only chains, one for each group: every entry's hash covers its predecessor's.
 
-    A chain is sequential by nature, so it is folded inside its group; groups
-    are independent of each other and spread over the cluster.
+    A chain is sequential by nature: a group's events pass through one task in
+    order, as a stream that holds the last hash and nothing else. Groups are
+    independent of each other and spread over the cluster; signatures are made
+    after that, in parallel. For proofs inside a long chain see ``merkle``.
     """
     fields = [c for c in CHAIN if c != "prev_hash"]
-    rows = events.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias("rows"))
-
-    def add(state: Column, row: Column) -> Column:
-        body = F.concat_ws("|", state["last"], *[F.coalesce(row[c], F.lit("")) for c in fields])
-        entry = F.sha2(body, 256)
-        item = F.struct(row[order].alias(order), state["last"].alias("prev_hash"), *[row[c].alias(c) for c in fields], entry.alias("entry_hash"))
-        return F.struct(entry.alias("last"), F.concat(state["out"], F.array(item)).alias("out"))
-
-    kind = ", ".join([f"{order}: bigint", "prev_hash: string", *[f"{c}: string" for c in fields], "entry_hash: string"])
-    zero = F.struct(F.lit("0" * 64).alias("last"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
-    folded = rows.select(group, F.explode(F.aggregate("rows", zero, add, lambda s: s["out"])).alias("x"))
-    folded = folded.select("x.*") if group in fields else folded.select(group, "x.*")
-    return folded.withColumn("hmac_signature", hmac_sha256(key, payload()))
+    columns = [order, *fields] if group in fields else [group, order, *fields]
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), ""
+        for b in batches:
+            prev, entry = [], []
+            for g, *values in zip(*(b.column(c).to_pylist() for c in ("_group", *fields)), strict=True):
+                if g != now:
+                    now, last = g, "0" * 64
+                prev.append(last)
+                last = hashlib.sha256("|".join([last, *("" if v is None else v for v in values)]).encode("utf-8", "replace")).hexdigest()
+                entry.append(last)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(prev, pa.string()), pa.array(entry, pa.string())], [*columns, "prev_hash", "entry_hash"])
+
+    text = {c: F.col(c).cast("string") for c in fields}
+    rows = events.withColumn("_group", F.to_json(F.struct(group))).withColumns(text).select("_group", *columns)
+    dealt = rows.repartition("_group").sortWithinPartitions("_group", order)
+    schema = ", ".join([*[f"`{c}` {'string' if c in fields else kinds[c]}" for c in columns], "prev_hash string", "entry_hash string"])
+    return dealt.mapInArrow(run, schema).withColumn("hmac_signature", hmac_sha256(key, payload()))
+
+
+def ranked(rows: DataFrame, order: str, group: str, carried: str) -> DataFrame:
+    """Adds nth (from 1) and ``before`` (what the entry before has in ``carried``) by group, in order.
+
+    Rows are dealt by ranges of group and order, so a group with most of the rows is
+    spread too; only counts and last rows by partition are put in a row of their own.
+    """
+    dealt = kept(rows.withColumn("_g", F.to_json(F.struct(group))).repartitionByRange("_g", order).withColumn("_part", F.spark_partition_id()))
+    edges = dealt.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_n"), F.max_by(carried, order).alias("_last"))
+    by = Window.partitionBy("_g").orderBy("_part")
+    edges = edges.withColumns({"_from": F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_last": F.lag("_last").over(by)})
+    inside = Window.partitionBy("_part", "_g").orderBy(order)
+    own = dealt.join(edges.drop("_n"), ["_g", "_part"])
+    nth, first = F.row_number().over(inside), F.lag(carried).over(inside)
+    return own.withColumns({"nth": (F.col("_from") + nth).cast("bigint"), "before": F.when(nth == 1, F.col("_last")).otherwise(first)}).drop("_g", "_part", "_from", "_last")
 
 
 def verify_chain(chain: DataFrame, order: str, group: str, key: bytes) -> DataFrame:
     """group, n, broken_at: the first entry (from 1) whose hash, signature or link is wrong; null if all hold."""
-    by = Window.partitionBy(group).orderBy(order)
-    linked = F.col("prev_hash") == F.coalesce(F.lag("entry_hash").over(by), F.lit("0" * 64))
+    rows = ranked(chain, order, group, "entry_hash")
+    linked = F.col("prev_hash") == F.coalesce("before", F.lit("0" * 64))
     good = (F.col("entry_hash") == F.sha2(payload(), 256)) & (F.col("hmac_signature") == hmac_sha256(key, payload()))
-    rows = chain.select(group, F.row_number().over(by).alias("nth"), (good & linked).alias("holds"))
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("holds"), F.col("nth"))).alias("broken_at"))
+    rows = rows.select(group, "nth", F.coalesce(good & linked, F.lit(False)).alias("holds"))
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("holds"), F.col("nth"))).cast("int").alias("broken_at"))
+
+
+def chain_status(chain: DataFrame, order: str, group: str) -> DataFrame:
+    """group, total_entries, last_hash, status of each chain."""
+    rows = chain.groupBy(group).agg(F.count(F.lit(1)).alias("total_entries"), F.max_by("entry_hash", order).alias("last_hash"))
+    return rows.withColumn("status", F.lit("active"))
 
 
 def feedback_stats(feedback: DataFrame, by: str = "entity_type") -> DataFrame:

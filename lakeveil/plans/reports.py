@@ -288,13 +288,6 @@ def _(s, d):
     return one(total).join(one(kinds.select(by.alias("by_type"))), "k").drop("k")
 
 
-@q("chain_status", "select 'u' || (user_id % 8) as actor, count(*) total_entries, 'active' as status from events group by 1")
-def _(s, d):
-    """Of each chain: its entries and whether it has any."""
-    rows = table(s, d, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 8).cast("string")).alias("actor"))
-    return rows.groupBy("actor").agg(F.count(F.lit(1)).alias("total_entries")).withColumn("status", F.when(F.col("total_entries") > 0, "active").otherwise("empty"))
-
-
 @q("action_states", """with l as (select user_id * 10 + event_id % 3 as action_id, event_id, case event_type when 'error' then 'failed' when 'purchase' then 'completed' else 'in_progress' end status from events)
 select action_id, arg_max(status, event_id) status, max(event_id) event_id from l group by action_id""")
 def _(s, d):
