@@ -14,8 +14,8 @@ that run for certain, so no such passage is missed.
 A paragraph's first occurrence (smallest doc_id, then place) stays, later ones
 are removed. Later paragraphs that touch, or that a short edited stretch parts
 in both texts alike, are one passage. Its edges are then moved outward word by
-word for as long as it agrees with the first occurrence, ``REACH`` words a round,
-so what counts is the length of the shared passage, not where its runs stand.
+word for as long as it agrees with the first occurrence, in rounds of more and
+more words, so what counts is the length of the shared passage, not where its runs stand.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .hashes import Words, mix, shingled, tune_bands
 SHINGLE, LINE, ROWS = 5, 20, 3
 #: Words of a run, and runs of a sliding paragraph.
 GRAM, WINDOW = 8, 13
-#: Words by which a passage's edges are moved in a round, and most words of an edited stretch inside one.
+#: Words by which a passage's edges are moved in the first round, and most words of an edited stretch inside one.
 REACH, GAP = 32, 16
 #: Bytes of texts that are worked on at a time; a longer text is alone.
 BYTES = 4_000_000
@@ -184,8 +184,8 @@ def _asked(texts: DataFrame, wanted: DataFrame, *what: str) -> DataFrame:
     return some.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "wanted")
 
 
-def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id, text_hash, place, left, right: hashes of up to ``REACH`` words before and after a place, nearest first."""
+def _surroundings(texts: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
+    """doc_id, text_hash, place, left, right: hashes of up to ``reach`` words before and after a place, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
@@ -196,8 +196,8 @@ def _surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 for at in (w["place"] for w in places):
                     rows.append(i)
                     place.append(at)
-                    left.append(h[max(0, at - REACH) : at][::-1])
-                    right.append(h[at : at + REACH])
+                    left.append(h[max(0, at - reach) : at][::-1])
+                    right.append(h[at : at + reach])
             pick = pa.array(rows, pa.int64())
             both = [pa.array(x, pa.list_(pa.int32())) for x in (left, right)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pick), b.column("text_hash").take(pick), pa.array(place, pa.int32()), *both], ["doc_id", "text_hash", "place", "left", "right"])
@@ -228,18 +228,23 @@ def _merged(spans: DataFrame, gap: int, *same: Column) -> DataFrame:
 def _widened(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` with before and after, the words by which their edges can be moved outward while they agree with the first occurrence.
 
-    A round compares ``REACH`` words on each side; runs that agree in all of them go on in the next.
+    A round compares ``REACH`` words on each side, the next one twice as many; runs
+    that agree in all of them go on. An edge stops where a run that stands to the
+    same first occurrence in the same way begins, as that one goes on from there:
+    so a text's words are compared once for each way in which its runs stand.
     """
-    zero = F.lit(0).cast("int")
-    now, done = runs.withColumns({"before": zero, "after": zero, "left_open": F.lit(True), "right_open": F.lit(True)}), None
+    zero, reach = F.lit(0).cast("int"), REACH
+    stands = lambda side, at: Window.partitionBy("doc_id", "text_hash", f"{side}_doc", f"{side}_hash", F.col(f"{side}_at") - F.col(at)).orderBy("start", "end")
+    limits = {"lo_limit": F.coalesce(F.lag("end").over(stands("l", "start")), zero), "hi_limit": F.coalesce(F.lead("start").over(stands("r", "end")), F.col("total"))}
+    now, done = materialize(runs.withColumns(limits).withColumns({"before": zero, "after": zero, "left_open": F.lit(True), "right_open": F.lit(True)}), "limits"), None
     while True:
         lo, its_lo, hi, its_hi = F.col("start") - F.col("before"), F.col("l_at") - F.col("before"), F.col("end") + F.col("after"), F.col("r_at") + F.col("after")
         now = now.withColumns({"lo": lo, "its_lo": its_lo, "hi": hi, "its_hi": its_hi})
         ask = lambda d, h, at: F.struct(F.col(d).alias("doc_id"), F.col(h).alias("text_hash"), F.col(at).cast("int").alias("place"))
-        to_left, to_right = F.col("left_open") & (F.col("lo") > 0) & (F.col("its_lo") > 0), F.col("right_open") & (F.col("hi") < F.col("total"))
+        to_left, to_right = F.col("left_open") & (F.col("lo") > F.col("lo_limit")) & (F.col("its_lo") > 0), F.col("right_open") & (F.col("hi") < F.col("hi_limit"))
         sides = [F.when(to_left, ask("doc_id", "text_hash", "lo")), F.when(to_left, ask("l_doc", "l_hash", "its_lo")), F.when(to_right, ask("doc_id", "text_hash", "hi")), F.when(to_right, ask("r_doc", "r_hash", "its_hi"))]
         places = F.filter(F.array(*sides), lambda x: x.isNotNull())
-        around = materialize(_surroundings(texts, now.select(F.explode(places).alias("x")).select("x.*").distinct()), "around")
+        around = materialize(_surroundings(texts, now.select(F.explode(places).alias("x")).select("x.*").distinct(), reach), "around")
 
         def beside(rows: DataFrame, d: str, h: str, at: str, side: str, name: str) -> DataFrame:
             words = around.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("place").alias("_p"), F.col(side).alias(name))  # noqa: B023
@@ -250,14 +255,15 @@ def _widened(texts: DataFrame, runs: DataFrame) -> DataFrame:
         left = F.when(to_left, _agreeing(F.col("my_left"), F.col("its_left"))).otherwise(0)
         right = F.when(to_right, _agreeing(F.col("my_right"), F.col("its_right"))).otherwise(0)
         met = met.withColumns({"more_left": left, "more_right": right}).drop("my_left", "its_left", "my_right", "its_right", "lo", "its_lo", "hi", "its_hi")
-        met = met.withColumns({"before": F.col("before") + F.col("more_left"), "after": F.col("after") + F.col("more_right"), "left_open": F.col("more_left") >= REACH, "right_open": F.col("more_right") >= REACH})
+        met = met.withColumns({"before": F.col("before") + F.col("more_left"), "after": F.col("after") + F.col("more_right"), "left_open": F.col("more_left") >= reach, "right_open": F.col("more_right") >= reach})
         met = materialize(met.drop("more_left", "more_right"), "moved")
         release(around)
-        ended = met.where("not left_open and not right_open").drop("left_open", "right_open")
+        ended = met.where("not left_open and not right_open").drop("left_open", "right_open", "lo_limit", "hi_limit")
         done = ended if done is None else done.unionByName(ended)
         now = met.where("left_open or right_open")
         if now.isEmpty():
             return done
+        reach *= 2
 
 
 def repeated_passages(

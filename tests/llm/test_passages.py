@@ -128,6 +128,20 @@ def test_edges_have_no_end(spark):
     assert {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.n_removed) for r in found} >= {(1, 50, 709, 0, 709), (2, 50, 709, 0, 709)}
 
 
+def test_long_copies_take_few_rounds(spark, monkeypatch):
+    """A copy of a long text in which other texts' passages stand again and again, each with a first occurrence of its own."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common = [" ".join(word() for _ in range(9)) for _ in range(3)]
+    long = "\n".join(" ".join([*[word() for _ in range(rng.randrange(12, 18))], rng.choice(common) if rng.random() < 0.3 else ""]) for _ in range(400))
+    docs = [(0, "\n".join(f"{c} {word()} {word()}" for c in common)), (1, long), (2, f"{word()} {long} {word()}")]
+    rounds, around = [], passages._surroundings
+    monkeypatch.setattr(passages, "_surroundings", lambda *a: rounds.append(a[-1]) or around(*a))
+    found = {(r.doc_id, r.start_word, r.n_words, r.n_removed) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    n = len(long.split())
+    assert (2, 1, n, n) in found and rounds == [32 * 2**k for k in range(len(rounds))] and len(rounds) < 8
+
+
 def test_batches_end_by_bytes():
     import pyarrow as pa
 
