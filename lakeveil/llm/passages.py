@@ -228,14 +228,20 @@ def _merged(spans: DataFrame, gap: int, *same: Column) -> DataFrame:
 def _widened(texts: DataFrame, runs: DataFrame) -> DataFrame:
     """``runs`` with before and after, the words by which their edges can be moved outward while they agree with the first occurrence.
 
-    A round compares ``REACH`` words on each side, the next one twice as many; runs
+    A round compares ``REACH`` words on each side, the next one eight times as many; runs
     that agree in all of them go on. An edge stops where a run that stands to the
-    same first occurrence in the same way begins, as that one goes on from there:
-    so a text's words are compared once for each way in which its runs stand.
+    same first occurrence in the same way begins, as that one goes on from there.
+    It stops a sliding paragraph after the next run that stands otherwise to the
+    same text (as in a text of one word), since what goes on further has a run of its own.
+    So a text's words are compared once for each way in which its runs stand.
     """
-    zero, reach = F.lit(0).cast("int"), REACH
-    stands = lambda side, at: Window.partitionBy("doc_id", "text_hash", f"{side}_doc", f"{side}_hash", F.col(f"{side}_at") - F.col(at)).orderBy("start", "end")
-    limits = {"lo_limit": F.coalesce(F.lag("end").over(stands("l", "start")), zero), "hi_limit": F.coalesce(F.lead("start").over(stands("r", "end")), F.col("total"))}
+    zero, reach, further = F.lit(0).cast("int"), REACH, GRAM + WINDOW - 1
+    beside = lambda side, *more: Window.partitionBy("doc_id", "text_hash", f"{side}_doc", f"{side}_hash", *more).orderBy("start", "end")
+    stands = lambda side, at: beside(side, F.col(f"{side}_at") - F.col(at))
+    limits = {
+        "lo_limit": F.greatest(zero, F.coalesce(F.lag("end").over(stands("l", "start")), zero), F.coalesce(F.lag("start").over(beside("l")) - further, zero)),
+        "hi_limit": F.least("total", F.coalesce(F.lead("start").over(stands("r", "end")), F.col("total")), F.coalesce(F.lead("end").over(beside("r")) + further, F.col("total"))),
+    }
     now, done = materialize(runs.withColumns(limits).withColumns({"before": zero, "after": zero, "left_open": F.lit(True), "right_open": F.lit(True)}), "limits"), None
     while True:
         lo, its_lo, hi, its_hi = F.col("start") - F.col("before"), F.col("l_at") - F.col("before"), F.col("end") + F.col("after"), F.col("r_at") + F.col("after")
@@ -263,7 +269,7 @@ def _widened(texts: DataFrame, runs: DataFrame) -> DataFrame:
         now = met.where("left_open or right_open")
         if now.isEmpty():
             return done
-        reach *= 2
+        reach *= 8
 
 
 def repeated_passages(

@@ -139,7 +139,17 @@ def test_long_copies_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(passages, "_surroundings", lambda *a: rounds.append(a[-1]) or around(*a))
     found = {(r.doc_id, r.start_word, r.n_words, r.n_removed) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     n = len(long.split())
-    assert (2, 1, n, n) in found and rounds == [32 * 2**k for k in range(len(rounds))] and len(rounds) < 8
+    assert (2, 1, n, n) in found and rounds == [32 * 8**k for k in range(len(rounds))] and len(rounds) < 5
+
+
+def test_a_text_of_one_word_takes_few_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    docs = [(k, f"{own(30)} {'the ' * n}{own(30)}") for k, n in enumerate((6000, 90, 20_000))]
+    rounds, around = [], passages._surroundings
+    monkeypatch.setattr(passages, "_surroundings", lambda *a: rounds.append(a[-1]) or around(*a))
+    found = {(r.doc_id, r.start_word, r.n_words) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id bigint, text string")).collect() if r.n_removed}
+    assert (1, 30, 90) in found and (2, 30, 20_000) in found and len(rounds) < 4
 
 
 def test_batches_end_by_bytes():
