@@ -261,7 +261,8 @@ def _widened(texts: DataFrame, runs: DataFrame) -> DataFrame:
         left = F.when(to_left, _agreeing(F.col("my_left"), F.col("its_left"))).otherwise(0)
         right = F.when(to_right, _agreeing(F.col("my_right"), F.col("its_right"))).otherwise(0)
         met = met.withColumns({"more_left": left, "more_right": right}).drop("my_left", "its_left", "my_right", "its_right", "lo", "its_lo", "hi", "its_hi")
-        met = met.withColumns({"before": F.col("before") + F.col("more_left"), "after": F.col("after") + F.col("more_right"), "left_open": F.col("more_left") >= reach, "right_open": F.col("more_right") >= reach})
+        before, after = F.col("before") + F.col("more_left"), F.col("after") + F.col("more_right")
+        met = met.withColumns({"before": F.least(before, F.greatest(F.lit(0), F.col("start") - F.col("lo_limit"))), "after": F.least(after, F.greatest(F.lit(0), F.col("hi_limit") - F.col("end"))), "left_open": (F.col("more_left") >= reach) & (F.col("start") - before > F.col("lo_limit")), "right_open": (F.col("more_right") >= reach) & (F.col("end") + after < F.col("hi_limit"))})
         met = materialize(met.drop("more_left", "more_right"), "moved")
         release(around)
         ended = met.where("not left_open and not right_open").drop("left_open", "right_open", "lo_limit", "hi_limit")

@@ -152,6 +152,14 @@ def test_a_text_of_one_word_takes_few_rounds(spark, monkeypatch):
     assert (1, 30, 90) in found and (2, 30, 20_000) in found and len(rounds) < 4
 
 
+def test_results_do_not_depend_on_the_rounds(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = lambda: sorted(tuple(r) for r in passages.repeated_passages(docs).collect())
+    want = rows()
+    monkeypatch.setattr(passages, "REACH", 5)
+    assert rows() == want and want
+
+
 def test_batches_end_by_bytes():
     import pyarrow as pa
 
