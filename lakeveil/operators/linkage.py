@@ -108,6 +108,51 @@ def linkages(matches: DataFrame) -> DataFrame:
     return pairs.select("doc_1", "doc_2", "n_matches", F.when(F.col("strong"), 1.0).otherwise(weak).alias("strength"))
 
 
+def profiles(m: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, profile of each document that may have links; first_doc, second_doc, profile_1, profile_2, pairs, n_matches, strength; type).
+
+    Whether and how two documents are linked depends on their linkable forms and
+    the numbers of these alone, so documents with the same ones have one profile,
+    and links are found between profiles: a form that very many documents have and
+    nothing else links is one row, not a row for each two of them. ``pairs`` is how
+    many pairs of documents a row stands for; a profile is linked to itself where
+    it has several documents. ``first_doc`` and ``second_doc`` are its smallest.
+    """
+    names, prefixes = name_forms(m), prefix_forms(m)
+    fuzzy = kept(names.unionByName(prefixes).select("type", "key_1", "key_2"))
+    several = forms(m).where("docs > 1").select("type", "key")
+    ends = [fuzzy.select("type", F.col(k).alias("key")) for k in ("key_1", "key_2")]
+    linkable = several.unionByName(ends[0]).unionByName(ends[1]).distinct()
+    own = m.join(linkable, ["type", "key"], "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("type", "key", "n"))).alias("forms"))
+    docs = kept(own.withColumn("profile", F.sha2(F.to_json("forms"), 256)))
+    table = kept(docs.groupBy("profile").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("first"), F.any_value("forms").alias("forms")))
+    each = kept(table.select("profile", "members", "first", F.explode("forms").alias("x")).select("profile", "members", "first", "x.type", "x.key", "x.n"))
+    side = lambda k: each.select("type", F.col("key").alias(f"key_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("profile", "members", "first", "n")])
+    a, b = side(1), side(2)
+    itself = F.col("profile_1") == F.col("profile_2")
+    equal = a.join(b, (a.type == b.type) & (a.key_1 == b.key_2)).drop(b.type).where("profile_1 <= profile_2")
+    equal = equal.withColumns({"match": F.lit("EXACT"), "n": F.col("n_1") * F.col("n_2")})
+    near = fuzzy.join(a, ["type", "key_1"]).join(b, ["type", "key_2"]).withColumns({"match": F.lit("FUZZY"), "n": F.col("n_1") * F.col("n_2") * F.when(itself, 2).otherwise(1)})
+    sides = ["profile", "members", "first"]
+    turned = F.col("profile_1") > F.col("profile_2")
+    near = near.select("type", "match", "n", *[F.when(turned, F.col(f"{c}_{3 - k}")).otherwise(F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in sides for k in (1, 2)])
+    rows = kept(equal.select(*near.columns).unionByName(near).where(~itself | (F.col("members_1") > 1)))
+    keys = ["profile_1", "profile_2", "members_1", "members_2", "first_1", "first_2"]
+    links = linkages(rows.withColumns({"doc_1": F.struct(*keys), "doc_2": F.lit(0)})).select("doc_1.*", "n_matches", "strength")
+    pairs = F.when(itself, F.expr("members_1 * (members_1 - 1) div 2")).otherwise(F.col("members_1") * F.col("members_2"))
+    return docs.select("doc_id", "profile"), links.select(F.col("first_1").alias("first_doc"), F.col("first_2").alias("second_doc"), "profile_1", "profile_2", pairs.alias("pairs"), "n_matches", "strength"), rows.select("type").distinct()
+
+
+def profile_clusters(docs: DataFrame, links: DataFrame, least: float = 0.7) -> DataFrame:
+    """doc_id, cluster_id of the documents that strong links join, from profiles; a cluster's id is its smallest document."""
+    strong = kept(links.where(F.col("strength") >= least))
+    joined = clusters(strong.select(F.col("profile_1").alias("a"), F.col("profile_2").alias("b")))
+    ends = [strong.select(F.col(p).alias("profile")) for p in ("profile_1", "profile_2")]
+    nodes = ends[0].unionByName(ends[1]).distinct().join(joined.withColumnRenamed("node", "profile"), "profile", "left").withColumn("cluster", F.coalesce("cluster", "profile"))
+    members = kept(docs.join(nodes, "profile").select("doc_id", "cluster"))
+    return members.join(members.groupBy("cluster").agg(F.min("doc_id").alias("cluster_id")), "cluster").select("doc_id", "cluster_id")
+
+
 def linkage_advice(risk: DataFrame, types: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: recommendations (joined by lines) and summary. ``types``: entity_types (array) that link; ``pairs``: doc_pairs, n_matches."""
     one = lambda df: df.withColumn("k", F.lit(1))  # noqa: E731  tables of one row
@@ -126,8 +171,9 @@ def linkage_advice(risk: DataFrame, types: DataFrame, pairs: DataFrame) -> DataF
 
 
 def linkage_risk(links: DataFrame) -> DataFrame:
-    """One row: score, level, max_strength, n_matches over all links."""
-    total = links.agg(F.coalesce(F.max("strength"), F.lit(0.0)).alias("max_strength"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n_matches"))
+    """One row: score, level, max_strength, n_matches over all links (of documents, or of profiles with their pairs)."""
+    each = F.col("n_matches") * F.col("pairs") if "pairs" in links.columns else F.col("n_matches")
+    total = links.agg(F.coalesce(F.max("strength"), F.lit(0.0)).alias("max_strength"), F.coalesce(F.sum(each), F.lit(0)).alias("n_matches"))
     score = F.least(F.col("max_strength") * 100 + F.col("n_matches") * 5, F.lit(100.0))
     lev = F.when(F.col("score") >= 80, "CRITICAL").when(F.col("score") >= 60, "HIGH").when(F.col("score") >= 40, "MEDIUM").otherwise("LOW")
     return total.withColumn("score", F.bround(score, 1)).withColumn("level", lev)

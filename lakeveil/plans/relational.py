@@ -236,12 +236,13 @@ def _(s, d):
 @q("linkage_risk", f"""with {LINKS}, t as (select coalesce(max(strength), 0.0) max_strength, coalesce(sum(n_matches), 0)::bigint n_matches from links),
 u as (select *, round_even(least(max_strength * 100 + n_matches * 5, 100.0), 1)::double score from t) select *, case when score >= 80 then 'CRITICAL' when score >= 60 then 'HIGH' when score >= 40 then 'MEDIUM' else 'LOW' end as level from u""")
 def _(s, d):
-    return L.linkage_risk(L.linkages(matches(s, d)))
+    return L.linkage_risk(L.profiles(kept(L.mentions(entities(s, d))))[1])
 
 
 @q("linkage_clusters", f"with recursive {LINKS}, e as (select doc_1 a, doc_2 b from links where strength >= 0.7 union select doc_2, doc_1 from links where strength >= 0.7), r as (select a node, a top from e union select e.a, r.top from r join e on e.b = r.node) select node doc_id, min(top) cluster_id from r group by node")
 def _(s, d):
-    return L.link_clusters(L.linkages(matches(s, d)))
+    rows, links, _ = L.profiles(kept(L.mentions(entities(s, d))))
+    return L.profile_clusters(rows, kept(links))
 
 
 GRAPH = f"""{S.core()},

@@ -122,10 +122,9 @@ w as (select *, array_to_string(list_filter([case when level = 'CRITICAL' then {
 select case when rec = '' then 'No immediate action required - linkage risk is low' else rec end recommendations,
  case when pairs = 0 then 'No cross-document linkages detected. Documents can be shared together safely.' else 'Found ' || pairs || ' document pair(s) with ' || n || ' matching entities. Combined risk: ' || level || '.' end summary from w""")
 def _(s, d):
-    found = kept(matches(s, d))
-    links = kept(L.linkages(found))
-    types = found.agg(F.array_sort(F.collect_set("type")).alias("entity_types"))
-    return L.linkage_advice(L.linkage_risk(links), types, links.agg(F.count(F.lit(1)).alias("doc_pairs"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("n_matches")))
+    _, links, linked = L.profiles(kept(L.mentions(entities(s, d))))
+    links, types = kept(links), linked.agg(F.array_sort(F.collect_set("type")).alias("entity_types"))
+    return L.linkage_advice(L.linkage_risk(links), types, links.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("doc_pairs"), F.coalesce(F.sum(F.col("n_matches") * F.col("pairs")), F.lit(0)).alias("n_matches")))
 
 
 _GAZ = [r._replace(type=R.NLP_TYPES[r.name]) for r in R.NAMED]
