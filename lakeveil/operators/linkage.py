@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeveil.functions import rules as R
-from lakeveil.sources.tables import kept
+from lakeveil.sources.tables import kept, release
 
 
 def normalized(text: Column, type_: Column) -> Column:
@@ -190,9 +190,13 @@ def clusters(edges: DataFrame) -> DataFrame:
         hooked = labels.join(near, "node").select("node", F.least("cluster", "seen").alias("cluster"), F.col("cluster").alias("old"))
         up = labels.select(F.col("node").alias("root"), F.col("cluster").alias("further"))
         new = kept(hooked.join(up, hooked.cluster == up.root, "left").select("node", F.least("cluster", F.coalesce("further", "cluster")).alias("cluster"), "old"))
-        if new.where("cluster <> old").isEmpty():
+        ended = new.where("cluster <> old").isEmpty()
+        release(labels)
+        if ended:
+            release(both)
             return new.drop("old")
         labels = new.drop("old")
+        labels._scratch = new._scratch
 
 
 def link_clusters(links: DataFrame, least: float = 0.7) -> DataFrame:
