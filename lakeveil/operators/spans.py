@@ -150,11 +150,6 @@ def with_entities(docs: DataFrame, text_col: str = "text", strict: bool = False)
     return docs.select("*", F.explode(F.array(F.coalesce(core_spans(F.col(text_col), strict), F.array().cast(SPAN)))).alias("entities"))
 
 
-def map_coordinates(entity_text: Column, coordinates: Column) -> Column:
-    """The first coordinate whose text holds the entity's or is held by it."""
-    return F.get(F.filter(coordinates, lambda c: F.contains(c["text"], entity_text) | F.contains(entity_text, c["text"])), F.lit(0))
-
-
 def context_window(text: Column, start: Column, end: Column, width: int = 100) -> Column:
     low = F.greatest(start - width, F.lit(0))
     return F.substring(text, low + 1, F.least(F.length(text), end + width) - low)
