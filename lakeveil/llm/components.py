@@ -38,3 +38,40 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             return new.drop("old")
         labels = new.drop("old")
         labels._scratch = new._scratch
+
+
+def contracted(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
+    """The same as ``components``, by contraction: for links of which most form stars around their smallest node.
+
+    Each round gives a node the first of itself and its neighbours, by number in
+    the first round and in a random order after it, and puts these in place of the
+    ends of all links; links within one go. So a star is gone after a round, links
+    get fewer by a constant share in each, and rows are joined about twice in all.
+    """
+    a, b = F.col(left), F.col(right)
+    once = links.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    edges, maps = materialize(once, "edges"), []
+    kind = edges.schema["a"].dataType
+    while not edges.isEmpty():
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))) if maps else F.lit(0).cast("bigint"), F.col(c).alias("x"))
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        near = both.groupBy("node").agg(F.min(order("other")).alias("near"))
+        label = materialize(near.select("node", F.least("near", order("node"))["x"].cast(kind).alias("label")), "label")
+        ends = [label.select(F.col("node").alias(e), F.col("label").alias(f"{e}_label")) for e in "ab"]
+        moved = edges.join(ends[0], "a").join(ends[1], "b").where("a_label <> b_label")
+        new = materialize(moved.select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b")).distinct(), "edges")
+        release(edges)
+        maps.append(label)
+        edges = new
+    if not maps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    whole = maps.pop()
+    while maps:  # from the last and smallest map back to that of all nodes
+        up, own = whole.select(F.col("node").alias("label"), F.col("label").alias("further")), maps.pop()
+        new = materialize(own.join(up, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        release(whole, own)
+        whole = new
+    least = whole.groupBy("label").agg(F.min("node").alias("component"))
+    out = materialize(whole.join(least, "label").select("node", "component"), "components")
+    release(whole, edges)
+    return out

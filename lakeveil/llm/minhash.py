@@ -74,8 +74,8 @@ def near_links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995,
     return linked(rows, lambda ids: _sets(sift(texts, F.col("doc_id"), ids, "doc_id").join(ids, "doc_id", "left_semi"), shingle), similarity, block)
 
 
-def linked(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int) -> DataFrame:
-    """a, b: links of ids that meet in a bucket. ``rows``: doc_id, key. ``sets_of`` gives doc_id, shingles for a table of ids."""
+def linked(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, block: int, joined: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
+    """a, b: links of ids that meet in a bucket. ``rows``: doc_id, key. ``sets_of`` gives doc_id, shingles for a table of ids, ``joined`` the components of links."""
     shared = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select("key", "pivot"), "shared")
     members = materialize(sift(rows, F.col("key"), shared, "key").join(shared, "key").select("key", "pivot", "doc_id").distinct(), "buckets")
     release(rows)
@@ -85,7 +85,7 @@ def linked(rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarit
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
     links = materialize(pairs.join(x, "a").join(y, "b").where(same >= similarity * (F.size("x") + F.size("y") - same)).select("a", "b").distinct(), "pivots")
-    found = components(links)
+    found = joined(links)
     star = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))  # one link a node does for all of them
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     # a bucket of two has had its comparison; of the others the members of the largest component need none among themselves

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .common import materialize, release, sift, unwrapped, word_array, wrapped
-from .components import components
+from .components import contracted
 from .hashes import Words, mix, shingled, tune_bands
 
 SHINGLE, LINE, ROWS = 5, 20, 3
@@ -322,8 +322,8 @@ def repeated_passages(
     held = materialize(met.select("doc_id", "text_hash", "total", "start", "words", "content").distinct(), "held")
     one = held.groupBy("content").agg(F.min(F.struct("doc_id", "text_hash", "start", "words")).alias("at"))
     rows = materialize(met.select(F.col("content").alias("doc_id"), "key").distinct(), "bands")
-    links = minhash.linked(rows, lambda ids: _line_sets(texts, one.join(ids.withColumnRenamed("doc_id", "content"), "content", "left_semi").select("at.*", "content")), similarity, block)
-    groups = components(links).withColumnsRenamed({"node": "content", "component": "group"})
+    links = minhash.linked(rows, lambda ids: _line_sets(texts, one.join(ids.withColumnRenamed("doc_id", "content"), "content", "left_semi").select("at.*", "content")), similarity, block, contracted)
+    groups = contracted(links).withColumnsRenamed({"node": "content", "component": "group"})
     held = materialize(held.join(groups, "content", "left").withColumn("group", F.coalesce("group", "content")), "grouped")
     firsts = held.groupBy("group").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").drop("last")
     near = held.join(materialize(firsts, "firsts"), "group").select("doc_id", "text_hash", "total", "start", "words", "first")

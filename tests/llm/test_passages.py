@@ -188,6 +188,16 @@ def test_recall_against_all_pairs(spark, small):
     assert len(pairs) > 50 and sum(i in found and j in found for i, j in pairs) >= 0.95 * len(pairs)
 
 
+@pytest.mark.parametrize("shape", ["star", "path", "random", "none"])
+def test_contraction_finds_components(spark, shape):
+    from lakeveil.llm.components import components, contracted
+
+    rng = random.Random(5)
+    links = {"star": [(3, k) for k in range(4, 300)] + [(3, 3), (1, None), (2, 3)], "path": [(k * 37 % 211, (k + 1) * 37 % 211) for k in range(180)], "random": [(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "none": []}[shape]
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    assert sorted(contracted(df).select("node", "component").collect()) == sorted(components(df).select("node", "component").collect())
+
+
 def test_near_lines_are_clustered_through_hot_buckets(spark):
     """One bucket with a large component and a few that differ; small blocks exercise the pairs of blocks."""
     rows = [(i, 1) for i in range(40)]
