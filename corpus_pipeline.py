@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeveil.llm import exact_dedup, minhash, packing, quality_model, queries
+from lakeveil.llm import exact_dedup, minhash, packing, quality_model, queries, simhash
 from lakeveil.llm.common import materialize, table, unwrapped, wrapped
 
 
@@ -36,9 +36,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of texts whose five-word shingles have a Jaccard coefficient of 0.8 or more.
 
+    Near copies are found by SimHash, through the operator of ``op2_simhash``: the
+    members of each of its components are compared by their exact sets. Most pairs
+    near 0.8 differ in more bits than it covers; these are found by MinHash bands.
     A null or blank text is one empty shingle; rows with a null id stay.
     """
-    later = minhash.later_copies(docs)
+    prints = simhash.near_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), shingle=5)
+    alike = prints.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.lit("simhash"), "component_id").alias("key"))
+    later = minhash.later_copies(docs, found=alike)
     return unwrapped(wrapped(docs).join(later, F.col("row.doc_id") == F.col("doc_id"), "left_anti"), docs)
 
 

@@ -67,10 +67,14 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
-def near_links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, shingle: int = 5, block: int = 256) -> DataFrame:
-    """a, b: ids of links whose components are those of all pairs that are found and reach the similarity."""
+def near_links(docs: DataFrame, similarity: float = 0.8, recall: float = 0.995, shingle: int = 5, block: int = 256, found: DataFrame | None = None) -> DataFrame:
+    """a, b: ids of links whose components are those of all pairs that are found and reach the similarity.
+
+    ``found`` (doc_id, key) are buckets of documents that another search has found; the exact sets decide on these too.
+    """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = materialize(_buckets(texts, shingle, tune_bands(similarity, recall, ROWS)), "bands")
+    rows = _buckets(texts, shingle, tune_bands(similarity, recall, ROWS))
+    rows = materialize(rows if found is None else rows.unionByName(found), "bands")
     return linked(rows, lambda ids: _sets(sift(texts, F.col("doc_id"), ids, "doc_id").join(ids, "doc_id", "left_semi"), shingle), similarity, block)
 
 

@@ -62,3 +62,17 @@ def test_quality_stage_follows_labels(spark, small):
     marks = labels.join(kept.select("doc_id"), "doc_id", "left_semi").collect()
     assert sum(r.quality for r in marks) >= 0.97 * len(marks)
     assert len(marks) >= 0.95 * labels.where("quality = 1").count()
+
+
+def test_near_copies_are_found_by_simhash_too(spark):
+    """A pair at the similarity that shares no MinHash band: fingerprints tell it, the exact sets decide; a fingerprint alone does not."""
+    words = [f"s410w{i}" for i in range(90)] + ["again"] * 150
+    other = [f"x{i}" if i in (40, 44) else w for i, w in enumerate(words)]
+    unlike = [f"y{i}" if i < 40 else w for i, w in enumerate(words)] + ["again"] * 4000
+    again = words + ["again"] * 4000
+    rows = [(i, " ".join(x)) for i, x in enumerate([words, other, again, unlike])] + [(None, " ".join(words))]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and (prints[2] ^ prints[3]).bit_count() <= 4
+    assert minhash.later_copies(odd(spark, rows[:2])).isEmpty()
+    kept = corpus_pipeline.near(spark, odd(spark, rows), "")
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [0, 3, None]
