@@ -30,8 +30,12 @@ class Words(dict):
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))) * MIX
+    y = x >> np.uint64(29)
+    y ^= x
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(32)
+    y *= MIX
+    return y
 
 
 def shingled(h: np.ndarray, size: int) -> np.ndarray:

@@ -72,6 +72,30 @@ def split_words(text: str) -> tuple[list[bytes], np.ndarray]:
     return words, np.array(edges)
 
 
+def sliding(x: np.ndarray, size: int, take: np.ufunc) -> np.ndarray:
+    """The least or greatest (``take``) of each ``size`` neighbours, by doubling."""
+    n, width = len(x) - size + 1, 1
+    while 2 * width <= size:
+        x, width = take(x[:-width], x[width:]), 2 * width
+    return take(x[:n], x[size - width : size - width + n]) if size > width else x
+
+
+def least_of_windows(x: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct places that hold the least of a window of ``size``, of equal ones in it the first.
+
+    A place holds the least of some window where the greatest minimum of its
+    windows is its own value. Two equal ones in one window are found side by side;
+    only then is every window looked at.
+    """
+    low = sliding(x, size, np.minimum)
+    none = np.zeros(size - 1, x.dtype)
+    found = np.flatnonzero(sliding(np.concatenate([none, low, none]), size, np.maximum) == x)
+    if ((x[found[1:]] == x[found[:-1]]) & (np.diff(found) < size)).any():
+        windows = np.lib.stride_tricks.sliding_window_view(x, size)
+        return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    return found
+
+
 def chosen(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Where the runs of ``GRAM`` words begin that are the least of a sliding paragraph of a text; texts lie between start and end.
 
@@ -84,8 +108,7 @@ def chosen(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
             continue
         gram = shingled(h[s:e], GRAM)
         for at in range(0, len(gram) - WINDOW + 1, 1 << 16):  # a long text in stretches, which overlap by a paragraph
-            windows = np.lib.stride_tricks.sliding_window_view(gram[at : at + (1 << 16) + WINDOW - 1], WINDOW)
-            found = np.unique(windows.argmin(axis=1) + np.arange(len(windows))) + at
+            found = least_of_windows(gram[at : at + (1 << 16) + WINDOW - 1], WINDOW) + at
             value = gram[found]
             same = np.concatenate([[False], (value[1:] == value[:-1]) & (np.diff(found) == 1)])
             run = np.flatnonzero(~same)

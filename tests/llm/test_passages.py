@@ -24,6 +24,22 @@ def test_contents_are_alike_wherever_they_stand():
     assert at(one, 2, 7) == at(two, 0, 5) != at(two, 6, 11)
 
 
+def test_places_that_hold_the_least_of_a_window():
+    """Against all windows, ties too: the first of equal ones counts. Distinct values take no pass over the windows."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for most, n in ((2, 13), (5, 40), (50, 300), (1 << 60, 300), (1 << 60, 14)):
+        for _ in range(50):
+            x = rng.integers(0, most, n).astype(np.uint64)
+            windows = np.lib.stride_tricks.sliding_window_view(x, 13)
+            want = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+            assert passages.least_of_windows(x, 13).tolist() == want.tolist()
+    one, other = np.uint64(5), rng.integers(0, 1 << 60, 9).astype(np.uint64)
+    kept = other.copy()
+    assert hashes.mix(other)[0] == hashes.mix(other[:1])[0] != one and (other == kept).all()
+
+
 def test_repeated_passages(spark):
     shared = " ".join(f"shared{i * 7 % 61}q{i}" for i in range(70))
     text = lambda k: " ".join(f"own{k}n{i}" for i in range(80))
