@@ -29,9 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import materialize, release, sift, unwrapped, word_array, wrapped
+from .common import batches_of, materialize, release, sift, unwrapped, word_array, wrapped
 from .components import contracted
-from .hashes import Words, mix, shingled, tune_bands
+from .hashes import Words, hashed_words, mix, shingled, tune_bands
 
 SHINGLE, LINE, ROWS = 5, 20, 3
 #: Words of a run, and runs of a sliding paragraph.
@@ -39,7 +39,11 @@ GRAM, WINDOW = 8, 13
 #: Words by which a passage's edges are moved in the first round, and most words of an edited stretch inside one.
 REACH, GAP = 32, 16
 #: Bytes of texts that are worked on at a time; a longer text is alone.
-BYTES = 4_000_000
+BYTES = 1_000_000
+#: Sliding paragraphs that are looked at together, and surrounding words that are sent together.
+STRETCH, SENT = 1 << 20, 1 << 20
+#: Bytes of the Arrow batches between Spark and Python.
+BATCH = "4m"
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -63,15 +67,6 @@ def contents(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers)
     return mix((total[end] - total[start]) * down[start] + mix((end - start).astype(np.uint64)))
 
 
-def split_words(text: str) -> tuple[list[bytes], np.ndarray]:
-    """Words of the text and the number of words before each line and at the end."""
-    words, edges = [], [0]
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        words += line.split()
-        edges.append(len(words))
-    return words, np.array(edges)
-
-
 def sliding(x: np.ndarray, size: int, take: np.ufunc) -> np.ndarray:
     """The least or greatest (``take``) of each ``size`` neighbours, by doubling."""
     n, width = len(x) - size + 1, 1
@@ -80,41 +75,48 @@ def sliding(x: np.ndarray, size: int, take: np.ufunc) -> np.ndarray:
     return take(x[:n], x[size - width : size - width + n]) if size > width else x
 
 
-def least_of_windows(x: np.ndarray, size: int) -> np.ndarray:
-    """Sorted distinct places that hold the least of a window of ``size``, of equal ones in it the first.
+def least_of_windows(x: np.ndarray, size: int, within: np.ndarray | None = None) -> np.ndarray:
+    """Sorted distinct places that hold the least of a window of ``size``, of equal ones in it the first; ``within`` tells which windows count.
 
     A place holds the least of some window where the greatest minimum of its
     windows is its own value. Two equal ones in one window are found side by side;
-    only then is every window looked at.
+    the second of them counts only for windows that begin after the first.
     """
     low = sliding(x, size, np.minimum)
+    if within is not None:
+        low = np.where(within, low, np.zeros(1, x.dtype))
     none = np.zeros(size - 1, x.dtype)
     found = np.flatnonzero(sliding(np.concatenate([none, low, none]), size, np.maximum) == x)
-    if ((x[found[1:]] == x[found[:-1]]) & (np.diff(found) < size)).any():
-        windows = np.lib.stride_tricks.sliding_window_view(x, size)
-        return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return found
+    again = np.flatnonzero((x[found[1:]] == x[found[:-1]]) & (np.diff(found) < size)) + 1
+    place, first = found[again], np.zeros(len(again), bool)
+    for k in range(size if len(again) else 0):
+        at = place - k
+        first |= (at > found[again - 1]) & (at < len(low)) & (low[np.clip(at, 0, len(low) - 1)] == x[place])
+    return np.delete(found, again[~first])
 
 
 def chosen(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Where the runs of ``GRAM`` words begin that are the least of a sliding paragraph of a text; texts lie between start and end.
+    """Where the runs of ``GRAM`` words begin that are the least of a sliding paragraph of a text; texts lie between start and end, with words between them.
 
     Of equal runs the first counts; where all are equal (one word again and
     again) every ``WINDOW``th is enough.
     """
+    long = end - start >= GRAM + WINDOW - 1
+    if not long.any():
+        return np.zeros(0, np.int64)
+    gram = shingled(h, GRAM)
+    edges = np.zeros(len(gram) - WINDOW + 2, np.int8)
+    edges[start[long]], edges[end[long] - GRAM - WINDOW + 2] = 1, -1
+    within = np.cumsum(edges[:-1], dtype=np.int8) > 0  # windows that lie in one text
     least: list[np.ndarray] = []
-    for s, e in zip(start.tolist(), end.tolist(), strict=True):
-        if e - s < GRAM + WINDOW - 1:
-            continue
-        gram = shingled(h[s:e], GRAM)
-        for at in range(0, len(gram) - WINDOW + 1, 1 << 16):  # a long text in stretches, which overlap by a paragraph
-            found = least_of_windows(gram[at : at + (1 << 16) + WINDOW - 1], WINDOW) + at
-            value = gram[found]
-            same = np.concatenate([[False], (value[1:] == value[:-1]) & (np.diff(found) == 1)])
-            run = np.flatnonzero(~same)
-            nth = np.arange(len(found)) - np.repeat(run, np.diff(np.append(run, len(found))))
-            least.append(s + found[nth % WINDOW == 0])
-    return np.unique(np.concatenate(least)) if least else np.zeros(0, np.int64)
+    for at in range(0, len(within), STRETCH):  # a long text in stretches, which overlap by a paragraph
+        found = least_of_windows(gram[at : at + STRETCH + WINDOW - 1], WINDOW, within[at : at + STRETCH]) + at
+        value = gram[found]
+        same = np.concatenate([[False], (value[1:] == value[:-1]) & (np.diff(found) == 1)])[: len(found)]
+        run = np.flatnonzero(~same)
+        nth = np.arange(len(found)) - np.repeat(run, np.diff(np.append(run, len(found))))
+        least.append(found[nth % WINDOW == 0])
+    return np.unique(np.concatenate(least))
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], most: int = BYTES) -> Iterator[pa.RecordBatch]:
@@ -138,27 +140,23 @@ def _paragraphs(texts: DataFrame, bands: int) -> DataFrame:
     """doc_id, text_hash, total (words), and the runs and long lines of each text as lists; ``l_keys`` has ``bands`` keys a line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, powers = Words(), [Powers(b) for b in BASES]
+        powers, none = [Powers(b) for b in BASES], Words().of([b""])
         kinds = {"int": np.int32, "bigint": np.int64}
-        for b in by_bytes(batches, BYTES // 4):  # texts are laid one after the other, with words between them that belong to none
-            words, start, end, line_start, line_end = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                own, line = split_words(text)
-                at = len(words)
-                start.append(at)
-                end.append(at + len(own))
-                line_start += (line[:-1] + at).tolist()
-                line_end += (line[1:] + at).tolist()
-                words += own + [b""] * SHINGLE
-            if not start:
-                continue
-            s, e, h = np.array(start), np.array(end), cache.of(words)
-            of = lambda x: np.searchsorted(s, x, "right") - 1  # noqa: E731, B023  the text of a place; of empty texts the last, which has none
+        for b in by_bytes(batches):  # texts are laid one after the other, with words between them that belong to none
+            words, at, edge, data = hashed_words(b.column("text"))
+            n = np.searchsorted(at, edge)
+            apart = SHINGLE * np.arange(b.num_rows)
+            s, e, text = n[:-1] + apart, n[1:] + apart, np.repeat(np.arange(b.num_rows), np.diff(n))
+            h = np.repeat(none, len(words) + SHINGLE * b.num_rows)
+            h[np.arange(len(words)) + apart[text]] = words
+            of = lambda x: np.searchsorted(s, x, "right") - 1  # noqa: E731, B023  the text of a place
             ps = chosen(h, s, e)
             pe = ps + GRAM
-            ls, le = np.array(line_start, np.int64), np.array(line_end, np.int64)
+            ends = np.flatnonzero(data == 10)
+            ls, le = (np.searchsorted(at, np.sort(np.concatenate(x))) for x in ([edge[:-1], ends + 1], [ends, edge[1:]]))
             keep = le - ls >= LINE
             ls, le = ls[keep], le[keep]
+            ls, le = ls + apart[text[ls]], le + apart[text[ls]]
             keys = np.empty((len(ls), bands), np.uint64)
             if len(ls):
                 grams, inside = shingled(h, SHINGLE), np.stack([ls, le - SHINGLE + 1], axis=1).ravel()
@@ -186,14 +184,14 @@ def _line_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id (a line's content), shingles (distinct, sorted) of the wanted (doc_id, text_hash, start, words, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
         for b in by_bytes(batches):
+            h, at, edge, _ = hashed_words(b.column("text"))
             out, sets = [], []
-            for text, lines in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True):
-                words, _ = split_words(text)
+            for first, lines in zip(np.searchsorted(at, edge[:-1]).tolist(), b.column("wanted").to_pylist(), strict=True):
                 for w in lines:
                     out.append(w["content"])
-                    sets.append(np.unique(shingled(cache.of(words[w["start"] : w["start"] + w["words"]]), SHINGLE)).view(np.int64))
+                    start = first + w["start"]
+                    sets.append(np.unique(shingled(h[start : start + w["words"]], SHINGLE)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     return _asked(texts, wanted, "start", "words", "content").mapInArrow(run, "doc_id bigint, shingles array<bigint>")
@@ -203,7 +201,7 @@ def _asked(texts: DataFrame, wanted: DataFrame, *what: str) -> DataFrame:
     """doc_id, text_hash, text, wanted: the texts that something is asked of, with the list of what."""
     lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*what)).alias("wanted"))
     lists = materialize(lists, "asked")
-    some = sift(texts, F.col("text_hash"), lists, "text_hash").dropDuplicates(["doc_id", "text_hash"])
+    some = sift(texts, F.col("text_hash"), lists, "text_hash")
     return some.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "wanted")
 
 
@@ -211,19 +209,23 @@ def _surroundings(texts: DataFrame, wanted: DataFrame, reach: int) -> DataFrame:
     """doc_id, text_hash, place, left, right: hashes of up to ``reach`` words before and after a place, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words()
         for b in by_bytes(batches):
-            rows, place, left, right = [], [], [], []
-            for i, (text, places) in enumerate(zip(b.column("text").to_pylist(), b.column("wanted").to_pylist(), strict=True)):
-                h = (cache.of(split_words(text)[0]) >> np.uint64(32)).astype(np.uint32).view(np.int32)  # they only move edges
-                for at in (w["place"] for w in places):
-                    rows.append(i)
-                    place.append(at)
-                    left.append(h[max(0, at - reach) : at][::-1])
-                    right.append(h[at : at + reach])
-            pick = pa.array(rows, pa.int64())
-            both = [pa.array(x, pa.list_(pa.int32())) for x in (left, right)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pick), b.column("text_hash").take(pick), pa.array(place, pa.int32()), *both], ["doc_id", "text_hash", "place", "left", "right"])
+            words, at, edge, _ = hashed_words(b.column("text"))
+            h = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)  # they only move edges
+            n, asked = np.searchsorted(at, edge), b.column("wanted")
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(asked).to_numpy())
+            place = asked.flatten().field("place").to_numpy()
+            here = n[row] + place
+            left, right = np.minimum(place, reach), np.minimum(n[row + 1] - here, reach)
+            part = np.cumsum(left + right) // SENT
+            for some in np.split(np.arange(len(row)), np.flatnonzero(np.diff(part)) + 1):
+                lists = []
+                for size, begin, step in ((left[some], here[some] - 1, -1), (right[some], here[some], 1)):
+                    edges = np.concatenate([[0], np.cumsum(size)])
+                    values = h[np.repeat(begin, size) + step * (np.arange(edges[-1]) - np.repeat(edges[:-1], size))]
+                    lists.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values)))
+                pick = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pick), b.column("text_hash").take(pick), pa.array(place[some], pa.int32()), *lists], ["doc_id", "text_hash", "place", "left", "right"])
 
     return _asked(texts, wanted, "place").mapInArrow(run, "doc_id bigint, text_hash bigint, place int, left array<int>, right array<int>")
 
@@ -316,42 +318,47 @@ def repeated_passages(
     and is one passage where changed stretches have ``GAP`` words at most; lines
     at the similarity are found with a recall of over 0.95 against all pairs.
     """
-    bands = tune_bands(similarity, recall, ROWS)
+    with batches_of(docs.sparkSession, BATCH):
+        return _found(docs, id_col, text_col, similarity, recall, min_words, block)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, similarity: float, recall: float, min_words: int, block: int) -> DataFrame:
+    bands, once = tune_bands(similarity, recall, ROWS), ["doc_id", "text_hash"]
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     units = materialize(_paragraphs(texts.select("doc_id", "text_hash", "text"), bands), "paragraphs")
+    if not units.groupBy(*once).count().where("count > 1").isEmpty():  # repeated rows count once
+        texts, more = materialize(texts.dropDuplicates(once), "texts"), units
+        units = materialize(units.dropDuplicates(once), "paragraphs")
+        release(more)
     keys = units.select("doc_id", F.explode(F.concat("p_key", "l_keys")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key")
     shared = materialize(shared, "shared")
 
-    # runs: all words agree, in two independent hashes
+    # runs: all words agree, in two independent hashes; of those that the sieve lets through by chance no first one is left
     pieces = units.select("doc_id", "text_hash", "total", F.inline(F.arrays_zip("p_start", "p_words", "p_key", "p_content"))).withColumnsRenamed(
         {"p_start": "start", "p_words": "words", "p_key": "key", "p_content": "content"}
     )
-    pieces = materialize(sift(pieces, F.col("key"), shared, "key").join(shared, "key", "left_semi").distinct(), "pieces")
+    pieces = materialize(sift(pieces, F.col("key"), shared, "key"), "pieces")
     place = F.struct("doc_id", "text_hash", "start", "words")
     firsts = pieces.groupBy("key", "content").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").drop("last")
     members = pieces.join(materialize(firsts, "firsts"), ["key", "content"]).select("doc_id", "text_hash", "total", "start", "words", "first")
 
     # lines: those that meet in a band, by their content
-    n_line = F.sequence(F.lit(0), F.size("l_start") - 1)
-    line = lambda c: F.get(F.col(c), F.col("i"))
-    lines = units.where("size(l_start) > 0").select("*", F.explode(n_line).alias("i")).select(
-        "doc_id", "text_hash", "total", line("l_start").alias("start"), line("l_words").alias("words"), line("l_content").alias("content"),
-        F.slice("l_keys", F.col("i") * bands + 1, F.lit(bands)).alias("keys"),
-    )
-    met = sift(lines.withColumn("key", F.explode("keys")).drop("keys"), F.col("key"), shared, "key").join(shared, "key", "left_semi")
-    met = materialize(met.distinct(), "lines")
-    held = materialize(met.select("doc_id", "text_hash", "total", "start", "words", "content").distinct(), "held")
+    lines = units.where("size(l_start) > 0").select("doc_id", "text_hash", "total", "l_keys", F.posexplode(F.arrays_zip("l_start", "l_words", "l_content")).alias("i", "line"))
+    met = lines.select(F.col("line.l_content").alias("doc_id"), F.explode(F.slice("l_keys", F.col("i") * bands + 1, F.lit(bands))).alias("key"))
+    rows = materialize(sift(met, F.col("key"), shared, "key").join(shared, "key", "left_semi").distinct(), "bands")
+    contents = materialize(rows.select(F.col("doc_id").alias("content")).distinct(), "contents")
+    lines = lines.select("doc_id", "text_hash", "total", F.col("line.l_start").alias("start"), F.col("line.l_words").alias("words"), F.col("line.l_content").alias("content"))
+    held = materialize(sift(lines, F.col("content"), contents, "content").join(contents, "content", "left_semi"), "held")
     one = held.groupBy("content").agg(F.min(F.struct("doc_id", "text_hash", "start", "words")).alias("at"))
-    rows = materialize(met.select(F.col("content").alias("doc_id"), "key").distinct(), "bands")
     links = minhash.linked(rows, lambda ids: _line_sets(texts, one.join(ids.withColumnRenamed("doc_id", "content"), "content", "left_semi").select("at.*", "content")), similarity, block, contracted)
     groups = contracted(links).withColumnsRenamed({"node": "content", "component": "group"})
     held = materialize(held.join(groups, "content", "left").withColumn("group", F.coalesce("group", "content")), "grouped")
     firsts = held.groupBy("group").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last").drop("last")
     near = held.join(materialize(firsts, "firsts"), "group").select("doc_id", "text_hash", "total", "start", "words", "first")
 
-    later = materialize(members.unionByName(near).where(place != F.col("first")).withColumn("end", F.col("start") + F.col("words")), "later")
+    later = members.unionByName(near).where(place != F.col("first")).withColumn("end", F.col("start") + F.col("words"))
     by = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
     same_first = F.lag("first.doc_id").over(by) == F.col("first.doc_id")
     shift = lambda f, at: f.getField("start") - at
@@ -363,7 +370,6 @@ def repeated_passages(
     )
     runs = runs.select("doc_id", "text_hash", "run", "start", "end", "total", "first_doc_id", F.col("l.doc_id").alias("l_doc"), F.col("l.text_hash").alias("l_hash"), F.col("l.start").alias("l_at"),
                        F.col("r.doc_id").alias("r_doc"), F.col("r.text_hash").alias("r_hash"), (F.col("r.start") + F.col("r.words")).alias("r_at"))
-    runs = materialize(runs, "runs")
     wide = _widened(texts, runs)
     wide = materialize(wide.withColumn("n", F.col("end") + F.col("after") - F.col("start") + F.col("before")).where(F.col("n") >= min_words), "wide")
 
@@ -381,7 +387,7 @@ def repeated_passages(
     held_by = (F.col("doc_id") == F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("start_word") >= F.col("lo")) & (F.col("start_word") + F.col("n_words") <= F.col("hi"))
     first_rows = first_rows.join(inside, held_by, "left_anti")  # a first line may hold a later passage
     out = materialize(later_rows.unionByName(first_rows), "passages")
-    release(units, shared, pieces, met, held, later, marked, runs, wide, later_rows)
+    release(texts, units, shared, pieces, contents, held, marked, wide, later_rows)
     return out
 
 

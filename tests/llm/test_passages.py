@@ -1,12 +1,15 @@
 """Repeated passages: against all pairs."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakeveil.llm import hashes, minhash, passages
+from lakeveil.llm import common, hashes, minhash, passages
 from tests.llm.frames import ROWS, empty, odd
 
 
@@ -221,3 +224,54 @@ def test_near_lines_are_clustered_through_hot_buckets(spark):
     links = minhash.linked(spark.createDataFrame(rows, "doc_id bigint, key bigint"), lambda ids: spark.createDataFrame(sets, "doc_id bigint, shingles array<bigint>"), 0.8, 3)
     got = {r.node: r.component for r in minhash.components(links).collect()}
     assert got == {i: 0 if i < 30 or i % 3 == 0 else 31 if i % 3 == 1 else 32 for i in range(40)}
+
+
+def test_words_of_a_batch_have_the_hashes_of_words_one_by_one():
+    cache = hashes.Words()
+    texts = ["", "one", " two\x0bwords ", "\n\n", "\u00fcber\u00a0alles \U0001f600 one", "", "a\tb\r\nc\x0cd", "one"]
+    for part in (texts, texts[3:6], [""], [" "], texts * 3):
+        for held in (pa.array(part), pa.array(["ahead", *part, "behind"])[1:-1], pa.array(part, pa.large_string())):
+            h, at, edge, data = hashes.hashed_words(held)
+            split = [t.encode().split() for t in part]
+            assert h.tolist() == cache.of([w for words in split for w in words]).tolist()
+            assert np.diff(np.searchsorted(at, edge)).tolist() == [len(words) for words in split]
+            assert bytes(data) == "".join(part).encode() and edge.tolist() == np.cumsum([0, *(len(t.encode()) for t in part)]).tolist()
+    assert len(hashes.hashed_words(pa.array([], pa.string()))[0]) == 0
+
+
+def test_windows_count_in_their_own_text_only():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        sizes = rng.integers(0, 60, 9)
+        start = np.cumsum([0, *(sizes[:-1] + passages.SHINGLE)])
+        h = rng.integers(1, 4, start[-1] + sizes[-1] + passages.SHINGLE).astype(np.uint64)
+        alone = [s + passages.chosen(np.append(h[s : s + n], np.zeros(passages.SHINGLE, np.uint64)), np.array([0]), np.array([n])) for s, n in zip(start, sizes, strict=True)]
+        assert passages.chosen(h, start, start + sizes).tolist() == np.concatenate(alone).tolist()
+
+
+class Mapped:
+    """Takes what would be run on the batches of a table."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+
+def test_memory_of_runs_and_lines_does_not_grow_with_the_distinct_words():
+    rows = [" ".join(f"{i:03d}word{k:05d}" for k in range(2_000)) for i in range(300)]  # 600,000 words, all of them distinct
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text_hash": list(range(300)), "text": rows})
+    table = Mapped()
+    passages._paragraphs(table, 5)
+    tracemalloc.start()
+    assert sum(b.num_rows for b in table.run(iter([batch]))) == 300
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(3_000, numPartitions=1).select(F.repeat(F.lit("words "), 1_000).alias("text"))  # 18 MB in one task
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    with common.batches_of(spark, passages.BATCH):
+        assert max(r.n for r in rows.mapInArrow(sizes, "n bigint").collect()) < 6_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
